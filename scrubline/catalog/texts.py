@@ -46,7 +46,7 @@ def sql_spec_spaces(c: str) -> str:
 
 def sql_title(c: str) -> str:
     runs = f"regexp_extract_all({c}, '[{C}]+|[^{C}]+')"
-    return f"array_to_string(list_transform({runs}, lambda x: upper(x[1]) || lower(x[2:])), '')"
+    return f"array_to_string(list_transform({runs}, lambda x: case x[1] when 'ß' then 'Ss' else upper(x[1]) end || lower(x[2:])), '')"
 
 
 def sql_stats(c: str, prefix: str = "") -> str:

@@ -37,6 +37,11 @@ def order_number(df: DataFrame, name: str) -> Column:
     raise TypeError(f"order key {name!r} must be a number, date or timestamp, not {kind}")
 
 
+def literal_array(values: Sequence[int | float], kind: str) -> Column:
+    """A constant array of many numbers, sent to the engine as one string."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 def order_bounds(
     df: DataFrame, name: str, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> list[int | float]:
@@ -44,7 +49,7 @@ def order_bounds(
 
     The list has ``2**k - 1`` entries and at most ``MAX_BUCKETS - 1``.
     """
-    probs = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
+    probs = literal_array([i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)], "double")
     row = df.agg(
         F.count(F.lit(1)).alias("n"),
         F.percentile_approx(order_number(df, name), probs, 5 * MAX_BUCKETS).alias("q"),
@@ -63,7 +68,7 @@ def bucket_of(value: Column, bounds: Sequence[int | float]) -> Column:
     if not bounds:
         return F.lit(0)
     kind = "bigint" if isinstance(bounds[0], int) else "double"
-    table = F.array(*[F.lit(b) for b in bounds]).cast(f"array<{kind}>")
+    table = literal_array(bounds, kind)
     steps, s = [], (len(bounds) + 1) // 2
     while s:
         steps.append(F.lit(s))
