@@ -7,6 +7,7 @@ from scrubline.functions import text as X
 from scrubline.operators import text_tables as TT
 from scrubline.options import TextOptions
 from scrubline.plans import clean_text as plan
+from scrubline.plans.parallel import spread
 
 # whitespace class and cased letters, spelled for RE2
 W = r"\t\n\v\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -71,8 +72,16 @@ def sql_unescape(c: str) -> str:
     return c
 
 
+def documents(spark, sf):
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
+def pages(spark, sf):
+    return spread(table(spark, sf, "pages"), "page_id")
+
+
 def docs(spark, sf, expr: str = "text"):
-    return table(spark, sf, "documents").select("doc_id", F.expr(expr).alias("t"))
+    return documents(spark, sf).select("doc_id", F.expr(expr).alias("t"))
 
 
 def mapped(name: str, expr: str, sql: str, f):
@@ -104,12 +113,12 @@ mapped("text_preview", "text", "substring({t}, 1, 1000)", X.preview)
 
 @query("html_unescape", f"select page_id, {sql_unescape('html')} as t from pages")
 def html_unescape(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.html_unescape(F.col("html")).alias("t"))
+    return pages(spark, sf).select("page_id", X.html_unescape(F.col("html")).alias("t"))
 
 
 @query("strip_html", f"select page_id, {sub(sql_unescape('html'), '<[^>]+>')} as t from pages")
 def strip_html(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.strip_html(F.col("html")).alias("t"))
+    return pages(spark, sf).select("page_id", X.strip_html(F.col("html")).alias("t"))
 
 
 @query("text_stats", f"select doc_id, {sql_stats('t')} from (select doc_id, {MESSY} as t from documents)")
@@ -131,7 +140,7 @@ def language_stats(spark, sf):
     t = F.col("text")
     for f in (X.remove_special_characters, X.normalize_case, X.remove_extra_spaces, X.remove_extra_linebreaks):
         t = f(t)
-    stats = table(spark, sf, "documents").select("lang", t.alias("t")).select("lang", X.text_stats(F.col("t")).alias("s"))
+    stats = documents(spark, sf).select("lang", t.alias("t")).select("lang", X.text_stats(F.col("t")).alias("s"))
     return stats.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_docs"),
         *[F.sum(f"s.{m}").alias(m) for m in TT.METRICS],
@@ -154,7 +163,7 @@ CLEANED = f"select page_id, html, {sql_clean('html')} as cleaned_text from pages
     f"""select page_id, cleaned_text, {sql_stats('cleaned_text')}, '{'|'.join(LABELS)}' as steps from ({CLEANED})""",
 )
 def clean_text(spark, sf):
-    cleaned = plan.clean_text(table(spark, sf, "pages"), "html")
+    cleaned = plan.clean_text(pages(spark, sf), "html")
     return cleaned.select("page_id", "cleaned_text", "final_stats.*", F.array_join("steps", "|").alias("steps"))
 
 
@@ -196,7 +205,7 @@ def _report_sql() -> str:
 
 @query("text_report", _report_sql())
 def text_report(spark, sf):
-    return plan.text_report(table(spark, sf, "pages"), "html")
+    return plan.text_report(pages(spark, sf), "html")
 
 
 @query(
@@ -205,7 +214,7 @@ def text_report(spark, sf):
 )
 def text_result_json(spark, sf):
     """The JSON result, parsed back: object member order differs between engines."""
-    line = plan.clean_text(table(spark, sf, "pages"), "html").select("page_id", plan.result_json(None).alias("j"))
+    line = plan.clean_text(pages(spark, sf), "html").select("page_id", plan.result_json(None).alias("j"))
     schema = "cleaned_text string, stats struct<chars:long,words:long,lines:long,sentences:long>, steps array<string>"
     return line.select("page_id", F.from_json("j", schema).alias("r")).select(
         "page_id", "r.cleaned_text", "r.stats.*", F.size("r.steps").alias("n_steps")
@@ -254,7 +263,7 @@ OLD, NEW = "replace(text, '. ', chr(10))", "replace(replace(text, '. ', chr(10))
     select * from s where n_lines > 0""",
 )
 def line_diff(spark, sf):
-    pairs = table(spark, sf, "documents").select("doc_id", F.expr(OLD).alias("o"), F.expr(NEW).alias("n"))
+    pairs = documents(spark, sf).select("doc_id", F.expr(OLD).alias("o"), F.expr(NEW).alias("n"))
     return TT.line_diff(pairs, "doc_id", "o", "n")
 
 

@@ -1,28 +1,31 @@
 """Patterns, word lists and limits whose exact value decides results."""
 
 # --- Whitespace -----------------------------------------------------------
-# Class body that, under the Java flag (?U), equals Python's ``str.isspace``.
+# The characters of Python's ``str.isspace``: as a class body under the Java flag
+# (?U), and as a string. (Few, short class members: long unions of ranges run slow.)
 WS = r"\s\x1c-\x1f"
-
-# Code points replaced by a plain space, in code point order after the tab.
-SPECIAL_SPACES = (
-    "\t\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
-    "\u202f\u205f\u3000"
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
+# Code points replaced by a plain space.
+SPECIAL_SPACES = r"[\t\u00a0\u2000-\u200a\u202f\u205f\u3000]"
+
 # Line terminators of ``str.splitlines``.
-LINE_END = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"
+LINE_END_CHARS = r"\n\r\x0b\f\x1c\x1d\x1e\x85\u2028-\u2029"
+LINE_END = rf"\r\n|[{LINE_END_CHARS}]"
 
 # --- Text patterns ----------------------------------------------------------
 TAG = r"<[^>]+>"
 # "$-_" and "a-z" are ranges; together with "!" they are every character a URL run takes.
 URL = r"https?://[!$-_a-z]+"
 EMAIL = rf"(?U)(?<![^{WS}])[^{WS}][^{WS}@]*+@[^{WS}]+\.[^{WS}]+"
-PHONE = rf"(?U)((\+?\d{{1,3}}[-.{WS}]?)?(\(?\d{{3}}\)?[-.{WS}]?)?\d{{3}}[-.{WS}]?\d{{4}})"
-PHONE_GATE = r"(?U)\d{4}"
-EMOJI = r"[\x{10000}-\x{10FFFF}]"
-NOT_BASIC = rf"(?U)[^a-zA-Z0-9{WS}.,!?;:\-'\"]"
-NOT_ALNUM = rf"(?U)[^a-zA-Z0-9{WS}]"
+PHONE = rf"(?U)((\+?\p{{Nd}}{{1,3}}[-.{WS}]?)?(\(?\p{{Nd}}{{3}}\)?[-.{WS}]?)?\p{{Nd}}{{3}}[-.{WS}]?\p{{Nd}}{{4}})"
+PHONE_GATE = r"\p{Nd}{4}"
+EMOJI = r"[\x{10000}-\x{10FFFF}]+"
+NOT_BASIC = rf"(?U)[^a-zA-Z0-9{WS}.,!?;:\-'\"]+"
+NOT_ALNUM = rf"(?U)[^a-zA-Z0-9{WS}]+"
 CASED_RUN = r"([\p{IsLowercase}\p{IsUppercase}\p{Lt}]+|[^\p{IsLowercase}\p{IsUppercase}\p{Lt}]+)"
 
 # --- Labels of the cleaning report, in the order the steps run ---------------

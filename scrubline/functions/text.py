@@ -24,13 +24,8 @@ def as_text(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Drop leading and trailing Unicode whitespace (``trim`` drops spaces only).
-
-    The look-behind lets a trailing match start only where its run starts, which
-    keeps long inner runs linear.
-    """
-    ws = V.WS
-    return F.regexp_replace(c, rf"(?U)\A[{ws}]+|(?<![{ws}])[{ws}]+\z", "")
+    """Drop leading and trailing Unicode whitespace (a plain ``trim`` drops spaces only)."""
+    return F.trim(c, F.lit(V.WS_CHARS))
 
 
 @F.pandas_udf(StringType())
@@ -93,12 +88,11 @@ def remove_extra_spaces(c: Column, keep_paragraphs: bool = False) -> Column:
     A line's whitespace includes its neighbouring blank lines, so ``a\\n\\nb``
     becomes ``ab``; ``keep_paragraphs`` strips within lines only.
     """
-    ws = V.WS
-    c = F.regexp_replace(c, " +", " ")
-    if keep_paragraphs:
-        edge = rf"(?Umd)^[{ws}&&[^\n]]+|(?<![{ws}&&[^\n]])[{ws}&&[^\n]]+$"
-    else:
-        edge = rf"(?Umd)^[{ws}]+|(?<![{ws}])[{ws}]+$"
+    ws = f"[{V.WS}&&[^\\n]]" if keep_paragraphs else f"[{V.WS}]"
+    c = F.regexp_replace(c, "  +", " ")
+    # (?d): only LF ends a line. A trailing run is tried from its first character only,
+    # which keeps long runs linear.
+    edge = rf"(?Umd)^{ws}+|(?<!{ws}){ws}+$"
     return strip(F.regexp_replace(c, edge, ""))
 
 
@@ -107,12 +101,12 @@ def remove_extra_linebreaks(c: Column) -> Column:
 
 
 def replace_special_whitespace(c: Column) -> Column:
-    return F.translate(c, V.SPECIAL_SPACES, " " * len(V.SPECIAL_SPACES))
+    return F.regexp_replace(c, V.SPECIAL_SPACES, " ")
 
 
 def replace_escape_characters(c: Column) -> Column:
     """CR LF, CR, form feed and vertical tab become LF; NUL is dropped."""
-    return F.translate(F.replace(c, F.lit("\r\n"), F.lit("\n")), "\r\f\x0b\x00", "\n\n\n")
+    return F.replace(F.regexp_replace(c, r"\r\n?|[\f\x0b]", "\n"), F.lit("\x00"), F.lit(""))
 
 
 @F.pandas_udf(StringType())
@@ -134,8 +128,10 @@ def char_count(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    parts = F.split(c, rf"(?U)[{V.WS}]+")
-    return F.size(F.filter(parts, lambda x: x != "")).cast("long")
+    """Runs of other than whitespace: each becomes one character, then they are counted."""
+    ws = V.WS
+    words = F.length(F.regexp_replace(c, rf"(?U)[{ws}]*+[^{ws}]++[{ws}]*+", "x"))
+    return F.when(c.rlike(rf"(?U)[^{ws}]"), words).otherwise(F.lit(0)).cast("long")
 
 
 def line_array(c: Column) -> Column:
@@ -145,11 +141,14 @@ def line_array(c: Column) -> Column:
 
 
 def line_count(c: Column) -> Column:
-    return F.size(line_array(c)).cast("long")
+    """Line ends, plus one for text after the last of them."""
+    ends = V.LINE_END_CHARS
+    n = F.length(F.regexp_replace(c, rf"[^{ends}]++|\r(?=\n)", ""))
+    return (n + F.right(c, F.lit(1)).rlike(rf"[^{ends}]").cast("int")).cast("long")
 
 
 def sentence_count(c: Column) -> Column:
-    return (F.length(c) - F.length(F.translate(c, ".!?", ""))).cast("long")
+    return F.length(F.regexp_replace(c, "[^.!?]++", "")).cast("long")
 
 
 def text_stats(c: Column) -> Column:
