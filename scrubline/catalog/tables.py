@@ -46,18 +46,18 @@ def preview(spark, sf):
 
 def text_dates(spark, sf):
     d = F.when(F.col("o_orderkey") % 5 != 0, F.date_format("o_orderdate", "dd/MM/yyyy"))
-    return table(spark, sf, "orders").select("o_orderkey", d.alias("d"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso"))
+    return table(spark, sf, "orders").select("o_orderkey", d.alias("d"), F.date_format("o_orderdate", "yyyyMMdd").alias("iso"))
 
 
 @query(
     "convert_dates",
     """with t as (select o_orderkey, case when o_orderkey % 5 <> 0 then strftime(o_orderdate, '%d/%m/%Y') end as d,
-      strftime(o_orderdate, '%Y-%m-%d') as iso from orders),
+      strftime(o_orderdate, '%Y%m%d') as iso from orders),
     v as (select count(try_strptime(d, '%d/%m/%Y')) > 0.5 * count(*) as ok,
-      count(try_strptime(iso, '%Y-%m-%d')) > 0.5 * count(*) as ok_iso from t)
+      count(try_strptime(iso, '%Y%m%d')) > 0.5 * count(*) as ok_iso from t)
     select o_orderkey,
       case when ok then strftime(try_strptime(d, '%d/%m/%Y'), '%Y-%m-%d') else d end as d,
-      case when ok_iso then strftime(try_strptime(iso, '%Y-%m-%d'), '%Y-%m-%d') else iso end as iso,
+      case when ok_iso then strftime(try_strptime(iso, '%Y%m%d'), '%Y-%m-%d') else iso end as iso,
       ok::int + ok_iso::int as n_converted from t, v""",
 )
 def convert_dates(spark, sf):

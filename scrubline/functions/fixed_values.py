@@ -60,19 +60,21 @@ HISTOGRAM_BINS = 30
 PREVIEW_ROWS = 10
 PREVIEW_CHARS = 1000
 
-# Date layouts. The first three lists are tried in the given order; layouts of
-# the other day order come last because a first value such as 13/02/2024 can
-# only be read one way.
-ISO_LAYOUTS = (
-    "yyyy-M-d", "yyyy-M-d H:m", "yyyy-M-d H:m:s", "yyyy-M-d H:m:s.SSSSSS",
-    "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m:s.SSSSSS", "yyyyMMdd", "yyyy-MM",
+# Date layouts, tried in the order plain, preferred day order, month names, other day
+# order; the other order is last because a first value such as 13/02/2024 can only be read one way.
+# Day first holds for year-first dates as well (2024-01-05 is then the first of May),
+# unless the column has mixed layouts.
+PLAIN_LAYOUTS = ("yyyyMMdd",)
+YEAR_FIRST_LAYOUTS = (
+    "yyyy-M-d", "yyyy-M-d H:m", "yyyy-M-d H:m:s", "yyyy-M-d H:m:s.SSSSSSSSS",
+    "yyyy-M-d'T'H:m", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m:s.SSSSSSSSS", "yyyy-MM",
 )
-MONTH_FIRST_LAYOUTS = (
-    "yyyy/M/d", "M/d/yyyy", "M-d-yyyy", "M.d.yyyy", "M/d/yyyy H:m", "M/d/yyyy H:m:s",
-)
-DAY_FIRST_LAYOUTS = (
-    "yyyy/d/M", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d/M/yyyy H:m", "d/M/yyyy H:m:s",
+YEAR_DAY_LAYOUTS = (
+    "yyyy-d-M", "yyyy-d-M H:m", "yyyy-d-M H:m:s", "yyyy-d-M H:m:s.SSSSSSSSS",
+    "yyyy-d-M'T'H:m", "yyyy-d-M'T'H:m:s", "yyyy-d-M'T'H:m:s.SSSSSSSSS",
 )
+MONTH_FIRST_LAYOUTS = ("yyyy/M/d", "M/d/yyyy", "M-d-yyyy", "M.d.yyyy", "M/d/yyyy H:m", "M/d/yyyy H:m:s")
+DAY_FIRST_LAYOUTS = ("yyyy/d/M", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d/M/yyyy H:m", "d/M/yyyy H:m:s")
 MONTH_NAME_LAYOUTS = (
     "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy",
     "d-MMM-yyyy",

@@ -231,8 +231,9 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         for j in range(i + 1, len(columns)):
             b = columns[j]
             both = value[a].isNotNull() & value[b].isNotNull()
-            moves = (F.stddev_pop(F.when(both, value[a])) > 0) & (F.stddev_pop(F.when(both, value[b])) > 0)
-            aggs.append(F.when(moves, F.corr(value[a], value[b])).alias(f"r{i}_{j}"))
+            spread = F.stddev_pop(F.when(both, value[a])) * F.stddev_pop(F.when(both, value[b]))
+            # the built-in corr raises on a constant side in ANSI mode
+            aggs.append(F.try_divide(F.covar_pop(value[a], value[b]), spread).alias(f"r{i}_{j}"))
             for x, y in ((a, b), (b, a)):
                 cells.append((x, {"var2": F.lit(y), "correlation": F.col(f"r{i}_{j}")}))
     long = df.agg(*aggs).select(_rows(cells).alias("r")).select("r.*")

@@ -67,17 +67,33 @@ def drop_duplicates(df: DataFrame, row_key: str | None = None) -> DataFrame:
 # --- date detection ---------------------------------------------------------
 
 
-def date_layouts(date_order: str = "auto") -> tuple[str, ...]:
-    first, second = V.MONTH_FIRST_LAYOUTS, V.DAY_FIRST_LAYOUTS
+def date_layouts(date_order: str = "auto", mixed: bool = False) -> tuple[str, ...]:
+    first = V.YEAR_FIRST_LAYOUTS + V.MONTH_FIRST_LAYOUTS
+    second = V.YEAR_DAY_LAYOUTS + V.DAY_FIRST_LAYOUTS
     if date_order == "global":
         first, second = second, first
-    return V.ISO_LAYOUTS + first + V.MONTH_NAME_LAYOUTS + second
+    ahead = V.YEAR_FIRST_LAYOUTS if mixed else ()
+    return tuple(dict.fromkeys(V.PLAIN_LAYOUTS + ahead + first + V.MONTH_NAME_LAYOUTS + second))
+
+
+_SHAPES = (  # longest letter run first
+    ("SSSSSSSSS", r"\d{1,9}"), ("yyyy", r"\d{4}"), ("MMMM", "[A-Za-z]{3,9}"), ("MMM", "[A-Za-z]{3}"),
+    ("MM", r"\d{2}"), ("dd", r"\d{2}"), ("'T'", "T"), (".", r"\."), *[(c, r"\d{1,2}") for c in "MdHms"],
+)
+
+
+def _shape(layout: str) -> str:
+    """A pattern for the texts a layout can read."""
+    out = ""
+    while layout:
+        token, pattern = next(((t, p) for t, p in _SHAPES if layout.startswith(t)), (layout[0], layout[0]))
+        out, layout = out + pattern, layout[len(token) :]
+    return rf"\s*{out}\s*"
 
 
 def _parse(c: Column, layout: str) -> Column:
-    # bare short numbers must not pass as years
-    ok = ~c.rlike(r"^\s*[-+]?\d{1,7}(\.\d*)?\s*$")
-    return F.when(ok, F.try_to_timestamp(c, F.lit(layout)).cast("timestamp_ntz"))
+    # text of another shape is not handed to the parser, whose failures are slow
+    return F.when(c.rlike(f"^{_shape(layout)}$"), F.try_to_timestamp(F.trim(c), F.lit(layout)).cast("timestamp_ntz"))
 
 
 def detect_dates(
@@ -109,7 +125,7 @@ def detect_dates(
     chosen = {}
     for i, c in enumerate(columns):
         hits = [f for f, hit in zip(layouts, probe[f"f{i}"]) if hit]
-        chosen[c] = (hits[0],) if hits else layouts
+        chosen[c] = (hits[0],) if hits else date_layouts(date_order, mixed=True)
     votes = df.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(parse_date(F.col(_q(c)), chosen[c])).alias(f"v{i}") for i, c in enumerate(columns)],
@@ -123,7 +139,10 @@ def detect_dates(
 
 def parse_date(c: Column, layouts: Sequence[str]) -> Column:
     """Timestamp by the first layout that fits, null where none does."""
-    return F.coalesce(*[_parse(c, f) for f in layouts])
+    if len(layouts) == 1:
+        return _parse(c, layouts[0])
+    any_shape = "|".join(dict.fromkeys(_shape(f) for f in layouts))
+    return F.when(c.rlike(f"^(?:{any_shape})$"), F.coalesce(*[_parse(c, f) for f in layouts]))
 
 
 def convert_dates(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.plans import ordered as O
+from scrubline.plans.materialize import materialize
 
 
 def stem(name: Column) -> Column:
@@ -45,24 +46,21 @@ def unique_names(
     copy with ``j > k - i``, which is a running count over copies and taken counters
     together. No group is gathered in one task.
     """
-    ranked = O.with_row_number(df, order_by, "_copy", [name], rows_per_bucket).withColumn(
-        "_copy", F.col("_copy") - 1
-    )
-    repeated = (
-        df.groupBy(name).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(name).alias("_base"))
+    ranked = materialize(
+        O.with_row_number(df, order_by, "_copy", [name], rows_per_bucket).withColumn("_copy", F.col("_copy") - 1)
     )
+    repeated = ranked.where("_copy = 1").select(F.col(name).alias("_base"))  # one row per repeated name
     pattern = r"^(.+)_([1-9][0-9]{0,17})$"
     s = stem(F.col(name))
     taken = (
-        df.where(s.rlike(pattern))
+        ranked.where((F.col("_copy") == 0) & s.rlike(pattern))
         .select(
             F.concat(F.regexp_extract(s, pattern, 1), extension(F.col(name))).alias("_base"),
             F.regexp_extract(s, pattern, 2).cast("long").alias("_k"),
         )
-        .distinct()
         .join(repeated, "_base", "left_semi")
     )
-    taken = O.with_row_number(taken, "_k", "_i", ["_base"], rows_per_bucket)
+    taken = O.with_row_number(materialize(taken), "_k", "_i", ["_base"], rows_per_bucket)
     marks = taken.select("_base", (2 * (F.col("_k") - F.col("_i")) + 1).alias("_at"), F.lit(1).alias("_push"))
     copies = ranked.where("_copy > 0").select(
         *df.columns, "_copy", F.col(name).alias("_base"), (2 * F.col("_copy")).alias("_at"), F.lit(0).alias("_push")
