@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from scrubline.functions import fixed_values as V
 from scrubline.plans import ordered as O
 from scrubline.plans import tiles
+from scrubline.plans.materialize import materialize
 from scrubline.plans.skew import join_per_key
 
 STRETCH = 131_072
@@ -137,15 +138,20 @@ def gap_cells(
     tiled = tiles.add_tiles(placed, "ms", stretch, halo, halo)
     part = Window.partitionBy("series_id", "_tile")
     up, down = part.orderBy("ms"), part.orderBy(F.col("ms").desc())
-    piece = up.rowsBetween(0, min_gap_ms - 1)
     running = (Window.unboundedPreceding, Window.currentRow)
 
+    # sums over a piece as differences of running sums: one addition per cell, whatever the piece length
+    summed = tiled.withColumns({
+        "_s": F.sum("sq").over(up.rowsBetween(*running)), "_c": F.sum("k").over(up.rowsBetween(*running)),
+    })
+    ahead = min_gap_ms - 1
+    mean_square = (F.lead("_s", ahead).over(up) - F.col("_s") + F.col("sq")) / (
+        F.lead("_c", ahead).over(up) - F.col("_c") + F.col("k")
+    )
     last_start = F.col("_ms") - min_gap_ms
     is_start = ((F.col("ms") % V.GAP_STEP_MS == 0) & (F.col("ms") <= last_start)) | (F.col("ms") == last_start)
-    tested = tiled.select(
-        "series_id", "_tile", "ms", "_ms",
-        F.when(is_start & (F.count(F.lit(1)).over(piece) == min_gap_ms),
-               F.sum("sq").over(piece) / F.sum("k").over(piece) <= F.col("_limit")).alias("silent"),
+    tested = summed.select(
+        "series_id", "_tile", "ms", "_ms", F.when(is_start, mean_square <= F.col("_limit")).alias("silent")
     )
     start = F.last(F.when(F.col("silent"), F.col("ms")), ignorenulls=True).over(up.rowsBetween(*running))
     covered = tested.withColumn("covered", F.coalesce(F.col("ms") - start < min_gap_ms, F.lit(False)))
@@ -169,7 +175,7 @@ def remove_gaps(
 ) -> DataFrame:
     """Shorten inner gaps; ``idx`` keeps its old values (use ``renumber``). A series that
     is silent throughout is returned whole."""
-    cells = gap_cells(df, rate, auto, strict, max_amp, min_gap_ms, keep_ms, stretch)
+    cells = materialize(gap_cells(df, rate, auto, strict, max_amp, min_gap_ms, keep_ms, stretch))
     sounding = cells.where(~F.col("covered")).select("series_id").distinct()
     gone = cells.where("removed").join(sounding, "series_id", "left_semi").select("series_id", F.col("ms").alias("_ms"))
     # equality on (series, millisecond): a long series spreads over all tasks
@@ -179,7 +185,7 @@ def remove_gaps(
 
 def renumber(df: DataFrame, rows_per_bucket: int = O.ROWS_PER_BUCKET) -> DataFrame:
     """Close the holes of ``idx`` after samples were removed."""
-    numbered = O.with_row_number(df, "idx", "_no", ["series_id", "channel"], rows_per_bucket)
+    numbered = O.with_row_number(materialize(df), "idx", "_no", ["series_id", "channel"], rows_per_bucket)
     return numbered.withColumn("idx", F.col("_no") - 1).select(*df.columns)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +31,10 @@ def scan_files(spark: SparkSession, path) -> DataFrame:
     )
 
 
-def _read(spark: SparkSession, path, charset: str, multi_line: bool) -> DataFrame:
+def _read(spark: SparkSession, path, charset: str, multi_line: bool, prune: bool) -> DataFrame:
+    # a scan that parses only the columns asked for does not see extra fields
     options = dict(
+        columnPruning=prune,
         header=True, multiLine=multi_line, encoding=charset, quote='"', escape='"', inferSchema=False,
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, maxCharsPerColumn=-1,
     )
@@ -41,13 +45,8 @@ def _read(spark: SparkSession, path, charset: str, multi_line: bool) -> DataFram
     return raw.toDF(*[c.lstrip("\ufeff") for c in header.columns], CORRUPT)
 
 
-def read_csv_raw(spark: SparkSession, path, multi_line: bool | None = None) -> DataFrame:
-    """All cells as strings, plus ``_row_id`` (file order within one file) and
-    ``_corrupt`` (the line, where the number of fields is wrong).
-
-    Files that are not valid UTF-8 are read as Latin-1, the others as UTF-8.
-    ``multi_line=None`` reads whole files in one task only if a cell may span lines.
-    """
+def _layout(spark: SparkSession, path, multi_line: bool | None) -> tuple[list[tuple[object, str]], bool]:
+    """Which paths to read in which charset, and whether cells may span lines."""
     files = scan_files(spark, path)
     seen = files.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(~F.col("utf8")).alias("latin"), F.max("open_quotes").alias("quotes")
@@ -55,33 +54,39 @@ def read_csv_raw(spark: SparkSession, path, multi_line: bool | None = None) -> D
     if not seen["n"]:
         raise ValueError(f"no rows in {path}")
     multi_line = bool(seen["quotes"]) if multi_line is None else multi_line
-    if not seen["latin"]:
-        df = _read(spark, path, "UTF-8", multi_line)
-    elif seen["latin"] == seen["n"]:
-        df = _read(spark, path, "ISO-8859-1", multi_line)
-    else:
-        # file names only, which the driver lists for any scan
-        names = files.select("file", "utf8").collect()
-        df = _read(spark, [r["file"] for r in names if r["utf8"]], "UTF-8", multi_line).unionByName(
-            _read(spark, [r["file"] for r in names if not r["utf8"]], "ISO-8859-1", multi_line),
-            allowMissingColumns=True,
-        )
+    if not seen["latin"] or seen["latin"] == seen["n"]:
+        return [(path, "ISO-8859-1" if seen["latin"] else "UTF-8")], multi_line
+    # file names only, which the driver lists for any scan
+    names = files.select("file", "utf8").collect()
+    return [
+        ([r["file"] for r in names if r["utf8"]], "UTF-8"),
+        ([r["file"] for r in names if not r["utf8"]], "ISO-8859-1"),
+    ], multi_line
+
+
+def _raw(spark: SparkSession, layout, prune: bool) -> DataFrame:
+    groups, multi_line = layout
+    parts = [_read(spark, paths, charset, multi_line, prune) for paths, charset in groups]
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return df.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
+def read_csv_raw(spark: SparkSession, path, multi_line: bool | None = None) -> DataFrame:
+    """All cells as strings, plus ``_row_id`` (file order within one file) and
+    ``_corrupt`` (the line, where the number of fields is wrong).
+
+    Files that are not valid UTF-8 are read as Latin-1, the others as UTF-8.
+    ``multi_line=None`` reads whole files in one task only if a cell may span lines.
+    """
+    return _raw(spark, _layout(spark, path, multi_line), prune=False)
+
+
 def too_many_fields(n_columns: int) -> Column:
     """Rows with more fields than the header; missing trailing fields are only nulls."""
     fields = F.size(F.regexp_extract_all(F.col(CORRUPT), F.lit(_FIELD), F.lit(0)))
     return F.col(CORRUPT).isNotNull() & (fields > n_columns)
 
 
-def _has_bad_rows(raw: DataFrame, columns: list[str]) -> bool:
-    # the scan may not be asked for the corrupt column alone
-    first = F.col(_q(columns[0]))
-    row = raw.agg(F.count(first), F.max(too_many_fields(len(columns))).alias("bad")).first()
-    return bool(row["bad"])
-
-
 def null_tokens(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.when(~F.col(_q(c)).isin(*V.NA_TOKENS), F.col(_q(c))) for c in columns})
 
@@ -120,16 +125,22 @@ def read_csv(
 ) -> DataFrame:
     """Typed table. Empty input and (``on_bad_rows='raise'``) rows with too many
     fields raise; ``on_bad_rows='drop'`` leaves them to ``read_bad_rows``."""
-    raw = read_csv_raw(spark, path, multi_line)
+    if on_bad_rows not in ("raise", "drop"):
+        raise ValueError("on_bad_rows must be 'raise' or 'drop'")
+    layout = _layout(spark, path, multi_line)
+    raw = _raw(spark, layout, prune=False)
     columns = [c for c in raw.columns if c not in (ROW_ID, CORRUPT)]
     bad = too_many_fields(len(columns))
-    if raw.select(columns[0]).isEmpty():
+    # the scan may not be asked for the corrupt column alone, hence the count of a cell
+    seen = raw.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"), F.count(F.col(_q(columns[0]))).alias("cells")
+    ).first()
+    if not seen["n"]:
         raise ValueError(f"no rows in {path}")
-    if on_bad_rows == "raise":
-        if _has_bad_rows(raw, columns):
-            raise ValueError(f"{path} has rows with more than {len(columns)} fields")
-    else:
-        raw = raw.where(~bad)
+    if seen["bad"] and on_bad_rows == "raise":
+        raise ValueError(f"{path} has {seen['bad']} rows with more than {len(columns)} fields")
+    # without bad rows the scan may parse only the columns a query uses
+    raw = raw.where(~bad) if seen["bad"] else _raw(spark, layout, prune=True)
     df = null_tokens(raw.drop(CORRUPT), columns)
     kinds = infer_types(df, columns) if infer else {}
     typed = [F.col(_q(c)).try_cast(kinds.get(c, "string")).alias(c) for c in columns]

@@ -23,7 +23,7 @@ def decode_text(raw: Column) -> Column:
 
 
 def read_text_files(spark: SparkSession, path) -> DataFrame:
-    """``(path, text, file_type)``, one row per file.
+    """``(path, text, file_type)``, one row per file; empty files give none.
 
     A ``.json`` file gives its string leaves; one that does not parse gives its raw
     text without the bytes that are not UTF-8, and the type ``text``.
@@ -47,14 +47,35 @@ def text_frame(spark: SparkSession, *texts: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
-def read_media(spark: SparkSession, path, suffixes=V.IMAGE_SUFFIXES) -> DataFrame:
+def empty_files(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the empty files of a folder or glob, which scans leave out by themselves.
+
+    Lists names on the driver, as any scan does.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for match in fs.globStatus(root) or []:
+        for status in fs.listStatus(match.getPath()) if match.isDirectory() else [match]:
+            if status.isFile() and status.getLen() == 0:
+                found.append(status.getPath().toString())
+    return found
+
+
+def read_media(
+    spark: SparkSession, path: str, suffixes=V.IMAGE_SUFFIXES, report_empty: bool = True
+) -> DataFrame:
     """``(path, length, suffix, sha256, error)`` of the files with a known suffix.
 
-    Empty files and files whose leading bytes do not match their suffix carry an
-    ``error`` and stay in the batch. Contents are hashed and dropped, not decoded.
+    Files whose leading bytes do not match their suffix, and with ``report_empty``
+    empty files, carry an ``error`` and stay in the batch. Contents are hashed and
+    dropped, not decoded.
     """
-    files = spark.read.format("binaryFile").load(path).withColumn("suffix", suffix(F.col("path")))
-    files = files.where(F.col("suffix").isin(*suffixes))
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    if report_empty:
+        names = [(p, 0, bytearray()) for p in empty_files(spark, path)]
+        files = files.union(spark.createDataFrame(names, "path string, length long, content binary"))
+    files = files.withColumn("suffix", suffix(F.col("path"))).where(F.col("suffix").isin(*suffixes))
     signed = F.lit(False)
     for ending in suffixes:
         for offset, magic in V.MAGIC[ending]:
