@@ -7,7 +7,7 @@ from scrubline.operators import pixels as P
 
 TILE = 4  # smaller than the images, so measures cross tile edges
 
-PIX = """(select vec_id as image_id, p // 8 as y, p % 8 as x, ch as channel,
+PIX = """(select vec_id as image_id, p // 8 as y, p % 8 as x, ch::int as channel,
    floor((embedding[(p + 21 * ch) % 64 + 1]::double + 0.6) / 1.2 * 256)::int as v
  from embeddings, unnest(range(64)) as a(p), unnest(range(3)) as b(ch))"""
 TWIN = f"(select image_id, y, x, channel, least(255, greatest(0, v + ((x * 7 + y * 3 + channel) % 5 - 2) * 6)) as v from {PIX})"
@@ -30,7 +30,7 @@ def twin(df):
     return df.withColumn("v", F.least(F.lit(255), F.greatest(F.lit(0), F.col("v") + shift)).cast("int"))
 
 
-HIST = f"""select i.image_id, i.channel, g.g as intensity, coalesce(h.n, 0) as "count"
+HIST = f"""select i.image_id, i.channel, g.g::int as intensity, coalesce(h.n, 0) as "count"
  from (select distinct image_id, channel from {PIX}) i cross join unnest(range(256)) as g(g)
  left join (select image_id, channel, v, count(*) as n from {PIX} group by all) h
    on h.image_id = i.image_id and h.channel = i.channel and h.v = g.g"""

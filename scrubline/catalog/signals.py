@@ -11,7 +11,7 @@ STRETCH = 2048
 
 # Series laid end to end by vec_id; two channels, the second shifted by one place.
 # Silent where idx mod 3000 lies in 1000..1999, and over the first 120 samples.
-STEREO = """(select label as series_id, ch as channel, k * 64 + p as idx,
+STEREO = """(select label as series_id, ch::int as channel, k * 64 + p as idx,
    embedding[(p + ch) % 64 + 1]::double * case when (k * 64 + p) % 3000 between 1000 and 1999 or k * 64 + p < 120 then 0.0001::double else 1 end as v
  from (select *, row_number() over (partition by label order by vec_id) - 1 as k from embeddings),
   unnest(range(64)) as a(p), unnest(range(2)) as b(ch))"""

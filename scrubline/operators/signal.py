@@ -176,8 +176,11 @@ def remove_gaps(
     """Shorten inner gaps; ``idx`` keeps its old values (use ``renumber``). A series that
     is silent throughout is returned whole."""
     cells = materialize(gap_cells(df, rate, auto, strict, max_amp, min_gap_ms, keep_ms, stretch))
-    sounding = cells.where(~F.col("covered")).select("series_id").distinct()
-    gone = cells.where("removed").join(sounding, "series_id", "left_semi").select("series_id", F.col("ms").alias("_ms"))
+    per_series = cells.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(~F.col("covered")).alias("_open")
+    )
+    cut = join_per_key(cells.where("removed"), per_series, ["series_id"], "_n", ["ms"])
+    gone = cut.where("_open > 0").select("series_id", F.col("ms").alias("_ms"))
     # equality on (series, millisecond): a long series spreads over all tasks
     placed = df.withColumn("_ms", F.floor(F.col("idx") * 1000 / F.lit(rate)))
     return placed.join(gone, ["series_id", "_ms"], "left_anti").select(*df.columns)

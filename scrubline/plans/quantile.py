@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from scrubline.plans.materialize import materialize
 
-SMALL_ROWS = 4_000_000
+SMALL_ROWS = 500_000
+SAMPLE_ROWS = 1_000_000
 ACCURACY = 10_000
+SLACK = 0.005  # ten standard errors of a rank in a sample of a million
 
 
 @dataclass
@@ -30,39 +32,37 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """``{column: [quantile for each prob]}`` of the non-null, non-NaN values.
 
-    One pass counts and brackets every wanted rank with the engine's sketch. If no
-    column has more than ``small_rows`` values, the built-in exact percentile runs.
-    Otherwise a second pass counts the distinct values inside the brackets and reads
-    the ranks off the running count; a bracket with too many distinct values is
-    narrowed again first.
+    One pass counts. If no column has more than ``small_rows`` values, the built-in
+    exact percentile runs. Otherwise a sketch of a bounded sample brackets every
+    wanted rank, a pass over all rows counts the distinct values inside the brackets,
+    and the ranks are read off the running count. The counts show whether a bracket
+    holds its rank: one that does not is widened to the whole range, one with too many
+    distinct values is narrowed first. So the sample never decides a result.
     """
     columns, probs = list(columns), list(probs)
     clean = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns])
-    slack = 4 / ACCURACY
-    grid = [min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)]
-    aggs = []
-    for i, c in enumerate(columns):
-        aggs += [
-            F.count(c).alias(f"n{i}"),
-            F.percentile_approx(c, grid, ACCURACY).alias(f"q{i}"),
-            F.min(c).alias(f"lo{i}"),
-            F.max(c).alias(f"hi{i}"),
-        ]
-    row = clean.agg(*aggs).first()
+    row = clean.agg(
+        *[f(c).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in
+          (("n", F.count), ("lo", F.min), ("hi", F.max))]
+    ).first()
     counts = [row[f"n{i}"] for i in range(len(columns))]
 
     if max(counts) <= small_rows:
-        values = clean.agg(
-            *[F.percentile(c, F.array(*map(F.lit, probs))).alias(f"p{i}") for i, c in enumerate(columns)]
-        ).first()
+        at = F.array(*map(F.lit, probs))
+        values = clean.agg(*[F.percentile(c, at).alias(f"p{i}") for i, c in enumerate(columns)]).first()
         return {c: list(values[f"p{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
 
+    grid = [min(1.0, max(0.0, p + d)) for p in probs for d in (-SLACK, SLACK)]
+    sketch = _sample(clean, max(counts)).agg(
+        *[F.percentile_approx(c, grid, ACCURACY).alias(f"q{i}") for i, c in enumerate(columns)]
+    ).first()
     wanted: list[_Rank] = []
     for i, c in enumerate(columns):
         for j, p in enumerate(probs):
             if counts[i]:
                 lower = floor((counts[i] - 1) * p)
-                bracket = row[f"q{i}"][2 * j], row[f"q{i}"][2 * j + 1]
+                q = sketch[f"q{i}"] or [row[f"lo{i}"], row[f"hi{i}"]] * len(probs)
+                bracket = q[2 * j], q[2 * j + 1]
                 for rank in {lower, min(lower + 1, counts[i] - 1)}:
                     wanted.append(_Rank(c, rank, *bracket))
     whole = {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
@@ -82,6 +82,10 @@ def exact_quantiles(
     return result
 
 
+def _sample(df: DataFrame, n: int) -> DataFrame:
+    return df if n <= SAMPLE_ROWS else df.sample(SAMPLE_ROWS / n, seed=17)
+
+
 def _order_statistics(
     df: DataFrame, wanted: list[_Rank], whole: dict[str, tuple], limit: int
 ) -> dict[tuple[str, int], float]:
@@ -146,13 +150,14 @@ def _order_statistics(
 
 def _narrow(df: DataFrame, w: _Rank, rank: int, inside: int) -> bool:
     """Tighten the bracket of ``w``; false when the sketch cannot split it further."""
-    p, slack = rank / max(inside - 1, 1), 4 / ACCURACY
+    p = rank / max(inside - 1, 1)
     v = F.col(w.column)
-    lo, hi = (
-        df.where(v.between(F.lit(w.lo), F.lit(w.hi)))
-        .agg(F.percentile_approx(v, [max(0.0, p - slack), min(1.0, p + slack)], ACCURACY).alias("q"))
+    q = (
+        _sample(df.where(v.between(F.lit(w.lo), F.lit(w.hi))), inside)
+        .agg(F.percentile_approx(v, [max(0.0, p - SLACK), min(1.0, p + SLACK)], ACCURACY).alias("q"))
         .first()["q"]
     )
-    narrowed = (lo, hi) != (w.lo, w.hi)
-    w.lo, w.hi = lo, hi
+    narrowed = q is not None and (q[0], q[1]) != (w.lo, w.hi)
+    if narrowed:
+        w.lo, w.hi = q
     return narrowed

@@ -49,7 +49,6 @@ def unique_names(
     ranked = materialize(
         O.with_row_number(df, order_by, "_copy", [name], rows_per_bucket).withColumn("_copy", F.col("_copy") - 1)
     )
-    repeated = ranked.where("_copy = 1").select(F.col(name).alias("_base"))  # one row per repeated name
     pattern = r"^(.+)_([1-9][0-9]{0,17})$"
     s = stem(F.col(name))
     taken = (
@@ -58,8 +57,8 @@ def unique_names(
             F.concat(F.regexp_extract(s, pattern, 1), extension(F.col(name))).alias("_base"),
             F.regexp_extract(s, pattern, 2).cast("long").alias("_k"),
         )
-        .join(repeated, "_base", "left_semi")
     )
+    # a base without copies passes through too: no join on a base that may hold most names
     taken = O.with_row_number(materialize(taken), "_k", "_i", ["_base"], rows_per_bucket)
     marks = taken.select("_base", (2 * (F.col("_k") - F.col("_i")) + 1).alias("_at"), F.lit(1).alias("_push"))
     copies = ranked.where("_copy > 0").select(
