@@ -125,17 +125,19 @@ def fill_ordered(
     both_ways: bool = True,
     partition_by: Sequence[str] = (),
     rows_per_bucket: int = O.ROWS_PER_BUCKET,
+    bounds: Sequence[int | float] | None = None,
 ) -> DataFrame:
     """Take the previous (or next) non-null value in ``order_by`` order; with
     ``both_ways`` the rows before the first (or after the last) take the nearest.
-    ``order_by`` must be different for every row of a group."""
+    ``order_by`` must be different for every row of a group. ``bounds`` are cut points
+    already known for that key (``plans.ordered.order_bounds``)."""
     if direction not in ("forward", "backward"):
         raise ValueError("direction must be 'forward' or 'backward'")
     columns = list(columns)
     sides = [direction]
     if both_ways:
         sides.append("backward" if direction == "forward" else "forward")
-    b = O.bucketed(df, order_by, partition_by, rows_per_bucket)
+    b = O.bucketed(df, order_by, partition_by, rows_per_bucket, bounds)
     edges, carries, local = [], [], {}
     for i, c in enumerate(columns):
         v = _clean(df, c)
@@ -164,17 +166,20 @@ def fill_interpolate(
     order_by: str,
     partition_by: Sequence[str] = (),
     rows_per_bucket: int = O.ROWS_PER_BUCKET,
+    bounds: Sequence[int | float] | None = None,
 ) -> DataFrame:
     """Straight line by row position between the neighbours. Leading nulls stay,
     trailing ones take the last value. Text columns are filled forward only."""
     numeric = [c for c in columns if is_numeric(df, c)]
     text = [c for c in columns if c not in numeric]
+    if bounds is None:
+        bounds = O.order_bounds(df, order_by, rows_per_bucket)
     if text:
-        df = fill_ordered(df, text, order_by, "forward", False, partition_by, rows_per_bucket)
+        df = fill_ordered(df, text, order_by, "forward", False, partition_by, bounds=bounds)
     if not numeric:
         return df
 
-    b = O.bucketed(df, order_by, partition_by, rows_per_bucket)
+    b = O.bucketed(df, order_by, partition_by, rows_per_bucket, bounds)
     rn = F.row_number().over(Window.partitionBy(O.KEY, O.BUCKET).orderBy(order_by))
     b = b.withColumn("_rn", rn)
     up, down = O.local_window(F.col(order_by)), O.local_window(F.col(order_by).desc())
@@ -243,6 +248,7 @@ def fill_nulls(df: DataFrame, options: FillOptions) -> DataFrame:
         groups.setdefault(options.method or options.per_column.get(c, default), []).append(c)
     if key is None and set(groups) & {"forward", "backward", "interpolate"}:
         raise ValueError("ordered filling needs order_by")
+    bounds = O.order_bounds(df, key) if set(groups) & {"forward", "backward", "interpolate"} else None
     for method, cols in groups.items():
         if method == "drop":
             df = df.drop(*cols)
@@ -260,7 +266,7 @@ def fill_nulls(df: DataFrame, options: FillOptions) -> DataFrame:
                 if value is not None:
                     df = fill_custom(df, [c], value, options.widen)
         elif method == "interpolate":
-            df = fill_interpolate(df, cols, key, options.partition_by)
+            df = fill_interpolate(df, cols, key, options.partition_by, bounds=bounds)
         else:
-            df = fill_ordered(df, cols, key, method, True, options.partition_by)
+            df = fill_ordered(df, cols, key, method, True, options.partition_by, bounds=bounds)
     return df

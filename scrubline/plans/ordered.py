@@ -88,9 +88,11 @@ def bucketed(
     order_by: str,
     partition_by: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    bounds: Sequence[int | float] | None = None,
 ) -> DataFrame:
     """Add ``_key`` (struct, so null keys join), ``_bucket`` and ``_ord``."""
-    bounds = order_bounds(df, order_by, rows_per_bucket)
+    if bounds is None:
+        bounds = order_bounds(df, order_by, rows_per_bucket)
     return df.select(
         "*",
         F.struct(*([F.col(k) for k in partition_by] or [F.lit(0).alias("all")])).alias(KEY),
