@@ -18,13 +18,15 @@ SLACK = 0.005  # ten standard errors of a rank in a sample of a million
 
 
 @dataclass
-class _Rank:
-    """One wanted order statistic (0-based) inside the value range [lo, hi]."""
+class _Bracket:
+    """Wanted order statistics (0-based ranks) and the value range [lo, hi] they lie in."""
 
     column: str
-    rank: int
+    ranks: list[int]
     lo: float
     hi: float
+    held: tuple[float, float]  # the tightest range known to hold the ranks
+    slack: float = SLACK
 
 
 def exact_quantiles(
@@ -56,17 +58,16 @@ def exact_quantiles(
     sketch = _sample(clean, max(counts)).agg(
         *[F.percentile_approx(c, grid, ACCURACY).alias(f"q{i}") for i, c in enumerate(columns)]
     ).first()
-    wanted: list[_Rank] = []
+    whole = {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
+    wanted: list[_Bracket] = []
     for i, c in enumerate(columns):
+        q = sketch[f"q{i}"] or [row[f"lo{i}"], row[f"hi{i}"]] * len(probs)
         for j, p in enumerate(probs):
             if counts[i]:
                 lower = floor((counts[i] - 1) * p)
-                q = sketch[f"q{i}"] or [row[f"lo{i}"], row[f"hi{i}"]] * len(probs)
-                bracket = q[2 * j], q[2 * j + 1]
-                for rank in {lower, min(lower + 1, counts[i] - 1)}:
-                    wanted.append(_Rank(c, rank, *bracket))
-    whole = {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
-    found = _order_statistics(clean, wanted, whole, small_rows)
+                ranks = sorted({lower, min(lower + 1, counts[i] - 1)})
+                wanted.append(_Bracket(c, ranks, q[2 * j], q[2 * j + 1], whole[c]))
+    found = _order_statistics(clean, wanted, small_rows)
 
     result = {}
     for i, c in enumerate(columns):
@@ -87,21 +88,17 @@ def _sample(df: DataFrame, n: int) -> DataFrame:
 
 
 def _order_statistics(
-    df: DataFrame, wanted: list[_Rank], whole: dict[str, tuple], limit: int
+    df: DataFrame, wanted: list[_Bracket], limit: int
 ) -> dict[tuple[str, int], float]:
-    """Values at the wanted ranks."""
+    """``{(column, rank): value}`` for the wanted ranks."""
     found: dict[tuple[str, int], float] = {}
     while wanted:
-        # one scan: per rank, how many values lie below the bracket and which lie in it
+        # one scan: per bracket, how many values lie below it and which lie in it
         cells = []
         for k, w in enumerate(wanted):
             v = F.col(w.column)
-            cells.append(
-                F.when(
-                    v <= F.lit(w.hi),
-                    F.struct(F.lit(k).alias("k"), F.when(v >= F.lit(w.lo), v).alias("v")),
-                )
-            )
+            inside = F.when(v >= F.lit(w.lo), v).alias("v")
+            cells.append(F.when(v <= F.lit(w.hi), F.struct(F.lit(k).alias("k"), inside)))
         counted = materialize(
             df.select(F.explode(F.array(*cells)).alias("cell"))
             .where("cell is not null")
@@ -121,43 +118,55 @@ def _order_statistics(
         ready, retry = {}, []
         for k, w in enumerate(wanted):
             s = sizes.get(k)
-            if s is None or not s["below"] <= w.rank < s["below"] + s["inside"]:
-                if (w.lo, w.hi) == whole[w.column]:
-                    raise RuntimeError(f"rank {w.rank} lies outside column {w.column}")
-                w.lo, w.hi = whole[w.column]  # the sketch missed: fall back to the full range
+            held = s is not None and s["below"] <= w.ranks[0] and w.ranks[-1] < s["below"] + s["inside"]
+            if not held:
+                if (w.lo, w.hi) == w.held:
+                    raise RuntimeError(f"ranks {w.ranks} lie outside column {w.column}")
+                # the sample missed: back to the last range that held, with more slack
+                w.lo, w.hi = w.held
+                w.slack *= 4
                 retry.append(w)
-            elif s["distinct"] > limit and _narrow(df, w, w.rank - s["below"], s["inside"]):
+            elif s["distinct"] > limit and _narrow(df, w, s["below"], s["inside"]):
                 retry.append(w)
             else:
                 ready[k] = w
         if ready:
-            # at most ``limit`` distinct values per rank reach a task
-            w_run = Window.partitionBy("k").orderBy(F.col("v").asc_nulls_first())
-            target = F.create_map(*[F.lit(x) for k, w in ready.items() for x in (k, w.rank)])
+            # at most ``limit`` distinct values per bracket reach a task
+            run = F.sum("n").over(Window.partitionBy("k").orderBy(F.col("v").asc_nulls_first()))
+            ranks = F.create_map(
+                *[F.lit(x) for k, w in ready.items() for x in (k, f"{w.ranks[0]},{w.ranks[-1]}")]
+            )
+            rank = F.explode(F.array_distinct(F.split(ranks[F.col("k")], ",").cast("array<bigint>")))
             rows = (
                 counted.where(F.col("k").isin(*ready))
-                .withColumn("run", F.sum("n").over(w_run))
-                .where(F.col("v").isNotNull() & (F.col("run") > target[F.col("k")]))
-                .groupBy("k")
+                .select("k", "v", run.alias("run"))
+                .select("k", "v", "run", rank.alias("rank"))
+                .where(F.col("v").isNotNull() & (F.col("run") > F.col("rank")))
+                .groupBy("k", "rank")
                 .agg(F.min("v").alias("v"))
                 .collect()
             )
             for r in rows:
-                found[ready[r["k"]].column, ready[r["k"]].rank] = r["v"]
+                found[ready[r["k"]].column, r["rank"]] = r["v"]
         wanted = retry
     return found
 
 
-def _narrow(df: DataFrame, w: _Rank, rank: int, inside: int) -> bool:
-    """Tighten the bracket of ``w``; false when the sketch cannot split it further."""
-    p = rank / max(inside - 1, 1)
+def _narrow(df: DataFrame, w: _Bracket, below: int, inside: int) -> bool:
+    """Tighten a bracket that holds its ranks; false when it cannot be split further.
+    Every miss widens the slack, so this ends."""
+    w.held = (w.lo, w.hi)
+    if w.slack >= 0.5:
+        return False
+    first, last = ((r - below) / max(inside - 1, 1) for r in (w.ranks[0], w.ranks[-1]))
+    slack = max(w.slack, 2 / inside)
     v = F.col(w.column)
     q = (
         _sample(df.where(v.between(F.lit(w.lo), F.lit(w.hi))), inside)
-        .agg(F.percentile_approx(v, [max(0.0, p - SLACK), min(1.0, p + SLACK)], ACCURACY).alias("q"))
+        .agg(F.percentile_approx(v, [max(0.0, first - slack), min(1.0, last + slack)], ACCURACY).alias("q"))
         .first()["q"]
     )
-    narrowed = q is not None and (q[0], q[1]) != (w.lo, w.hi)
-    if narrowed:
-        w.lo, w.hi = q
-    return narrowed
+    if q is None or (q[0], q[1]) == w.held:
+        return False
+    w.lo, w.hi = q
+    return True
