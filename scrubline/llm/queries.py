@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.catalog.registry import Query, table
-from scrubline.llm import bpe, simhash, token_store
+from scrubline.llm import bpe, decontam, simhash, token_store, warc
 from scrubline.plans.materialize import scratch_path
 
 QUERIES: dict[str, Query] = {}
@@ -54,3 +54,23 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@_query("op9_decontamination")
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=13, share=20)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+@_query("op10_warc")
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    kind = pages.schema["page_id"].dataType
+    manifest = warc.write_archives(pages, scratch_path(spark, "warc"), min_bytes=0)
+    return warc.read_archives(manifest).select(
+        F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
