@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.catalog.registry import Query, table
-from scrubline.llm import bpe, decontam, simhash, token_store, warc
+from scrubline.llm import bpe, decontam, lang_cnn, pii, quality_ordinal, quality_rules, simhash, token_store, url_filter, warc
 from scrubline.plans.materialize import scratch_path
 
 QUERIES: dict[str, Query] = {}
@@ -74,3 +74,82 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
         F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast(kind).alias("refers_to"),
     )
+
+
+@_query("op4_quality_rules", """
+with t as (select doc_id, coalesce(text, '') as text from documents),
+w as (select doc_id, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w,
+      list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from t),
+g as (select doc_id, w, unnest(range(len(w) - 2)) as i from w where len(w) >= 3),
+c as (select doc_id, i, count(*) over (partition by doc_id, w[i + 1], w[i + 2], w[i + 3]) as n from g),
+p as (select distinct doc_id, i + k as at from c, (select unnest(range(3)) as k) where n > 1),
+r as (select doc_id, count(*) as n_repeat_words from p group by doc_id),
+m as (select doc_id, len(w) as n_words, coalesce(len(list_aggregate(w, 'string_agg', '')), 0) as word_chars,
+      len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+      len(text) - len(replace(text, '!', '')) as n_exclamations,
+      len(l) - len(list_distinct(l)) as n_dup_lines, len(l) as n_lines,
+      len(list_filter(w, lambda x: list_contains([{stop}], lower(regexp_extract(x, '^\\p{{P}}*(.*?)\\p{{P}}*$', 1))))) as n_stop_words,
+      len(list_filter(l, lambda x: regexp_matches(x, '^[\\x20\\x09-\\x0D]*[-*\\x{{2022}}]'))) as bullets,
+      len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|\\x{{2026}})[\\x20\\x09-\\x0D]*$'))) as ellipses from w),
+b as (select m.*, coalesce(n_repeat_words, 0) as n_repeat_words from m left join r using (doc_id)),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and word_chars between 2.0 * n_words and 14.0 * n_words and n_symbols <= 0.25 * n_words
+  and n_exclamations <= 0.3 * n_words and n_stop_words >= 0.01 * n_words and n_dup_lines <= 0.3 * n_lines
+  and bullets <= 0.9 * n_lines and ellipses <= 0.3 * n_lines as kept
+from f
+""".format(stop=", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)))
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality_rules.judged(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: The contract's rules.
+URL_RULES = [
+    ("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"),
+    ("net/fr/", "block"),
+]
+
+
+@_query("op7_url_filter", """
+with r(rule, verdict) as (values {rules}),
+h as (select *, regexp_extract(rule, '^[^/]*') as r_host, regexp_extract(rule, '^[^/]*(.*)$', 1) as r_path from r),
+s as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end as rest from pages),
+p as (select page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+      coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from s),
+m as (select host, path, arg_max(rule, len(rule)) as rule, arg_max(verdict, len(rule)) as verdict
+      from (select distinct host, path from p) join h on (host = r_host or ends_with(host, '.' || r_host)) and starts_with(path, r_path)
+      group by host, path)
+select page_id, p.host, p.path, rule, coalesce(verdict, 'allow') as verdict
+from p left join m on p.host = m.host and p.path = m.path
+""".format(rules=", ".join(f"('{r}', '{v}')" for r, v in URL_RULES)))
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return url_filter.judged(pages, url_filter.rules_of(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
+@_query("op8_lang_cnn")
+def op8_lang_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = lang_cnn.held_out()
+    net = lang_cnn.train(docs.where(~out))
+    return lang_cnn.predicted(docs, net).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, folder: str) -> quality_ordinal.Model:
+    return quality_ordinal.train(docs, quality_ordinal.grades_of(table(spark, folder, "labels")), n_grades=3)
+
+
+@_query("op5_quality_classifier")
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality_ordinal.judged(docs, quality_model(spark, docs, folder), min_grade=1)
+
+
+@_query("op1_pii")
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    rows = pii.spans(table(spark, folder, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select(
+        "doc_id", count("email"), count("ip"), count("card"), count("phone"),
+        F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
