@@ -48,16 +48,20 @@ def _total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda a, b: a + b)
 
 
-def running_totals(numbers: Column) -> Column:
-    """``out[i]``: the sum of the first ``i`` numbers, for i below the length. Sums of whole
-    blocks are taken once, so thousands of numbers stay cheap."""
+def _largest(numbers: Column) -> Column:
+    return F.coalesce(F.array_max(numbers), F.lit(0))
+
+
+def running(numbers: Column, fold: Callable[[Column], Column] = _total, join: Callable = lambda a, b: a + b) -> Column:
+    """``out[i]``: the fold of the first ``i`` numbers, for i below the length. Whole blocks
+    are folded once, so thousands of numbers stay cheap."""
     n = F.size(numbers)
-    whole = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: _total(
-        F.slice(numbers, (b * BLOCK + 1).cast("int"), F.lit(BLOCK))))
+    whole = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: fold(
+        F.slice(numbers, b * BLOCK + 1, F.lit(BLOCK))))
+    block = lambda i: F.floor(i / BLOCK).cast("int")
     return F.when(n == 0, F.array().cast("array<int>")).otherwise(_let(whole, lambda w: F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: _total(F.slice(w, F.lit(1), F.floor(i / BLOCK).cast("int")))
-        + _total(F.slice(numbers, (F.floor(i / BLOCK) * BLOCK + 1).cast("int"), (i % BLOCK).cast("int"))))))
+        F.sequence(F.lit(0), n - 1), lambda i: join(
+            fold(F.slice(w, F.lit(1), block(i))), fold(F.slice(numbers, block(i) * BLOCK + 1, i % BLOCK))))))
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -67,7 +71,7 @@ def found(text: Column, pattern: str) -> Column:
 
     def spans(gaps: Column, values: Column) -> Column:
         steps = F.transform(values, lambda v, i: F.length(F.get(gaps, i)) + F.length(v))
-        return _let(_let(steps, running_totals), lambda before: F.transform(values, lambda v, i: F.struct(
+        return _let(_let(steps, lambda x: running(x)), lambda before: F.transform(values, lambda v, i: F.struct(
             (F.get(before, i) + F.length(F.get(gaps, i))).alias("start"), v.alias("value"),
             F.get(gaps, i).alias("before"), F.get(gaps, i + 1).alias("after"))))
 
@@ -184,30 +188,36 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redacted(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None
+) -> DataFrame:
     """``docs`` with every span replaced by its kind; overlapping spans become one, named
-    after the first. A null text stays null. All columns are kept."""
+    after the first. A null text stays null. All columns and rows are kept; ``length_col``,
+    if given, is set to the new length of a text that was changed.
+
+    Only texts with a digit or an ``@`` can hold a span; the others are not joined.
+    """
     marks = spans(docs, id_col, text_col).where(F.size("spans") > 0).groupBy(
         F.col(id_col).alias("_p_id"), F.col("h").alias("_p_h")).agg(F.first("spans").alias("_p_spans"))
-    keyed = docs.join(marks, F.col(id_col).eqNullSafe(F.col("_p_id")) & (F.xxhash64(F.coalesce(text_col, F.lit(""))) == F.col("_p_h")), "left")
-    # Maximal stretches of overlapping spans, then the text between them.
-    first = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit("").alias("kind"))
+    may = F.coalesce(F.col(text_col).rlike("[0-9@]"), F.lit(False))
+    keyed = docs.where(may).join(
+        marks, F.col(id_col).eqNullSafe(F.col("_p_id")) & (F.xxhash64(text_col) == F.col("_p_h")), "left")
     names = F.create_map(*[F.lit(x) for pair in REDACTED.items() for x in pair])
-
-    def add(state: Column, s: Column) -> Column:
-        last = state["last"]
-        merged = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        own = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-        return F.when(s["start"] < last["end"], F.struct(state["done"].alias("done"), merged.alias("last"))).otherwise(
-            F.struct(F.concat(state["done"], F.array(last)).alias("done"), own.alias("last")))
-
-    start = F.struct(F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("done"), first.alias("last"))
-    whole = F.aggregate("_p_spans", start, add, lambda s: F.slice(F.concat(s["done"], F.array(s["last"])), 2, F.size("_p_spans")))
-    text = _let(whole, lambda w: F.concat(
-        F.array_join(F.transform(w, lambda s, i: F.concat(
-            F.substring(F.col(text_col), F.coalesce(F.get(w, i - 1)["end"], F.lit(0)) + 1,
-                        s["start"] - F.coalesce(F.get(w, i - 1)["end"], F.lit(0))),
-            names[s["kind"]])), ""),
-        F.substring(F.col(text_col), F.get(w, F.size(w) - 1)["end"] + 1, F.length(text_col))))
-    new = F.when(F.col("_p_spans").isNull(), F.col(text_col)).otherwise(text)
-    return keyed.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    # The furthest end before each span; a span that starts at or after it begins a new stretch.
+    reach = _let(F.transform("_p_spans", lambda s: s["end"]), lambda e: running(e, _largest, F.greatest))
+    marked = _let(reach, lambda r: F.filter(F.transform("_p_spans", lambda s, i: F.struct(
+        s["start"].alias("start"), s["kind"].alias("kind"), F.get(r, i).alias("before"))), lambda x: x["start"] >= x["before"]))
+    text = F.col(text_col)
+    last = F.array_max(F.transform("_p_spans", lambda s: s["end"]))
+    new = _let(marked, lambda m: F.concat(
+        F.array_join(F.transform(m, lambda x: F.concat(
+            F.substring(text, x["before"] + 1, x["start"] - x["before"]), names[x["kind"]])), ""),
+        F.substring(text, last + 1, F.length(text))))
+    changed = F.when(F.col("_p_spans").isNull(), text).otherwise(new)
+    done = keyed.withColumn("_p_text", changed)
+    columns = [
+        F.col("_p_text").alias(c) if c == text_col
+        else F.when(F.col("_p_spans").isNull(), F.col(f"`{c}`")).otherwise(F.length("_p_text")).alias(c) if c == length_col
+        else F.col(f"`{c}`") for c in docs.columns
+    ]
+    return done.select(*columns).unionAll(docs.where(~may))
