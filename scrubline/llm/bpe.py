@@ -11,6 +11,7 @@ import base64
 import heapq
 from array import array
 from collections.abc import Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -89,7 +90,12 @@ class Vocabulary:
         slot = self.table.slot(pre_token)
         return [self.slot_ids[slot]] if slot >= 0 else merged(pre_token, self.ranks)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "encoder"}
+
+    @cached_property
     def encoder(self) -> Remembering:
+        """Ids of texts. A worker keeps it, and the remembered pieces, from task to task."""
         matches = regex.compile(self.pattern).findall
 
         def encode(pieces: Sequence[str]) -> list[bytes]:
@@ -152,18 +158,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = shared.value.encoder()
+        to_ids = shared.value.encoder
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            done = 0
-            for group in grouped(texts):
+            for own, group in grouped(batch):
                 coded = to_ids(group)
                 ends = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
                 flat = pa.array(np.frombuffer(b"".join(coded), "<u4").view("<i4"))
                 lists = pa.ListArray.from_arrays(pa.array(ends), flat)
-                ids = batch.column(0).slice(done, len(group))
-                yield batch_of(pa.schema([("id", ids.type), ("ids", lists.type)]), ids, lists)
-                done += len(group)
+                yield batch_of(pa.schema([("id", own.type), ("ids", lists.type)]), own, lists)
 
     return map_batches(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, ids array<int>"

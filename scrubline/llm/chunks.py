@@ -11,9 +11,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Remembered pieces of one worker (twice as many at most), and the longest of them; both
 #: bound memory, not results.
-MEMO, MEMO_CHARS = 500_000, 40
+MEMO, MEMO_CHARS = 300_000, 40
 MARKS = ".,;:!?"
 _RUN = re.compile(r"\s\s")
 _SINGLE = re.compile(r" (?=\S)(?<=\S )")
@@ -67,13 +71,13 @@ class Remembering:
         return out
 
 
-def grouped(texts: Sequence[str], chars: int = 400_000):
-    """Runs of texts of about ``chars`` characters, so that a call works on a bounded amount."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= chars:
-            yield texts[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield texts[start:]
+def grouped(batch: pa.RecordBatch, chars: int = 400_000) -> Iterator[tuple[pa.Array, list[str]]]:
+    """The rows of a batch of ids and texts in runs of about ``chars`` characters, so that a
+    call works on a bounded amount. Null texts are empty."""
+    sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + chars, "right"))
+        run = batch.slice(at, max(1, end - at))
+        yield run.column(0), [t or "" for t in run.column(1).to_pylist()]
+        at += run.num_rows

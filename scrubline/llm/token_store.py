@@ -19,6 +19,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -116,8 +117,10 @@ class Codes:
         return value
 
 
+@lru_cache(maxsize=1)
 def library_encoder(path: str) -> Remembering:
-    """Ids by the tokenizers library from a tokenizer file, without special tokens."""
+    """Ids by the tokenizers library from a tokenizer file, without special tokens. A worker
+    keeps its encoder, and with it the remembered pieces, from task to task."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -171,14 +174,11 @@ def write_tokens(
                     ("part", pa.int32()), ("seg", pa.int32()), ("doc_ids", pa.list_(batch.schema.field(0).type)),
                     ("doc_ends", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("codes", pa.binary()),
                 ])
-            own, at = batch.column(0).to_pylist(), 0
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for group in grouped(texts):
-                for coded in encode(group):
+            for own, group in grouped(batch):
+                for i, coded in zip(own.to_pylist(), encode(group)):
                     parts.append(coded + tail)
                     ends.append((ends[-1] if ends else 0) + len(parts[-1]) // 4)
-                    ids.append(own[at])
-                    at += 1
+                    ids.append(i)
                     if ends[-1] >= segment_tokens:
                         yield close()
                         ids, ends, parts, seg = [], [], [], seg + 1
