@@ -15,6 +15,7 @@ or double segment.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from array import array
@@ -120,7 +121,9 @@ class Codes:
 @lru_cache(maxsize=1)
 def library_encoder(path: str) -> Remembering:
     """Ids by the tokenizers library from a tokenizer file, without special tokens. A worker
-    keeps its encoder, and with it the remembered pieces, from task to task."""
+    keeps its encoder, and with it the remembered pieces, from task to task. The library
+    runs on the task's own core: its threads would compete with the other tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
