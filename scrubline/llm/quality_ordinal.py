@@ -17,7 +17,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.llm.common import map_batches
@@ -96,34 +97,34 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(
-    rows: list[tuple[list[int], list[float]]], grades: list[int], n_grades: int, rounds: int = ROUNDS, ridge: float = RIDGE
+    sizes: np.ndarray, index: np.ndarray, value: np.ndarray, grades: np.ndarray, n_grades: int, rounds: int = ROUNDS,
+    ridge: float = RIDGE,
 ) -> Model:
     """Penalised maximum likelihood by Adam over all rows, each grade with equal weight.
 
+    Row ``r`` has the next ``sizes[r]`` of the flat ``index`` (buckets) and ``value``.
     The gaps between thresholds are exponentials, so they stay in order. Without rows all
     grades get equal chances.
     """
     k = n_grades - 1
     even = np.log(np.arange(1, n_grades) / np.arange(k, 0, -1))
-    if not rows or not k:
+    n = len(grades)
+    if not n or not k:
         return Model(np.zeros(BUCKETS), even)
     theta = np.concatenate([even[:1], np.log(np.diff(even))])
-    sizes = [len(i) for i, _ in rows]
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    index = np.fromiter((i for r, _ in rows for i in r), np.int64, sum(sizes))
-    value = np.fromiter((v for _, r in rows for v in r), float, sum(sizes))
-    known = _telling(np.unique(owner * BUCKETS + index), np.array(grades), n_grades)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    known = _telling(owner, index, grades, n_grades)
     place, kept = np.cumsum(known) - 1, known[index]
     owner, index, value = owner[kept], place[index[kept]], value[kept]
     width = int(known.sum())
     weights = np.zeros(width)
-    y = np.array(grades)
+    value, y = value.astype(float), grades
     share = np.bincount(y, minlength=n_grades)
     mass = 1 / (share[y] * (share > 0).sum())
     means, squares = [np.zeros(width), np.zeros(k)], [np.zeros(width), np.zeros(k)]
     for t in range(1, rounds + 1):
         cuts = theta[0] + np.concatenate([[0], np.cumsum(np.exp(theta[1:]))])
-        score = np.bincount(owner, value * weights[index], len(rows))
+        score = np.bincount(owner, value * weights[index], n)
         tail = np.column_stack([np.ones(len(y)), _sigmoid(score[:, None] - cuts), np.zeros(len(y))])
         slope = tail * (1 - tail)
         upper, lower = np.arange(len(y)), y
@@ -147,9 +148,10 @@ def fit(
     return Model(whole, theta[0] + np.concatenate([[0], np.cumsum(np.exp(theta[1:]))]))
 
 
-def _telling(met: np.ndarray, grades: np.ndarray, n_grades: int) -> np.ndarray:
-    """Buckets that tell grades apart. ``met`` holds ``rating * BUCKETS + bucket``."""
-    rating, bucket = met // BUCKETS, met % BUCKETS
+def _telling(owner: np.ndarray, index: np.ndarray, grades: np.ndarray, n_grades: int) -> np.ndarray:
+    """Buckets that tell grades apart; a row counts once for each of its buckets."""
+    met = np.unique(owner.astype(np.int64) * BUCKETS + index)
+    rating, bucket = (met // BUCKETS).astype(np.int32), (met % BUCKETS).astype(np.int32)
     everywhere, known = np.bincount(bucket, minlength=BUCKETS), np.zeros(BUCKETS, bool)
     for cut in range(1, n_grades):
         high = grades >= cut
@@ -181,20 +183,24 @@ def train(
     for more in sample[1:]:
         chosen = chosen.unionAll(more)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    found = texts.join(F.broadcast(chosen), "_id").select("_id", "_grade", "_text")
+    found = texts.join(F.broadcast(chosen), "_id").select(F.col("_id").cast("string"), "_grade", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = Places()
         for batch in batches:
             made = [features(t, at) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                batch.column(1), pa.array([i for i, _ in made], pa.list_(pa.int32())),
+                batch.column(1), batch.column(0), pa.array([i for i, _ in made], pa.list_(pa.int32())),
                 pa.array([v for _, v in made], pa.list_(pa.float32())),
-            ], names=["grade", "index", "value"])
-
-    rows = map_batches(found, run, "grade int, index array<int>, value array<float>").toArrow()
-    order = sorted(zip(rows["grade"].to_pylist(), rows["index"].to_pylist(), rows["value"].to_pylist()))
-    return fit([(i, v) for _, i, v in order], [g for g, _, _ in order], n_grades)
+            ], names=["grade", "id", "index", "value"])
+
+    rows = map_batches(found, run, "grade int, id string, index array<int>, value array<float>").toArrow()
+    # Flat arrays, in an order of their own, so the same sample always gives the same model.
+    rows = rows.combine_chunks().sort_by([("grade", "ascending"), ("id", "ascending")])
+    lists = rows["index"].combine_chunks()
+    return fit(
+        pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy(), rows["value"].combine_chunks().flatten().to_numpy(),
+        rows["grade"].to_numpy(), n_grades)
 
 
 def _judge(docs: DataFrame, model: Model, min_grade: int, text_col: str, row_of, schema) -> DataFrame:
