@@ -137,3 +137,14 @@ def fill_text_forward(spark, sf):
 def fill_per_column(spark, sf):
     """The defaults by type: mean for numbers, mode for the rest."""
     return fill.fill_nulls(wide_gaps(spark, sf), FillOptions()).withColumn("v", F.round("v", 6))
+
+
+# A boolean column with nulls is no number column: the default fill is its mode.
+@query(
+    "fill_boolean",
+    """select event_id, case when event_id % 5 = 0 then true else event_id % 5 < 4 end as flag, event_id % 5 = 1 as whole from events""",
+)
+def fill_boolean(spark, sf):
+    k = F.col("event_id") % 5
+    df = table(spark, sf, "events").select("event_id", F.when(k != 0, k < 4).alias("flag"), (k == 1).alias("whole"))
+    return fill.fill_nulls(df, FillOptions())

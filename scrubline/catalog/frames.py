@@ -28,14 +28,17 @@ def video_preset(spark, sf):
 
 @query(
     "video_plan",
-    f"""select id, case when height > width then 480 else 854 end::bigint as target_width,
-     case when height > width then 854 else 480 end::bigint as target_height,
-     case when fps > 0 then fps else 30 end::double as target_fps,
-     round(case when fps > 0 then frames / fps else 0 end, 6) as duration_s, 'compress' as operation, '.mp4' as suffix,
-     least(frames, 5 * case when fps > 0 then fps else 30 end)::bigint as frames_out from {META}""",
+    f"""with o as (select *, ['gif', 'remove_audio', 'compress', 'standard'][id % 4 + 1] as operation,
+      case when fps > 0 then frames / fps else 0 end as secs, case when fps > 0 then fps else 30 end as known from {META})
+    select id, case operation when 'gif' then 480 when 'standard' then case when height > width then 480 else 854 end else width end::bigint as target_width,
+     case operation when 'gif' then (960 * height + width) // (2 * width) when 'standard' then case when height > width then 854 else 480 end else height end::bigint as target_height,
+     case operation when 'gif' then 15 when 'standard' then known else fps end::double as target_fps,
+     round(secs, 6) as duration_s, operation, case operation when 'gif' then '.gif' else '.mp4' end as suffix,
+     case operation when 'gif' then round(least(secs, 5) * 15) else least(frames, 5 * known) end::bigint as frames_out from o""",
 )
 def video_plan(spark, sf):
-    p = M.video_plan(meta(spark, sf), "480p SD", preview=True, compress=True)
+    way = F.col("id") % 4
+    p = M.video_plan(meta(spark, sf), "480p SD", preview=True, gif=way == 0, remove_audio=way == 1, compress=way == 2)
     return p.select(
         "id", "target_width", "target_height", "target_fps", F.round("duration_s", 6).alias("duration_s"),
         "operation", "suffix", "frames_out",

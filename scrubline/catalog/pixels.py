@@ -70,12 +70,25 @@ MSE = f"""select o.image_id, avg((o.v - p.v) * (o.v - p.v)) as mse from {PIX} o
 PSNR = "case when mse > 0 then 10 * log10(65025.0::double / mse) end"
 
 
-@query("mse_psnr", f"select image_id, round(mse, 4) as mse, round({PSNR}, 4) as psnr from ({MSE})")
+@query("mse_psnr", f"select image_id, round(mse, 4) as mse, round({PSNR}, 4) as psnr, true as same_size from ({MSE})")
 def mse_psnr(spark, sf):
     p = pixels(spark, sf)
     return P.mse_psnr(p, twin(p)).withColumns({c: F.round(c, 4) for c in ("mse", "psnr")})
 
 
+# Of every three images one lacks its last row on one side, one has no twin.
+@query(
+    "mse_psnr_unequal",
+    f"""select image_id, case when image_id % 3 = 0 then round(mse, 4) end as mse, case when image_id % 3 = 0 then round({PSNR}, 4) end as psnr,
+    image_id % 3 = 0 as same_size from ({MSE})""",
+)
+def mse_psnr_unequal(spark, sf):
+    p = pixels(spark, sf)
+    i = F.col("image_id") % 3
+    other = twin(p).where((i == 0) | ((i == 1) & (F.col("y") < 7)))
+    return P.mse_psnr(p, other).withColumns({c: F.round(c, 4) for c in ("mse", "psnr")})
+
+
 # Direct form: every 7 x 7 window joined to its pixels.
 SSIM = f"""with ab as materialized (select o.image_id, o.channel, o.y, o.x, o.v::double as a, p.v::double as b
    from {PIX} o join {TWIN} p using (image_id, y, x, channel)),

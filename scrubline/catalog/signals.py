@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from scrubline.catalog.registry import query, table
 from scrubline.operators import signal as S
+from scrubline.plans.clean_signal import SignalOptions, clean_signal
 from scrubline.plans.ordered import with_row_number
 
 RATE = 1000
@@ -18,7 +19,17 @@ STEREO = """(select label as series_id, ch::int as channel, k * 64 + p as idx,
 MONO = f"(select series_id, 0 as channel, idx, v from {STEREO} where channel = 0)"
 
 
-def stereo(spark, sf):
+# Long silent ends, and a faint passage between two loud ones.
+FAINT = """(select label as series_id, 0 as channel, k * 64 + p as idx, embedding[p % 64 + 1]::double
+   * case when k * 64 + p < 1200 or k * 64 + p >= 2500 then 0.0001::double when k * 64 + p between 1500 and 2199 then 0.18::double else 1 end as v
+ from (select *, row_number() over (partition by label order by vec_id) - 1 as k from embeddings), unnest(range(64)) as a(p))"""
+
+
+QUIET_FACTOR = "case when idx % 3000 between 1000 and 1999 or idx < 120 then 0.0001D else 1D end"
+FAINT_FACTOR = "case when idx < 1200 or idx >= 2500 then 0.0001D when idx between 1500 and 2199 then 0.18D else 1D end"
+
+
+def stereo(spark, sf, factor=QUIET_FACTOR):
     e = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
     e = with_row_number(e, "vec_id", "k", ["label"])
     s = e.select(
@@ -26,16 +37,17 @@ def stereo(spark, sf):
     ).select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
     s = s.withColumn("idx", (F.col("k") - 1) * 64 + F.col("p"))
     value = F.get("embedding", ((F.col("p") + F.col("channel")) % 64).cast("int")).cast("double")
-    quiet = (F.col("idx") % 3000).between(1000, 1999) | (F.col("idx") < 120)
-    return s.select(
-        "series_id", "channel", "idx", (value * F.when(quiet, F.lit(0.0001)).otherwise(F.lit(1.0))).alias("v")
-    )
+    return s.select("series_id", "channel", "idx", (value * F.expr(factor)).alias("v"))
 
 
 def mono(spark, sf):
     return stereo(spark, sf).where("channel = 0")
 
 
+def faint(spark, sf):
+    return stereo(spark, sf, FAINT_FACTOR).where("channel = 0")
+
+
 LEVEL = "case when avg(v * v) > 0 then 20 * log10(sqrt(avg(v * v))) end"
 
 
@@ -54,6 +66,19 @@ def signal_gain(spark, sf):
     return S.signal_gain(stereo(spark, sf)).withColumn("v", F.round("v", 6))
 
 
+# Series 0 has lost its name; it is a series all the same.
+@query(
+    "signal_gain_null_series",
+    f"""with m as materialized (select nullif(series_id, 0) as series_id, channel, idx, v from {MONO}),
+    l as (select series_id, {LEVEL} as db from m group by series_id)
+    select m.series_id, channel, idx, round(greatest(-1, least(1, v * pow(10::double, (-20 - db) / 20))), 6) as v
+    from m join l on m.series_id is not distinct from l.series_id""",
+)
+def signal_gain_null_series(spark, sf):
+    m = mono(spark, sf).withColumn("series_id", F.nullif("series_id", F.lit(0)))
+    return S.signal_gain(m).withColumn("v", F.round("v", 6))
+
+
 @query("downmix", f"select series_id, 0 as channel, idx, round(avg(v), 6) as v from {STEREO} group by series_id, idx")
 def downmix(spark, sf):
     return S.downmix(stereo(spark, sf)).withColumn("v", F.round("v", 6))
@@ -91,6 +116,29 @@ def trim_silence(spark, sf):
     return S.trim_silence(mono(spark, sf), RATE).withColumn("v", F.round("v", 6))
 
 
+def _trim_sql(rate: int) -> str:
+    """Cuts at whole 5 ms steps of a rate that no step divides."""
+    return f"""with m as materialized (select * from {FAINT}), s as (select series_id, max(idx) + 1 as len,
+      pow(10::double, greatest(-50, least(-15, {LEVEL} - 10)) / 20) as amp from m group by series_id),
+    head as (select series_id, min(c) as c from (select series_id, idx * 1000 // {rate} // 5 as c, sqrt(avg(v * v)) as r from m group by 1, 2)
+      join s using (series_id) where r >= amp group by series_id),
+    tail as (select series_id, min(c) as c from (select series_id, (len - 1 - idx) * 1000 // {rate} // 5 as c, sqrt(avg(v * v)) as r
+      from m join s using (series_id) group by 1, 2) join s using (series_id) where r >= amp group by series_id)
+    select series_id, channel, idx - (head.c * 5 * {rate} + 999) // 1000 as idx, round(v, 6) as v from m join s using (series_id)
+     join head using (series_id) join tail using (series_id)
+    where idx * 1000 // {rate} // 5 >= head.c and (len - 1 - idx) * 1000 // {rate} // 5 >= tail.c"""
+
+
+@query("trim_silence_44k", _trim_sql(44_100))
+def trim_silence_44k(spark, sf):
+    return S.trim_silence(faint(spark, sf), 44_100).withColumn("v", F.round("v", 6))
+
+
+@query("trim_silence_11k", _trim_sql(11_025))
+def trim_silence_11k(spark, sf):
+    return S.trim_silence(faint(spark, sf), 11_025).withColumn("v", F.round("v", 6))
+
+
 # Textbook form: test pieces, merge the silent ones into islands, cut the islands.
 GAPS = f"""{SERIES},
   r as (select series_id, idx, sqrt(avg(v * v) over (partition by series_id order by idx rows between current row and 499 following)) as r
@@ -174,3 +222,46 @@ def duration_compare(spark, sf):
     m = mono(spark, sf)
     d = S.duration_compare(m, S.remove_gaps(m, RATE, stretch=STRETCH), RATE)
     return d.withColumns({c: F.round(c, 6) for c in ("orig_dur", "new_dur")})
+
+
+# The threshold is taken once, on the levelled sound before trimming.
+PLAN = f"""g as (select series_id, {LEVEL} as db from {FAINT} group by series_id),
+  src as materialized (select series_id, idx, greatest(-1, least(1, v * pow(10::double, (-20 - db) / 20))) as v from {FAINT} join g using (series_id)),
+  th as (select series_id, max(idx) + 1 as len, greatest(-50, least(-15, {LEVEL} - 10)) as db from src group by series_id),
+  series as materialized (select series_id, len, db, pow(10::double, db / 20) as amp from th),
+  head as (select series_id, min(c) as c from (select series_id, idx // 5 as c, sqrt(avg(v * v)) as r from src group by 1, 2)
+    join series using (series_id) where r >= amp group by series_id),
+  tail as (select series_id, min(c) as c from (select series_id, (len - 1 - idx) // 5 as c, sqrt(avg(v * v)) as r
+    from src join series using (series_id) group by 1, 2) join series using (series_id) where r >= amp group by series_id),
+  t as materialized (select series_id, idx - head.c * 5 as idx, v, amp from src join series using (series_id)
+    join head using (series_id) join tail using (series_id) where idx >= head.c * 5 and idx < len - tail.c * 5),
+  tl as (select series_id, max(idx) + 1 as len, max(amp) as amp from t group by series_id),
+  r as (select series_id, idx, sqrt(avg(v * v) over (partition by series_id order by idx rows between current row and 499 following)) as r from t),
+  st as (select series_id, idx as i, len from r join tl using (series_id)
+    where (idx % 10 = 0 or idx = len - 500) and idx <= len - 500 and r <= amp),
+  f as (select *, case when i - lag(i) over (partition by series_id order by i) <= 500 then 0 else 1 end as new from st),
+  n as (select *, sum(new) over (partition by series_id order by i rows unbounded preceding) as n from f),
+  isl as (select series_id, n, min(i) as s, max(i) + 500 as e, max(len) as len from n group by series_id, n),
+  cut as (select series_id, case when s = 0 then 0 else s + 250 end as a, case when e = len then len else e - 250 end as b
+    from isl where not (s = 0 and e = len)),
+  kept as (select * from t where not exists (select 1 from cut where cut.series_id = t.series_id and t.idx >= a and t.idx < b))"""
+
+
+@query(
+    "clean_signal",
+    f"""with {PLAN} select series_id, 0 as channel, row_number() over (partition by series_id order by idx) - 1 as idx, round(v, 6) as v from kept""",
+)
+def plan_of_sounds(spark, sf):
+    return clean_signal(faint(spark, sf), RATE, SignalOptions(convert=False))[0].withColumn("v", F.round("v", 6))
+
+
+@query(
+    "clean_signal_steps",
+    f"""with {PLAN}, c as (select series_id, len as n0, db, (select count(*) from t where t.series_id = series.series_id) as n1,
+      (select count(*) from kept where kept.series_id = series.series_id) as n2 from series),
+    l as (select series_id, list_filter(['Normalized to -20dB', format('Auto-Threshold: {{:.1f}}dB', db),
+      case when n1 < n0 then 'Trimmed Silence' end, case when n2 < n1 then 'Removed internal gaps' end, 'Format: 8000Hz, 16-bit'], lambda x: x is not null) as s from c)
+    select series_id, generate_subscripts(s, 1)::int as step_no, unnest(s) as step from l""",
+)
+def clean_signal_steps(spark, sf):
+    return clean_signal(faint(spark, sf), RATE, SignalOptions(rate=8000))[1]

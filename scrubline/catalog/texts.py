@@ -269,13 +269,32 @@ def line_diff(spark, sf):
 
 @query(
     "concat_documents",
-    """select conv_id, 0::bigint as part, string_agg(text, chr(10) || chr(10) order by turn) as text
+    """select conv_id, string_agg(text, chr(10) || chr(10) order by turn) as text
     from conversations where length(text) > 0 group by conv_id""",
 )
 def concat_documents(spark, sf):
     return TT.concat_documents(table(spark, sf, "conversations"), "conv_id", "turn")
 
 
+@query(
+    "concat_documents_sparse",
+    """select lang, string_agg(text, chr(10) || chr(10) order by doc_id) as text
+    from documents where length(text) > 0 group by lang""",
+)
+def concat_documents_sparse(spark, sf):
+    docs = table(spark, sf, "documents").select("lang", "text", (F.col("doc_id") * 1_000_003).alias("at"))
+    return TT.concat_documents(docs, "lang", "at")
+
+
+@query(
+    "ordered_texts",
+    """select source, row_number() over (partition by source order by doc_id) as position, text
+    from documents where length(text) > 0""",
+)
+def ordered_texts(spark, sf):
+    return TT.ordered_texts(table(spark, sf, "documents"), "source", "doc_id")
+
+
 LEAVES = """concat('{"kind":"', event_type, '","inner":{"p":', props, ',"list":["', event_type, '",1,{"u":"u', cast(user_id as string), '"},""]}}')"""
 
 

@@ -55,7 +55,6 @@ DATE_SHARE = 0.5
 Z_LIMIT = 3.0
 IQR_REACH = 1.5
 TOP_CATEGORIES = 10
-ID_COLUMNS_SHOWN = 3
 HISTOGRAM_BINS = 30
 PREVIEW_ROWS = 10
 PREVIEW_CHARS = 1000
@@ -91,7 +90,7 @@ MAX_WIDTH, MAX_HEIGHT = 1024, 1024
 
 # --- Frames -----------------------------------------------------------------
 VIDEO_PRESETS = {"720p HD": (1280, 720), "1080p Full HD": (1920, 1080), "480p SD": (854, 480)}
-DEFAULT_FPS, GIF_FPS, PREVIEW_SECONDS = 30.0, 15, 5.0
+DEFAULT_FPS, GIF_FPS, GIF_WIDTH, PREVIEW_SECONDS = 30.0, 15, 480, 5.0
 
 # --- Signals ----------------------------------------------------------------
 TARGET_DBFS = -20.0
@@ -99,9 +98,12 @@ FIXED_SILENCE_DB, SILENCE_CEILING_DB, SILENCE_FLOOR_DB = -40.0, -15.0, -50.0
 SILENCE_MARGIN_DB, STRICT_MARGIN_DB = 10.0, 6.0
 TRIM_STEP_MS, GAP_STEP_MS, MIN_GAP_MS, KEEP_MS = 5, 10, 500, 250
 WAVEFORM_POINTS = 10_000
+SIGNAL_STEPS = {
+    "gain": "Normalized to -20dB", "mono": "Converted to Mono", "threshold": "Auto-Threshold: %.1fdB",
+    "trim": "Trimmed Silence", "gaps": "Removed internal gaps", "format": "Format: %dHz, %d-bit",
+}
 
 # --- Files ------------------------------------------------------------------
-TEXT_SUFFIXES = (".txt", ".md", ".py", ".js", ".html", ".css", ".csv")
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".webp", ".tiff")
 AUDIO_SUFFIXES = (".wav", ".mp3", ".m4a", ".flac", ".ogg")
 VIDEO_SUFFIXES = (".mp4", ".mov", ".avi", ".mkv")

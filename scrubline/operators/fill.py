@@ -21,8 +21,9 @@ from scrubline.plans.quantile import SMALL_ROWS, exact_quantiles
 
 
 def is_numeric(df: DataFrame, c: str) -> bool:
-    """Numbers, and booleans as well."""
-    return isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType))
+    """Numbers. A boolean column with nulls holds objects, not numbers: its default is the
+    mode, and mean, median and lines between values leave it alone."""
+    return isinstance(df.schema[c].dataType, T.NumericType)
 
 
 def _clean(df: DataFrame, c: str) -> Column:
@@ -34,8 +35,6 @@ def _clean(df: DataFrame, c: str) -> Column:
 
 
 def _number(df: DataFrame, c: str) -> Column:
-    if isinstance(df.schema[c].dataType, T.BooleanType):
-        return F.col(_q(c)).cast("int").cast("double")
     return _clean(df, c).cast("double")
 
 
@@ -147,7 +146,7 @@ def fill_ordered(
             w = O.earlier_buckets() if forward else O.later_buckets()
             carries.append(F.last(f"_{side}{i}", ignorenulls=True).over(w).alias(f"_{side}{i}"))
             # a backward look is a running window over the reversed order
-            order = F.col(order_by) if forward else F.col(order_by).desc()
+            order = F.col(_q(order_by)) if forward else F.col(_q(order_by)).desc()
             local[f"_l{side}{i}"] = F.last(v, ignorenulls=True).over(O.local_window(order))
     summary = b.groupBy(O.KEY, O.BUCKET).agg(*edges).select(O.KEY, O.BUCKET, *carries)
     joined = O.join_summary(b.withColumns(local), summary, not partition_by)
@@ -180,9 +179,9 @@ def fill_interpolate(
         return df
 
     b = O.bucketed(df, order_by, partition_by, rows_per_bucket, bounds)
-    rn = F.row_number().over(Window.partitionBy(O.KEY, O.BUCKET).orderBy(order_by))
+    rn = F.row_number().over(Window.partitionBy(O.KEY, O.BUCKET).orderBy(_q(order_by)))
     b = b.withColumn("_rn", rn)
-    up, down = O.local_window(F.col(order_by)), O.local_window(F.col(order_by).desc())
+    up, down = O.local_window(F.col(_q(order_by))), O.local_window(F.col(_q(order_by)).desc())
     near = {}
     for i, c in enumerate(numeric):
         v = _number(df, c)

@@ -46,18 +46,35 @@ def video_preset(df: DataFrame, preset: str | None) -> DataFrame:
 
 def video_plan(
     df: DataFrame, preset: str | None = None, fps: float | None = None, preview: bool = False,
-    gif: bool = False, remove_audio: bool = False, compress: bool = False,
+    gif: bool | Column = False, remove_audio: bool | Column = False, compress: bool | Column = False,
 ) -> DataFrame:
-    """Metadata with target size and rate, duration, operation, suffix and frames to write."""
-    op = operation(gif, remove_audio, compress)
-    rate = target_fps(F.col("fps"), fps)
-    cut = F.least(F.col("frames").cast("long"), (V.PREVIEW_SECONDS * rate).cast("long"))
-    return video_preset(df, preset).withColumns({
+    """Metadata with operation, target size and rate, duration, suffix and frames to write.
+
+    The operation decides the output. A GIF is 480 wide with its sides in proportion, at
+    15 frames a second; removing sound and compressing change neither size nor rate; only
+    the standard way follows ``preset`` and ``fps``. A preview is the first five seconds
+    at the rate of its operation. The three options are booleans or columns.
+    """
+    flag = lambda x: x if isinstance(x, Column) else F.lit(x)
+    op = operation_of(flag(gif), flag(remove_audio), flag(compress))
+    is_gif, standard = op == "gif", op == "standard"
+    own, seconds = F.col("fps").cast("double"), duration(F.col("frames"), F.col("fps"))
+    rate = F.when(is_gif, F.lit(float(V.GIF_FPS))).when(standard, target_fps(F.col("fps"), fps)).otherwise(own)
+    width, height = F.col("width").cast("long"), F.col("height").cast("long")
+    in_gif = F.floor(F.lit(V.GIF_WIDTH) * height / width + 0.5)
+    shown = F.least(seconds, F.lit(V.PREVIEW_SECONDS)) if preview else seconds
+    frames = F.col("frames").cast("long")
+    # a source without a rate has no seconds to cut at; 30 stands in for it
+    first = F.least(frames, (V.PREVIEW_SECONDS * F.when(rate > 0, rate).otherwise(F.lit(V.DEFAULT_FPS))).cast("long"))
+    sized = video_preset(df, preset)
+    return sized.withColumns({
+        "target_width": F.when(is_gif, F.lit(V.GIF_WIDTH)).when(standard, F.col("target_width")).otherwise(width),
+        "target_height": F.when(is_gif, in_gif).when(standard, F.col("target_height")).otherwise(height),
         "target_fps": rate,
-        "duration_s": duration(F.col("frames"), F.col("fps")),
-        "operation": F.lit(op),
-        "suffix": F.lit(".gif" if gif else ".mp4"),
-        "frames_out": cut if preview else F.col("frames").cast("long"),
+        "duration_s": seconds,
+        "operation": op,
+        "suffix": F.when(is_gif, ".gif").otherwise(".mp4"),
+        "frames_out": F.when(is_gif, F.round(shown * V.GIF_FPS).cast("long")).otherwise(first if preview else frames),
     })
 
 

@@ -98,12 +98,15 @@ def blur_score(df: DataFrame, tile: int = TILE) -> DataFrame:
 
 
 def mse_psnr(original: DataFrame, processed: DataFrame) -> DataFrame:
-    """``(image_id, mse, psnr)``; PSNR is null for equal images."""
-    pairs = original.join(processed.withColumnRenamed("v", "p"), list(PIXEL))
+    """``(image_id, mse, psnr, same_size)`` for every image of either side; PSNR is null for
+    equal images. Where a pixel has no partner (other size, or no twin) the metrics are
+    null and ``same_size`` is false: nothing is measured on the overlap alone."""
+    pairs = original.join(processed.withColumnRenamed("v", "p"), list(PIXEL), "full_outer")
     diff = F.col("v").cast("double") - F.col("p").cast("double")
-    return pairs.groupBy("image_id").agg(F.avg(diff * diff).alias("mse")).select(
-        "image_id", "mse", _psnr(F.col("mse")).alias("psnr")
-    )
+    per_image = pairs.groupBy("image_id").agg(
+        F.avg(diff * diff).alias("all"), F.bool_and(F.col("v").isNotNull() & F.col("p").isNotNull()).alias("same_size"))
+    mse = per_image.select("image_id", F.when(F.col("same_size"), F.col("all")).alias("mse"), "same_size")
+    return mse.select("image_id", "mse", _psnr(F.col("mse")).alias("psnr"), "same_size")
 
 
 def _psnr(mse: Column) -> Column:
@@ -112,7 +115,8 @@ def _psnr(mse: Column) -> Column:
 
 def ssim(original: DataFrame, processed: DataFrame, tile: int = TILE) -> DataFrame:
     """``(image_id, ssim)``: 7x7 uniform window, sample covariance, interior pixels,
-    mean over pixels and channels. Images smaller than the window give no row.
+    mean over pixels and channels. Images smaller than the window give no row, images
+    with a pixel that has no partner a null.
 
     Both versions go through one shuffle, as columns of one tiled frame. Box sums
     are taken along rows, then along columns.
@@ -125,7 +129,6 @@ def ssim(original: DataFrame, processed: DataFrame, tile: int = TILE) -> DataFra
         _tiled(one.union(two), r, tile)
         .groupBy(*cell, "y", "x")
         .agg(F.max("a").alias("a"), F.max("b").alias("b"))
-        .where("a is not null and b is not null")
     )
     terms = {
         "a": F.col("a"), "b": F.col("b"), "aa": F.col("a") * F.col("a"),
@@ -137,10 +140,12 @@ def ssim(original: DataFrame, processed: DataFrame, tile: int = TILE) -> DataFra
     sums = pixel.select(
         *cell, "y", "x", F.count(F.lit(1)).over(row).alias("nx"),
         *[F.sum(t).over(row).alias(f"r_{k}") for k, t in terms.items()],
+        *[F.count(t).over(row).alias(f"c_{t}") for t in ("a", "b")],
     ).where(F.col("nx") == full)
     sums = sums.select(
         *cell, "y", "x", F.count(F.lit(1)).over(column).alias("ny"),
         *[F.sum(f"r_{k}").over(column).alias(f"s_{k}") for k in terms],
+        *[F.sum(f"c_{t}").over(column).alias(f"k_{t}") for t in ("a", "b")],
     ).where(F.col("ny") == full)
     n = full * full
     ma, mb = F.col("s_a") / n, F.col("s_b") / n
@@ -150,14 +155,16 @@ def ssim(original: DataFrame, processed: DataFrame, tile: int = TILE) -> DataFra
     cov = sample * (F.col("s_ab") / n - ma * mb)
     c1, c2 = (V.SSIM_K1 * V.PIXEL_RANGE) ** 2, (V.SSIM_K2 * V.PIXEL_RANGE) ** 2
     s = ((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
-    per_channel = sums.where(_core(tile)).groupBy("image_id", "channel").agg(F.avg(s).alias("s"))
-    return per_channel.groupBy("image_id").agg(F.avg("s").alias("ssim"))
+    # a window with a missing partner has no complete sums; one such window makes the image null
+    whole = F.bool_and((F.col("k_a") == n) & (F.col("k_b") == n))
+    per_channel = sums.where(_core(tile)).groupBy("image_id", "channel").agg(F.avg(s).alias("s"), whole.alias("whole"))
+    return per_channel.groupBy("image_id").agg(F.when(F.bool_and("whole"), F.avg("s")).alias("ssim"))
 
 
 def quality_metrics(original: DataFrame, processed: DataFrame, tile: int = TILE) -> DataFrame:
-    """``(image_id, ssim, psnr, mse)``."""
+    """``(image_id, ssim, psnr, mse)``; all null where the two sizes differ."""
     return mse_psnr(original, processed).join(ssim(original, processed, tile), "image_id", "left").select(
-        "image_id", "ssim", "psnr", "mse"
+        "image_id", F.when(F.col("same_size"), F.col("ssim")).alias("ssim"), "psnr", "mse"
     )
 
 

@@ -195,8 +195,11 @@ def nice_step(lo: float, hi: float, max_bins: int = V.HISTOGRAM_BINS) -> tuple[f
 
 
 def histogram(df: DataFrame, column: str, max_bins: int = V.HISTOGRAM_BINS) -> DataFrame:
-    """``(bin_start, bin_end, n)`` of the non-empty bins; the top end belongs to the last bin."""
-    x = F.nanvl(F.col(_q(column)).cast("double"), F.lit(None))
+    """``(bin_start, bin_end, n)`` of the non-empty bins of the finite values; the top end
+    belongs to the last bin."""
+    number = F.col(_q(column)).cast("double")
+    # infinite values belong to no bin
+    x = F.when(F.abs(number) < F.lit(float("inf")), number)
     ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
     if ends["lo"] is None:
         return df.sparkSession.createDataFrame([], "bin_start double, bin_end double, n long")

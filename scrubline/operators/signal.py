@@ -54,45 +54,57 @@ def downmix(df: DataFrame) -> DataFrame:
     )
 
 
-def silence_threshold(level: Column, auto: bool = True, strict: bool = False) -> Column:
-    """-40 dB, or the level minus a margin, kept within -50..-15."""
+def silence_threshold(
+    level: Column, auto: bool = True, strict: bool = False, fixed: float = V.FIXED_SILENCE_DB
+) -> Column:
+    """The fixed threshold, or the level minus a margin, kept within -50..-15."""
     if not auto:
-        return F.lit(V.FIXED_SILENCE_DB)
+        return F.lit(float(fixed))
     margin = V.STRICT_MARGIN_DB if strict else V.SILENCE_MARGIN_DB
     # a silent series has no level, and the floor holds
     return F.greatest(F.least(F.coalesce(level, F.lit(float("-inf"))) - margin, F.lit(V.SILENCE_CEILING_DB)),
                       F.lit(V.SILENCE_FLOOR_DB))
 
 
-def _series(df: DataFrame, rate: int, auto: bool, strict: bool, max_amp: float) -> DataFrame:
-    """Per series: length in samples and the mean square below which a piece is silent."""
-    threshold = silence_threshold(F.col("db"), auto, strict)
-    return (
-        df.groupBy("series_id")
-        .agg(dbfs(_mean_square(), max_amp).alias("db"), (F.max("idx") + 1).alias("_len"),
-             F.count(F.lit(1)).alias("_n"))
-        .select("series_id", "_len", "_n", F.pow(F.pow(F.lit(10.0), threshold / 20) * max_amp, F.lit(2.0)).alias("_limit"))
-    )
+def silence_limits(
+    df: DataFrame, auto: bool = True, strict: bool = False, max_amp: float = 1.0, fixed: float = V.FIXED_SILENCE_DB
+) -> DataFrame:
+    """``(series_id, threshold, _limit)``: the threshold in dB and the mean square below
+    which a piece is silent. Steps that follow each other share one table, taken before
+    the first of them changes the level."""
+    level = df.groupBy("series_id").agg(dbfs(_mean_square(), max_amp).alias("db"))
+    return level.select("series_id", silence_threshold(F.col("db"), auto, strict, fixed).alias("threshold")).withColumn(
+        "_limit", F.pow(F.pow(F.lit(10.0), F.col("threshold") / 20) * max_amp, F.lit(2.0)))
+
+
+def _series(df: DataFrame, limits: DataFrame | None, auto: bool, strict: bool, max_amp: float) -> DataFrame:
+    """Per series: length in samples and its silence limit."""
+    sizes = df.groupBy("series_id").agg((F.max("idx") + 1).alias("_len"), F.count(F.lit(1)).alias("_n"))
+    limits = silence_limits(df, auto, strict, max_amp) if limits is None else limits
+    other = limits.select(F.col("series_id").alias("_id"), "_limit")
+    return sizes.join(other, F.col("series_id").eqNullSafe(F.col("_id"))).drop("_id")
 
 
 def trim_silence(
-    df: DataFrame, rate: int, auto: bool = True, strict: bool = False, max_amp: float = 1.0
+    df: DataFrame, rate: int, auto: bool = True, strict: bool = False, max_amp: float = 1.0,
+    limits: DataFrame | None = None,
 ) -> DataFrame:
     """Cut silence off both ends, in 5 ms steps; ``idx`` restarts at 0.
 
-    Steps are counted from the start for the head and from the end for the tail. A
-    series without a loud step is gone.
+    Steps are counted in milliseconds, from the start for the head and from the end for
+    the tail, so any rate is cut at the same times. A series without a loud step is gone.
+    ``limits`` (``silence_limits``) replaces the threshold of the samples given.
     """
-    step = max(1, rate * V.TRIM_STEP_MS // 1000)
-    series = _series(df, rate, auto, strict, max_amp)
+    series = _series(df, limits, auto, strict, max_amp)
     placed = join_per_key(df, series, ["series_id"], "_n", SPREAD)
-    from_end = F.col("_len") - 1 - F.col("idx")
+    head = F.expr(f"idx * 1000L div {rate}L div {V.TRIM_STEP_MS}L")
+    tail = F.expr(f"(_len - 1 - idx) * 1000L div {rate}L div {V.TRIM_STEP_MS}L")
     # level per step, for both alignments, in one pass
     steps = placed.select(
         "series_id", "_len", "_limit", (F.col("v") * F.col("v")).alias("sq"),
         F.explode(F.array(
-            F.struct(F.lit(True).alias("head"), F.floor(F.col("idx") / step).alias("no")),
-            F.struct(F.lit(False).alias("head"), F.floor(from_end / step).alias("no")),
+            F.struct(F.lit(True).alias("head"), head.alias("no")),
+            F.struct(F.lit(False).alias("head"), tail.alias("no")),
         )).alias("s"),
     )
     loud = (
@@ -104,20 +116,17 @@ def trim_silence(
             F.min(F.when(F.col("s.head"), F.col("s.no"))).alias("a"),
             F.min(F.when(~F.col("s.head"), F.col("s.no"))).alias("b"),
         )
-        .select(
-            "series_id", (F.col("a") * step).alias("_from"), (F.col("_len") - F.col("b") * step).alias("_to"),
-            F.col("_len").alias("_n"),
-        )
-    )
-    kept = join_per_key(df, loud, ["series_id"], "_n", SPREAD).where(
-        (F.col("idx") >= F.col("_from")) & (F.col("idx") < F.col("_to"))
+        .select("series_id", "_len", "a", "b", F.col("_len").alias("_n"))
     )
-    return kept.withColumn("idx", F.col("idx") - F.col("_from")).select(*df.columns)
+    kept = join_per_key(df, loud, ["series_id"], "_n", SPREAD).where((head >= F.col("a")) & (tail >= F.col("b")))
+    first = F.expr(f"(a * {V.TRIM_STEP_MS * rate}L + 999L) div 1000L")
+    return kept.withColumn("idx", F.col("idx") - first).select(*df.columns)
 
 
 def gap_cells(
     df: DataFrame, rate: int, auto: bool = True, strict: bool = False, max_amp: float = 1.0,
     min_gap_ms: int = V.MIN_GAP_MS, keep_ms: int = V.KEEP_MS, stretch: int = STRETCH,
+    limits: DataFrame | None = None,
 ) -> DataFrame:
     """``(series_id, ms, removed)`` for every millisecond of every series.
 
@@ -128,7 +137,7 @@ def gap_cells(
     series is covered by silent pieces. That looks at most ``min_gap_ms + keep_ms``
     away, which is the overlap of the stretches.
     """
-    series = _series(df, rate, auto, strict, max_amp)
+    series = _series(df, limits, auto, strict, max_amp)
     cells = df.groupBy("series_id", F.floor(F.col("idx") * 1000 / F.lit(rate)).alias("ms")).agg(
         F.sum(F.col("v") * F.col("v")).alias("sq"), F.count(F.lit(1)).alias("k")
     )
@@ -172,10 +181,11 @@ def gap_cells(
 def remove_gaps(
     df: DataFrame, rate: int, auto: bool = True, strict: bool = False, max_amp: float = 1.0,
     min_gap_ms: int = V.MIN_GAP_MS, keep_ms: int = V.KEEP_MS, stretch: int = STRETCH,
+    limits: DataFrame | None = None,
 ) -> DataFrame:
     """Shorten inner gaps; ``idx`` keeps its old values (use ``renumber``). A series that
     is silent throughout is returned whole."""
-    cells = materialize(gap_cells(df, rate, auto, strict, max_amp, min_gap_ms, keep_ms, stretch))
+    cells = materialize(gap_cells(df, rate, auto, strict, max_amp, min_gap_ms, keep_ms, stretch, limits))
     per_series = cells.groupBy("series_id").agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(~F.col("covered")).alias("_open")
     )
@@ -226,12 +236,12 @@ def thin_series(df: DataFrame, points: int = V.WAVEFORM_POINTS) -> DataFrame:
 
 def signal_props(df: DataFrame, series: DataFrame, max_amp: float = 1.0) -> DataFrame:
     """``(series_id, duration_s, channels, layout, rate, bits, dbfs)``; ``series`` holds
-    ``rate`` and ``width`` (bytes per sample)."""
+    ``rate`` and ``width`` (bytes per sample). A series it lacks has null rate and duration."""
     measured = df.groupBy("series_id").agg(
         (F.max("idx") + 1).alias("n"), F.count_distinct("channel").alias("channels"),
         dbfs(_mean_square(), max_amp).alias("dbfs"),
     )
-    return measured.join(series, "series_id").select(
+    return measured.join(series, "series_id", "left").select(
         "series_id", (F.col("n") / F.col("rate")).alias("duration_s"), "channels",
         F.when(F.col("channels") == 1, "Mono").otherwise("Stereo").alias("layout"),
         "rate", (F.col("width") * 8).alias("bits"), "dbfs",

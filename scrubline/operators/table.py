@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from scrubline.functions import fixed_values as V
 from scrubline.functions import text as X
+from scrubline.plans.names import quoted as _q
 
 
 def string_columns(df: DataFrame) -> list[str]:
@@ -25,10 +26,6 @@ def _replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.select(*[new[c].alias(c) if c in new else F.col(_q(c)) for c in df.columns])
 
 
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def strip_headers(df: DataFrame) -> DataFrame:
     names = [c.strip() for c in df.columns]
     twice = sorted({c for c in names if names.count(c) > 1})
@@ -51,7 +48,7 @@ def drop_column(df: DataFrame, *names: str) -> DataFrame:
 
 def preview(df: DataFrame, order_by: str, n: int = V.PREVIEW_ROWS) -> DataFrame:
     """First ``n`` rows in row-key order (a take-ordered, not a sort)."""
-    return df.orderBy(order_by).limit(n)
+    return df.orderBy(_q(order_by)).limit(n)
 
 
 def drop_duplicates(df: DataFrame, row_key: str | None = None) -> DataFrame:
@@ -61,7 +58,7 @@ def drop_duplicates(df: DataFrame, row_key: str | None = None) -> DataFrame:
     if row_key is None:
         return df.dropDuplicates()
     others = [c for c in df.columns if c != row_key]
-    return df.groupBy(*others).agg(F.min(row_key).alias(row_key)).select(*df.columns)
+    return df.groupBy(*map(_q, others)).agg(F.min(_q(row_key)).alias(row_key)).select(*map(_q, df.columns))
 
 
 # --- date detection ---------------------------------------------------------

@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scrubline.plans.names import quoted as _q
+
+#: Bounds the summary a key sends to one task. Above ``MAX_BUCKETS * ROWS_PER_BUCKET`` rows
+#: (33 billion) buckets grow beyond ``ROWS_PER_BUCKET``; results stay the same.
 MAX_BUCKETS = 32_768
 ROWS_PER_BUCKET = 1_000_000
 SAMPLES_PER_BUCKET = 64
@@ -23,7 +27,7 @@ BUCKET, KEY, ORDER = "_bucket", "_key", "_ord"
 def order_number(df: DataFrame, name: str) -> Column:
     """The order key as a number that never decreases along the order."""
     kind = df.schema[name].dataType
-    c = F.col(name)
+    c = F.col(_q(name))
     if isinstance(kind, T.IntegralType):
         return c.cast("long")
     if isinstance(kind, T.NumericType):
@@ -95,7 +99,7 @@ def bucketed(
         bounds = order_bounds(df, order_by, rows_per_bucket)
     return df.select(
         "*",
-        F.struct(*([F.col(k) for k in partition_by] or [F.lit(0).alias("all")])).alias(KEY),
+        F.struct(*([F.col(_q(k)) for k in partition_by] or [F.lit(0).alias("all")])).alias(KEY),
         bucket_of(order_number(df, order_by), bounds).alias(BUCKET),
         order_number(df, order_by).alias(ORDER),
     )
@@ -150,7 +154,7 @@ def running_total(
             F.coalesce(F.sum("_s").over(earlier_buckets()), F.lit(0)).alias("_offset"),
         )
     )
-    local = b.withColumn("_run", F.sum("_v").over(local_window(F.col(order_by))))
+    local = b.withColumn("_run", F.sum("_v").over(local_window(F.col(_q(order_by)))))
     return (
         join_summary(local, summary, not partition_by)
         .withColumn(name, F.col("_offset") + F.col("_run"))

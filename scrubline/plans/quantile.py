@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrubline.plans.materialize import materialize
+from scrubline.plans.names import quoted as _q
 
 SMALL_ROWS = 500_000
 SAMPLE_ROWS = 1_000_000
@@ -42,7 +43,10 @@ def exact_quantiles(
     distinct values is narrowed first. So the sample never decides a result.
     """
     columns, probs = list(columns), list(probs)
-    clean = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns])
+    # numbered names: those of the table may hold any character
+    names = [f"c{i}" for i in range(len(columns))]
+    clean = df.select(*[F.nanvl(F.col(_q(c)).cast("double"), F.lit(None)).alias(n) for c, n in zip(columns, names)])
+    labels, columns = columns, names
     row = clean.agg(
         *[f(c).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in
           (("n", F.count), ("lo", F.min), ("hi", F.max))]
@@ -52,7 +56,7 @@ def exact_quantiles(
     if max(counts) <= small_rows:
         at = F.array(*map(F.lit, probs))
         values = clean.agg(*[F.percentile(c, at).alias(f"p{i}") for i, c in enumerate(columns)]).first()
-        return {c: list(values[f"p{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
+        return {c: list(values[f"p{i}"] or [None] * len(probs)) for i, c in enumerate(labels)}
 
     grid = [min(1.0, max(0.0, p + d)) for p in probs for d in (-SLACK, SLACK)]
     sketch = _sample(clean, max(counts)).agg(
@@ -70,16 +74,17 @@ def exact_quantiles(
     found = _order_statistics(clean, wanted, small_rows)
 
     result = {}
-    for i, c in enumerate(columns):
-        result[c] = []
+    for i, (label, c) in enumerate(zip(labels, columns)):
+        result[label] = []
         for p in probs:
             if not counts[i]:
-                result[c].append(None)
+                result[label].append(None)
                 continue
             pos = (counts[i] - 1) * p
             lower = floor(pos)
             a, b = found[c, lower], found[c, min(lower + 1, counts[i] - 1)]
-            result[c].append(a + (b - a) * (pos - lower))
+            # the order of operations of the built-in percentile, so both paths agree to the last bit
+            result[label].append(a if a == b or pos == lower else (lower + 1 - pos) * a + (pos - lower) * b)
     return result
 
 

@@ -159,8 +159,14 @@ def test_video_plan(spark):
     a = {r["id"]: r for r in M.video_plan(df, "720p HD", preview=True).collect()}
     assert (a[1]["target_width"], a[1]["target_fps"], a[1]["duration_s"], a[1]["frames_out"]) == (1280, 30.0, 0.0, 100)
     assert (a[2]["target_width"], a[2]["target_height"], a[2]["duration_s"], a[2]["frames_out"]) == (720, 1280, 20.0, 125)
-    b = M.video_plan(df, fps=60, gif=True, compress=True).where("id = 1").first()
-    assert (b["operation"], b["suffix"], b["target_fps"], b["target_width"], b["frames_out"]) == ("gif", ".gif", 60.0, 1920, 100)
+    shown = ("operation", "suffix", "target_fps", "target_width", "target_height", "frames_out")
+    gif = {r["id"]: tuple(r[c] for c in shown) for r in M.video_plan(df, "720p HD", 60, gif=True, compress=True).collect()}
+    assert gif == {1: ("gif", ".gif", 15.0, 480, 270, 0), 2: ("gif", ".gif", 15.0, 480, 640, 300)}
+    for way in ("remove_audio", "compress"):
+        got = {r["id"]: tuple(r[c] for c in shown) for r in M.video_plan(df, "720p HD", 60, preview=True, **{way: True}).collect()}
+        assert got == {1: (way, ".mp4", 0.0, 1920, 1080, 100), 2: (way, ".mp4", 25.0, 600, 800, 125)}
+    c = M.video_plan(df, fps=60).where("id = 2").first()
+    assert tuple(c[x] for x in shown) == ("standard", ".mp4", 60.0, 600, 800, 500)
     assert M.operation() == "standard" and M.operation(remove_audio=True, compress=True) == "remove_audio"
 
 
@@ -291,8 +297,43 @@ def test_downmix_thin_props(spark):
 
 
 def test_whole_sound_plan(spark, sounds):
-    out, steps = clean_signal(sounds, 1000, SignalOptions(rate=2000))
-    assert steps[0] == "Normalized to -20dB" and steps[-1] == "Format: 2000Hz, 16-bit"
+    out, report = clean_signal(sounds, 1000, SignalOptions(rate=2000))
+    steps = {}
+    for r in report.orderBy("series_id", "step_no").collect():
+        steps.setdefault(r["series_id"], []).append(r["step"])
+    assert all(s[0] == "Normalized to -20dB" and s[-1] == "Format: 2000Hz, 16-bit" for s in steps.values())
+    assert "Trimmed Silence" in steps[1] and "Removed internal gaps" in steps[1]
+    assert set(steps) == set(SOUNDS) and not any("Mono" in x for s in steps.values() for x in s)
+    assert not any(x in ("Trimmed Silence", "Removed internal gaps") for x in steps[5])
     got = out.groupBy("series_id").agg(F.max("idx") + 1, F.count(F.lit(1))).collect()
     assert got and all(r[1] == r[2] for r in got)
     assert dict(out.dtypes)["v"] == "bigint"
+
+
+def test_threshold_is_fixed_before_trimming(spark):
+    v = tone([(27_000, 0.0), (1000, 0.9), (800, 0.093), (1000, 0.9)])
+    frame = sound_frame(spark, {1: [v]})
+    out, _ = clean_signal(frame, 1000, SignalOptions(convert=False))
+    assert out.count() == 2800
+    out, _ = clean_signal(frame, 1000, SignalOptions(convert=False, auto_threshold=False, silence_thresh=-15))
+    assert out.count() < 2800
+
+
+@pytest.mark.parametrize("rate", [44_100, 11_025, 1000])
+def test_trim_cuts_at_milliseconds(spark, rate):
+    v = np.concatenate([np.zeros(2 * rate), np.full(rate, 0.5), np.zeros(2 * rate)])
+    got = S.trim_silence(sound_frame(spark, {1: [v]}), rate)
+    assert got.count() == rate and got.agg(F.min("idx")).first()[0] == 0
+
+
+def test_null_series_and_unequal_images(spark):
+    df = spark.createDataFrame([(None, 0, 0, 0.5), (1, 0, 0, 0.2)], "series_id int, channel int, idx long, v double")
+    assert S.signal_gain(df).count() == 2 and S.thin_series(df).count() == 2
+    assert S.signal_props(df, df.select("series_id").limit(0).selectExpr("series_id", "1 as rate", "2 as width")).count() == 2
+    a = [(i, y, x, 0, 9) for i in (1, 2) for y in range(8) for x in range(8)]
+    b = [(1, y, x, 0, 9) for y in range(8) for x in range(4)]
+    names = "image_id int, y int, x int, channel int, v int"
+    one, two = spark.createDataFrame(a, names), spark.createDataFrame(b, names)
+    got = P.quality_metrics(one, two).collect()
+    assert sorted((r["image_id"], r["ssim"], r["mse"]) for r in got) == [(1, None, None), (2, None, None)]
+    assert all(r["mse"] == 0 and r["ssim"] == pytest.approx(1) for r in P.quality_metrics(one, one).collect())

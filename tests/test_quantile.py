@@ -37,3 +37,10 @@ def test_a_sample_that_misses_is_noticed(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([(None, 1.0)], "a double, b double")
     assert exact_quantiles(df, ["a", "b"], [0.5], 0) == {"a": [None], "b": [1.0]}
+
+
+def test_both_paths_agree_to_the_last_bit(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in rng.normal(0, 1e3, (997, 2))], "`a.b` double, `c d` double")
+    probs = [k / 24 for k in range(25)]
+    assert exact_quantiles(df, ["a.b", "c d"], probs, 10) == exact_quantiles(df, ["a.b", "c d"], probs, 10_000)

@@ -186,10 +186,12 @@ def test_json_text(spark):
 def test_concat_documents(spark):
     rows = [(1, 0, "a"), (1, 2, "c"), (1, 1, ""), (1, 3, None), (2, 5, "z"), (1, 10, "k")]
     df = spark.createDataFrame(rows, "g int, o long, text string")
-    whole = {(r["g"], r["part"]): r["text"] for r in TT.concat_documents(df, "g", "o").collect()}
-    assert whole == {(1, 0): "a\n\nc\n\nk", (2, 0): "z"}
-    parts = TT.concat_documents(df, "g", "o", rows_per_part=3).where("g = 1").orderBy("part").collect()
-    assert "\n\n".join(r["text"] for r in parts) == "a\n\nc\n\nk" and len(parts) == 2
+    whole = {r["g"]: r["text"] for r in TT.concat_documents(df, "g", "o").collect()}
+    assert whole == {1: "a\n\nc\n\nk", 2: "z"}
+    wide = df.withColumn("o", F.col("o") * 99_999)
+    assert {r["g"]: r["text"] for r in TT.concat_documents(wide, "g", "o").collect()} == whole
+    rows = TT.ordered_texts(df, "g", "o", rows_per_bucket=1).orderBy("g", "position").collect()
+    assert [tuple(r) for r in rows] == [(1, 1, "a"), (1, 2, "c"), (1, 3, "k"), (2, 1, "z")]
 
 
 def test_line_diff_is_a_multiset(spark):
