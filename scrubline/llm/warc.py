@@ -26,8 +26,6 @@ from scrubline.llm.common import batch_of, map_batches, stored, utf8
 MAGIC = b"\x1f\x8b\x08"
 #: A file is closed by the record that takes it over this size; a task reads ranges of SPLIT bytes, CHUNK at a time.
 FILE_BYTES, SPLIT_BYTES, CHUNK_BYTES = 64 << 20, 8 << 20, 1 << 20
-#: No headers of a record are longer.
-HEADER_BYTES = 64 << 10
 SALTS = 32
 VERSION = b"WARC/1.1\r\n"
 
@@ -106,9 +104,10 @@ class _Bytes:
 
 
 def _member(source: _Bytes, place: int) -> tuple[Record, int] | None:
-    """The record of the member at ``place`` and where the member ends."""
+    """The record of the member at ``place`` and where the member ends. Headers may have any
+    length: what begins as a record is inflated to the member's end."""
     unpack, out, at = zlib.decompressobj(31), [], place - source.at
-    checked, seen = False, 0
+    start, checked = b"", False
     while True:
         if at >= len(source.data) and not source.more():
             return None
@@ -117,12 +116,11 @@ def _member(source: _Bytes, place: int) -> tuple[Record, int] | None:
         except zlib.error:
             return None
         at = len(source.data) - len(unpack.unused_data)
-        seen += len(out[-1])
-        if not checked and seen >= 5:
-            head = b"".join(out)[: HEADER_BYTES + 4]
-            if not head.startswith(b"WARC/") or (b"\r\n\r\n" not in head and len(head) > HEADER_BYTES):
+        if not checked:
+            start += out[-1][:5]
+            if not b"WARC/".startswith(start[:5]):
                 return None
-            checked = b"\r\n\r\n" in head
+            checked = len(start) >= 5
         if unpack.eof:
             found = parsed(b"".join(out))
             return None if found is None else (found, source.at + at)
@@ -170,7 +168,7 @@ def write_archives(
     pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url",
     html_col: str = "html", file_bytes: int = FILE_BYTES,
 ) -> DataFrame:
-    """Write a record for every row below ``folder``; returns the manifest ``(file, bytes)``.
+    """Write a record for every row below ``folder``; returns the manifest ``(file, bytes, records)``.
 
     Of records with equal payloads of at least ``min_bytes`` bytes, the one with the
     smallest id is the response and the others revisit it. Rows that share the smallest id
@@ -198,26 +196,26 @@ def write_archives(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = _open(uri)
-        out, name, size = None, "", 0
-        schema = pa.schema([("file", pa.string()), ("bytes", pa.int64())])
+        out, name, size, n = None, "", 0, 0
+        schema = pa.schema([("file", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
         for batch in batches:
             ids, urls, firsts = (batch.column(c).to_pylist() for c in (0, 1, 3))
             for page_id, url, html, least in zip(ids, urls, utf8(batch.column(2)), firsts):
                 if out is None:
-                    name, size = f"{uuid.uuid4().hex}.warc.gz", 0
+                    name, size, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = system.open_output_stream(f"{path}/{name}", compression=None)
                 data = record(page_id, url, html, least, revisit=least is not None and page_id != least)
                 out.write(data)
-                size += len(data)
+                size, n = size + len(data), n + 1
                 if size >= file_bytes:
                     out.close()
                     out = None
-                    yield batch_of(schema, [f"{uri}/{name}"], [size])
+                    yield batch_of(schema, [f"{uri}/{name}"], [size], [n])
         if out is not None:
             out.close()
-            yield batch_of(schema, [f"{uri}/{name}"], [size])
+            yield batch_of(schema, [f"{uri}/{name}"], [size], [n])
 
-    return stored(map_batches(marked, run, "file string, bytes long"), "manifest")
+    return stored(map_batches(marked, run, "file string, bytes long, records long"), "manifest")
 
 
 def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:

@@ -48,6 +48,17 @@ def test_roundtrip_at_every_split_size(spark, fresh_path):
         assert sorted(got, key=repr) == sorted(expected(rows, least), key=repr)
 
 
+def test_long_urls_come_back(spark, fresh_path):
+    r = random.Random(4)
+    rows = [(k, f"data:{k}," + r.randbytes(n // 2).hex(), f"<p>{k}</p>") for k, n in enumerate((10, 65_000, 66_000, 200_000, 3_000_000, 10))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    manifest = warc.write_archives(pages, fresh_path(), file_bytes=150_000)
+    for split in (5_000, 1 << 20):
+        got = warc.read_archives(manifest, split).collect()
+        assert len(got) == sum(m["records"] for m in manifest.collect()) == len(rows)
+        assert sorted((int(g["page_id"]), g["url"]) for g in got) == [(i, u) for i, u, _ in rows]
+
+
 def test_no_pages(spark, fresh_path):
     assert roundtrip(spark, fresh_path(), [], 0, 100) == []
 
