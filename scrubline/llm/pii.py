@@ -31,8 +31,13 @@ CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]?)(?<=[0-9])"
 #: Shape of a mention: a run without space, quotes or brackets that holds a digit or an ``@``,
-#: of six characters or more, with marks at its end left out.
-MENTION = r"(?<![^\s\"'<>()\[\]{},;=])(?=[^\s\"'<>()\[\]{},;=@0-9]*+[@0-9])[^\s\"'<>()\[\]{},;=]{5,255}[^\s\"'<>()\[\]{},;=.:!?#*$%&|]"
+#: of six characters or more, with marks at its end left out. A run is taken whole, however
+#: long; possessive repeats keep that linear.
+_RUN, _MARKS = r"\s\"'<>()\[\]{},;=", r".:!?#*$%&|"
+MENTION = (
+    rf"(?<![^{_RUN}])(?=[^{_RUN}@0-9]*+[@0-9])(?=[^{_RUN}]{{5}}[{_MARKS}]*+[^{_RUN}{_MARKS}])"
+    rf"(?:[{_MARKS}]*+[^{_RUN}{_MARKS}]++)++"
+)
 SECRET = r"^[0-9a-fA-F]{32,}$"
 #: Characters of context on each side, and how the words in it are read.
 CONTEXT = 48

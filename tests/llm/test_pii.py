@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -83,6 +84,28 @@ def test_secrets_share_a_context(spark):
     assert all(any(s["kind"] == "id" for s in r["spans"]) for r in got)
 
 
+def test_long_tokens_are_taken_whole(spark):
+    r = random.Random(6)
+    tokens = ["".join(r.choices("abcdefgh-._XYZ", k=n - 2)) + "x7" for n in (6, 255, 256, 257, 1_000, 50_000)]
+    rows = [(k, f"note {k} words account holder mail: u{k}@mail.org then more") for k in range(40)]
+    rows += [(100 + k, f"other words account holder mail: {t}... then more") for k, t in enumerate(tokens)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: [(s["start"], s["end"]) for s in x["spans"] if s["kind"] == "id"] for x in pii.spans(docs).collect()}
+    assert [got[100 + k] for k in range(len(tokens))] == [[(33, 33 + len(t))] for t in tokens]
+    clean = {x["doc_id"]: x["text"] for x in pii.redacted(docs).collect()}
+    assert {clean[100 + k] for k in range(len(tokens))} == {"other words account holder mail: [ID]... then more"}
+
+
+def test_mentions_up_to_the_old_length_are_as_before(spark):
+    old = r"(?<![^\s\"'<>()\[\]{},;=])(?=[^\s\"'<>()\[\]{},;=@0-9]*+[@0-9])[^\s\"'<>()\[\]{},;=]{5,255}[^\s\"'<>()\[\]{},;=.:!?#*$%&|]"
+    r = random.Random(7)
+    texts = ["".join(r.choices("ab1@.:!é😀 =\"(", k=r.randrange(60))) for _ in range(3_000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    at = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0))
+    assert df.where(~at(old).eqNullSafe(at(pii.MENTION))).count() == 0
+    assert df.where(F.size(at(old)) > 0).count() > 1_000
+
+
 def test_redacted(spark):
     rows = [(1, "mail a@b.c, ip 1.2.3.4!", "s", 9), (2, None, "s", 0), (3, "clean é", "s", 7), (1, "mail a@b.c, ip 1.2.3.4!", "s", 9),
             (None, "x@y.z", "s", 5), (4, "+1 234 567 8901 2345 end 9", "s", 1)]
