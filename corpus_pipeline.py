@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from scrubline.catalog.registry import table
 from scrubline.llm import bpe, decontam, pii, quality_ordinal, simhash
 from scrubline.llm.common import stored
-from scrubline.llm.queries import byte_vocabulary, quality_model
+from scrubline.llm.queries import CLEAN_GRADE, byte_vocabulary, quality_model
 
 
 def rate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are more likely rated good than low."""
-    return quality_ordinal.select(docs, quality_model(spark, docs, sf_dir), min_grade=1)
+    """Documents that are more likely rated good and not toxic than toxic or low."""
+    return quality_ordinal.select(docs, quality_model(spark, docs, sf_dir), min_grade=CLEAN_GRADE)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -211,7 +211,7 @@ def _judge(docs: DataFrame, model: Model, min_grade: int, text_col: str, row_of,
         m, places_of = shared.value, Places()
         for batch in batches:
             tails = m.tails(np.array([m.score(t, places_of) for t in batch.column(at).to_pylist()]))
-            yield row_of(batch, tails.sum(axis=1), tails[:, min_grade - 1])
+            yield row_of(batch, tails, tails[:, min_grade - 1])
 
     return docs.mapInArrow(run, schema)
 
@@ -219,21 +219,23 @@ def _judge(docs: DataFrame, model: Model, min_grade: int, text_col: str, row_of,
 def judged(
     docs: DataFrame, model: Model, min_grade: int, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``(id_col, expected_grade, tail, selected)`` for every row: the mean grade, the chance
-    of ``min_grade`` or better, and whether that is at least ``least``.
+    """``(id_col, expected_grade, tail, selected, tails)`` for every row: the mean grade, the
+    chance of ``min_grade`` or better, whether that is at least ``least``, and the chances of
+    grade 1 or better, 2 or better and so on.
 
     A null or empty text has no features and score zero, and is judged by the thresholds
     alone. Repeated rows get equal results; an empty table gives an empty one.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def row_of(batch, expected, tail):
+    def row_of(batch, tails, tail):
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(expected), pa.array(tail), pa.array(tail >= least)],
-            names=["id", "expected_grade", "tail", "selected"])
+            [batch.column(0), pa.array(tails.sum(axis=1)), pa.array(tail), pa.array(tail >= least),
+             pa.array(list(tails), pa.list_(pa.float64()))],
+            names=["id", "expected_grade", "tail", "selected", "tails"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return _judge(slim, model, min_grade, "text", row_of, f"id {kind}, expected_grade double, tail double, selected boolean"
+    return _judge(slim, model, min_grade, "text", row_of, f"id {kind}, expected_grade double, tail double, selected boolean, tails array<double>"
                   ).withColumnRenamed("id", id_col)
 
 

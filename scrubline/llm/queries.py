@@ -136,6 +136,10 @@ def op8_lang_cnn(spark: SparkSession, folder: str) -> DataFrame:
     return lang_cnn.predicted(docs, net).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+#: The grade of documents that are good and not toxic.
+CLEAN_GRADE = 2
+
+
 def quality_model(spark: SparkSession, docs: DataFrame, folder: str) -> quality_ordinal.Model:
     return quality_ordinal.train(docs, quality_ordinal.grades_of(table(spark, folder, "labels")), n_grades=3)
 
@@ -143,7 +147,9 @@ def quality_model(spark: SparkSession, docs: DataFrame, folder: str) -> quality_
 @_query("op5_quality_classifier")
 def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return quality_ordinal.judged(docs, quality_model(spark, docs, folder), min_grade=1)
+    found = quality_ordinal.judged(docs, quality_model(spark, docs, folder), min_grade=1)
+    # ``selected`` is on quality alone; ``clean`` leaves out what is good but toxic, as the pipeline does.
+    return found.withColumn("clean", F.get("tails", F.lit(CLEAN_GRADE - 1)) >= 0.5)
 
 
 @_query("op1_pii")

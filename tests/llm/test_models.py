@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scrubline.catalog.registry import table
@@ -136,6 +137,20 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.15
 
 
+def test_toxic_documents_do_not_pass_the_quality_stage(spark, monkeypatch):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = quality_ordinal.train(docs, quality_ordinal.grades_of(labels.where(~out)), n_grades=3)
+    monkeypatch.setattr(corpus_pipeline, "quality_model", lambda *_: model)
+    held = labels.where(out).collect()
+    stay = {r["doc_id"] for r in corpus_pipeline.rate(spark, docs, folder).select("doc_id").collect()}
+    share = lambda q, t: np.mean([r["doc_id"] in stay for r in held if r["toxic"] == t and r["quality"] == q])
+    assert share(1, 1) < 0.4 and share(0, 1) < 0.1 and share(1, 0) > 0.95
+    judged = {r["doc_id"]: r["tails"] for r in quality_ordinal.judged(docs, model, min_grade=1).collect()}
+    assert all(a >= b for a, b in judged.values()) and stay == {i for i, (_, b) in judged.items() if b >= 0.5}
+
+
 def test_languages_on_held_out_documents(spark):
     folder = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in op8_lang_cnn(spark, folder).collect()}
