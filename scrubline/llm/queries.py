@@ -31,7 +31,7 @@ def _query(name: str, sql: str | None = None):
 def op2_token_store(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     store = scratch_path(spark, "tokens")
-    token_store.write_tokens(table(spark, folder, "documents"), store, lambda: token_store.library_encoder(path))
+    token_store.write_tokens(table(spark, folder, "documents"), store, lambda: token_store.library_encoder(path, literal=False))
     return token_store.read_tokens(spark, store)
 
 

@@ -119,15 +119,17 @@ class Codes:
 
 
 @lru_cache(maxsize=1)
-def library_encoder(path: str) -> Remembering:
-    """Ids by the tokenizers library from a tokenizer file, without special tokens. A worker
-    keeps its encoder, and with it the remembered pieces, from task to task. The library
+def library_encoder(path: str, literal: bool = True) -> Remembering:
+    """Ids by the tokenizers library from a tokenizer file, no special tokens added. Where a
+    text itself has the string of a special token, that is plain text if ``literal``, else the
+    token, as by the library's default. (Such a token must have no space and strip none, or
+    cutting at single spaces would change ids.) A worker keeps its encoder, and with it the remembered pieces, from task to task. The library
     runs on the task's own core: its threads would compete with the other tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = literal
     return Remembering(lambda pieces: [
         array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(list(pieces), add_special_tokens=False)
     ])

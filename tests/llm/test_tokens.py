@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from scrubline.llm import bpe, token_store
-from scrubline.llm.queries import byte_vocabulary
+from scrubline.llm.queries import byte_vocabulary, op2_token_store
 
 TEXTS = [None, "", " ", "  two  spaces ", "the cat's hat", "a\nb \n c", "é😀 中文\x1c\x85", "<|endoftext|> x", "x" * 5000, "12 345,678!", "word, word. word"]
 
@@ -85,6 +85,19 @@ def test_store(spark, library, fresh_path):
     assert token_store.read_tokens(spark, empty).count() == 0
 
 
+def test_query_gives_the_librarys_default_ids(spark, fresh_path):
+    default, end, r = Tokenizer.from_file(P.path("byte_bpe_50k.json")), "<|endoftext|>", random.Random(9)
+    texts = TEXTS + [f"foo {end} bar", end, end * 2, f" {end} ", f"a  {end}\n{end}, b.{end}"]
+    texts += ["".join(r.choices([end, " ", "  ", "ab", "c,", "\n", "é", "1"], k=12)) for _ in range(300)]
+    folder = fresh_path()
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    at = 0
+    for row in op2_token_store(spark, folder).orderBy("start").collect():
+        ids = [*default.encode(texts[row["doc_id"]] or "", add_special_tokens=False).ids, 0]
+        assert (row["start"], row["n_tokens"], row["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def test_codes_give_every_id_directly():
     r = random.Random(1)
     for n in (0, 1, 7, 8, 511, 512, 513, 5000):
