@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.catalog.registry import Query, table
-from scrubline.llm import bpe, decontam, lang_cnn, pii, quality_ordinal, quality_rules, simhash, token_store, url_filter, warc
+from scrubline.llm import bpe, decontam, fill_middle, lang_cnn, pii, quality_ordinal, quality_rules, simhash, token_store, url_filter, warc
 from scrubline.plans.materialize import scratch_path
 
 QUERIES: dict[str, Query] = {}
@@ -159,3 +159,26 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         "doc_id", count("email"), count("ip"), count("card"), count("phone"),
         F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+@_query("op12_fill_middle", """
+with t as (select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(doc_id::varchar, '')) as h,
+      regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') as u from documents),
+d as (select doc_id, text, u, len(u) as n, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2,
+      ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from t),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b from d),
+p as (select *, array_to_string(u[1:a], '') as pre, array_to_string(u[a + 1:b], '') as mid, array_to_string(u[b + 1:], '') as suf,
+      case when text = '' or regexp_matches(text, '<[PSM]>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form
+      from c)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars,
+  case when form <> 'plain' then length(mid) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+         else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(text) as restored_sha256
+from p
+""")
+def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_middle.transformed(table(spark, folder, "documents"), unit="token", rate=50, spm=80, seed=42)
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
