@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.catalog.registry import Query, table
-from scrubline.llm import bpe, decontam, fill_middle, lang_cnn, pii, quality_ordinal, quality_rules, simhash, token_store, url_filter, warc
+from scrubline.llm import bpe, decontam, fill_middle, lang_cnn, lexical, pii, quality_ordinal, quality_rules, simhash, token_store, url_filter, warc
 from scrubline.plans.materialize import scratch_path
 
 QUERIES: dict[str, Query] = {}
@@ -182,3 +182,22 @@ def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
     return made.select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
         F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
+@_query("op13_lexical_search", """
+with t as (select doc_id, row_number() over () as r, unnest(regexp_extract_all(coalesce(text, ''), '{term}')) as x from documents),
+w as (select doc_id, r, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w from t),
+p as (select doc_id, r, w, count(*) as tf from w group by all),
+n as (select r, sum(tf)::bigint as n from p group by r),
+c as (select count(*)::bigint as big_n, sum(n)::bigint as big_l from n),
+f as (select w, floor(1000 * ln((2 * big_n + 2)::double / (2 * count(*) + 1)::double))::bigint as weight from p, c group by w, big_n),
+q as (select item_id, text, unnest(regexp_extract_all(coalesce(text, ''), '{term}')) as x from (select distinct item_id, text from benchmark)),
+i as (select item_id, text, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w, count(*) as times from q group by all),
+s as (select item_id, text, doc_id, r, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l))))::bigint as score
+      from i join f using (w) join p using (w) join n using (r), c group by item_id, text, doc_id, r),
+k as (select *, row_number() over (partition by item_id, text order by score desc, doc_id) as rank from s where score > 0)
+select item_id, rank::int as rank, doc_id, score from k where rank <= 10
+""".format(term=r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    index = lexical.build(table(spark, folder, "documents"))
+    return lexical.search(index, table(spark, folder, "benchmark"), k=10)
