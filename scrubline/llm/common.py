@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from scrubline.plans.materialize import scratch_path
 
@@ -35,3 +36,23 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema
     )
+
+
+#: A key with more than this share of all rows (never more than its inverse of keys) is hot.
+HOT_SHARE, HOT_ROWS, HOT_SPLITS = 1 / 256, 200, 64
+
+
+def join_hot(rows: DataFrame, per_key: DataFrame, key: str, count: str, spread: str) -> DataFrame:
+    """Inner join of ``rows`` with a stored table of one row per ``key``, safe against hot keys.
+
+    ``count`` is the column of ``per_key`` with the rows a key has; it stays in the result.
+    Hot keys, few by definition, are split over tasks by a hash of ``spread``."""
+    total = per_key.agg(F.sum(count)).first()[0] or 0
+    limit = max(int(total * HOT_SHARE), HOT_ROWS)
+    hot = [r[0] for r in per_key.where(F.col(count) > limit).select(key).collect()]
+    if not hot:
+        return rows.join(per_key, key)
+    split = F.pmod(F.xxhash64(spread), F.lit(HOT_SPLITS)).cast("int")
+    salted = rows.withColumn("_salt", F.when(F.col(key).isin(hot), split).otherwise(0))
+    copies = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(HOT_SPLITS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(per_key.withColumn("_salt", F.explode(copies)), [key, "_salt"]).drop("_salt")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.catalog.registry import Query, table
-from scrubline.llm import bpe, decontam, fill_middle, lang_cnn, lexical, pii, quality_ordinal, quality_rules, simhash, token_store, url_filter, warc
+from scrubline.llm import bpe, decontam, fill_middle, jaccard, lang_cnn, lexical, pii, quality_ordinal, quality_rules, simhash, token_store, url_filter, warc
 from scrubline.plans.materialize import scratch_path
 
 QUERIES: dict[str, Query] = {}
@@ -161,6 +161,11 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+@_query("op11_jaccard_join")
+def op11_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar(table(spark, folder, "documents"), shingle=3, percent=90)
+
+
 @_query("op12_fill_middle", """
 with t as (select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(doc_id::varchar, '')) as h,
       regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') as u from documents),
