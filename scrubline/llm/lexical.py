@@ -23,8 +23,7 @@ from scrubline.llm.decontam import words_of
 
 #: Bytes of text of a shard, terms of a block of queries, strata of the first wave; they
 #: bound memory and order work, not results.
-SHARD_BYTES, BLOCK_TERMS, FIRST_WAVE = 16 << 20, 200_000, 8
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SHARD_BYTES, BLOCK_TERMS, FIRST_WAVE = 4 << 20, 200_000, 8
 #: Fixed values of the score.
 SCALE, UNIT, LENGTH_SHARE, SATURATION = 1_000_000_000, 1000, 75, 8
 
@@ -72,7 +71,7 @@ def _shard(ids: pa.Array, counts: list[np.ndarray], numbers: _Numbers, n_docs: i
         "doc_ids": ids.take(pa.array(order)), "m": m[order][starts], "docs": ints(doc), "terms": list(numbers),
         "dfs": np.bincount(term, minlength=len(numbers)),
         "term_groups": ints(np.searchsorted(term[groups], np.arange(len(numbers) + 1))),
-        "group_stratum": ints(layer[groups]), "group_tf": tf[groups].astype("<i8").tobytes(),
+        "group_stratum": ints(layer[groups]), "group_tf": ints(tf[groups]),
         "group_start": ints(np.append(groups, len(doc))),
     }
 
@@ -86,9 +85,14 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     not shuffled; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TERM))
-    total = rows.select(n.alias("n")).agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
-    n_docs, n_terms = total[0], total[1]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(words_of(t)) for t in utf8(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(x > 0 for x in n)], pa.int64()), pa.array([sum(n)], pa.int64())], names=["docs", "terms"])
+
+    totals = map_batches(rows.select("text"), counted, "docs long, terms long")
+    n_docs, n_terms = (x or 0 for x in totals.agg(F.sum("docs"), F.sum("terms")).first())
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +160,7 @@ class _Shard:
         known = place >= 0
         self.low = np.where(known, groups[place], 0)
         self.high = np.where(known, groups[place + 1], 0)
-        self.stratum, tf = ints("group_stratum"), np.frombuffer(row["group_tf"], "<i8")
+        self.stratum, tf = ints("group_stratum"), ints("group_tf").astype(np.int64)
         start = ints("group_start")
         self.start, self.stop = start[:-1], start[1:]
         self.impact = SCALE * tf // (UNIT * tf + SATURATION * m[self.stratum])
