@@ -43,7 +43,7 @@ HOT_SHARE, HOT_ROWS, HOT_SPLITS = 1 / 256, 200, 64
 
 
 def join_hot(rows: DataFrame, per_key: DataFrame, key: str, count: str, spread: str) -> DataFrame:
-    """Inner join of ``rows`` with a stored table of one row per ``key``, safe against hot keys.
+    """Inner join of ``rows`` with a table of one row per ``key``, safe against hot keys.
 
     ``count`` is the column of ``per_key`` with the rows a key has; it stays in the result.
     Hot keys, few by definition, are split over tasks by a hash of ``spread``."""

@@ -12,6 +12,7 @@ with a few pivots, and what the links so found do not already connect is compare
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -59,27 +60,56 @@ def shingle_set(words: list[bytes], shingle: int, hashes: dict[bytes, int]) -> n
     return np.unique(h.view(np.int64))
 
 
-def sets_of(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """``(uid, id, n, digest, shingles)``, a written table with a row for each document.
-    Without words the digest is null."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def _first_shingles(n: int, percent: int) -> int:
+    """How many shingles of a set of ``n``, lowest hashes first, are kept: two prefixes' worth."""
+    return min(n, 2 * (n - -(-n * percent // 100) + SHARED) + 8)
+
+
+def _hashed(docs: DataFrame, shingle: int, percent: int | None) -> DataFrame:
+    """``(id, n, digest, shingles)`` for rows ``(id, text)``: all shingles, or with
+    ``percent`` the first few. Without words the digest is null."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
             for ids, texts in grouped(batch):
                 own = [shingle_set(t.encode().lower().split(), shingle, hashes) for t in texts]
-                ends = np.cumsum([0, *map(len, own)])
+                sizes = [len(s) for s in own]
+                digests = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in own]
+                if percent is not None:
+                    own = [s[: _first_shingles(len(s), percent)] for s in own]
                 yield pa.RecordBatch.from_arrays([
-                    ids, pa.array([len(s) for s in own], pa.int64()),
-                    pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in own], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own))),
+                    ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate(own))),
                 ], names=["id", "n", "digest", "shingles"])
 
-    rows = map_batches(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run,
-        f"id {kind}, n long, digest binary, shingles array<long>")
-    return stored(rows.withColumn("uid", F.monotonically_increasing_id()), "sets")
+    return map_batches(docs.select("id", "text"), run, f"id {kind}, n long, digest binary, shingles array<long>")
+
+
+class _Sets(NamedTuple):
+    """``rows`` is a written table ``(uid, id, n, digest, shingles)`` with a row for each
+    document and its first shingles; all of them are hashed anew from ``docs`` where needed."""
+
+    docs: DataFrame
+    rows: DataFrame
+    shingle: int
+    percent: int
+
+    def whole(self, wanted: DataFrame) -> DataFrame:
+        """``(uid, n, shingles)`` with all shingles of the sets ``wanted (uid)``; more than
+        once where documents with a set's words also share its id."""
+        own = stored(self.rows.select("uid", "id", "digest").join(wanted, "uid", "left_semi"), "wanted")
+        ids = own.select(F.col("id").alias("wanted_id")).distinct()
+        texts = self.docs.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
+        made = _hashed(texts, self.shingle, None).select("n", "digest", "shingles")
+        return made.join(own.select("uid", "digest"), "digest").select("uid", "n", "shingles")
+
+
+def sets_of(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> _Sets:
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = _hashed(docs, shingle, percent).withColumn("uid", F.monotonically_increasing_id())
+    return _Sets(docs, stored(rows, "sets"), shingle, percent)
 
 
 def _least_shared(percent: int, a: str, b: str) -> str:
@@ -91,11 +121,10 @@ def _prefix_size(percent: int) -> str:
     return f"cast(least(n, n - (n * {percent} + 99) div 100 + {SHARED}) as int)"
 
 
-def _frequent(rows: DataFrame, heads: DataFrame, percent: int) -> np.ndarray:
-    """Hashes of frequent shingles, counted over all different sets among the first two
-    prefixes by hash, where all of a prefix comes from unless most of it is frequent."""
-    first = rows.where("n > 0").select("uid", F.expr(f"slice(shingles, 1, 2 * {_prefix_size(percent)} + 8)").alias("s"))
-    counts = first.join(heads, "uid", "left_semi").select(F.explode("s").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k"))
+def _frequent(rows: DataFrame) -> np.ndarray:
+    """Hashes of frequent shingles, counted over the first shingles of all different sets,
+    where all of a prefix comes from unless most of a set is frequent."""
+    counts = rows.select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k"))
     many = stored(counts.where(F.col("k") > FREQUENT), "frequent")
     if many.count() > MAX_FREQUENT:
         many = many.orderBy(F.desc("k"), "token").limit(MAX_FREQUENT)
@@ -103,23 +132,25 @@ def _frequent(rows: DataFrame, heads: DataFrame, percent: int) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """``(uid, n, prefix, alike)``; ``alike`` is equal for equal sizes and prefixes."""
+    """``(uid, n, prefix, alike, short)`` for ``rows (uid, n, shingles)``. ``alike`` is equal
+    for equal sizes and prefixes; ``short`` tells that more shingles must be looked at."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
         for batch in batches:
-            column = batch.column(2)
-            flat, ends = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(batch.column(1).to_numpy())])
+            flat = batch.column(2).flatten().to_numpy()
+            ends = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy())])
             if len(last):
                 late = last[np.minimum(np.searchsorted(last, flat), len(last) - 1)] == flat
             else:
                 late = np.zeros(len(flat), bool)
-            own, marks = [], []
+            own, marks, short = [], [], []
             for n, a, b in zip(batch.column(1).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
                 size = min(n, n - -(-n * percent // 100) + SHARED)
                 tokens, after = flat[a:b], late[a:b]
                 prefix = tokens[~after][:size]
+                short.append(len(prefix) < size and b - a < n)
                 if len(prefix) < size:
                     prefix = np.append(prefix, tokens[after][: size - len(prefix)])
                 own.append(prefix)
@@ -127,10 +158,10 @@ def _prefixes(rows: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1),
                 pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate(own))),
-                pa.array(marks, pa.binary()),
-            ], names=["uid", "n", "prefix", "alike"])
+                pa.array(marks, pa.binary()), pa.array(short, pa.bool_()),
+            ], names=["uid", "n", "prefix", "alike", "short"])
 
-    return map_batches(rows.where("n > 0").select("uid", "n", "shingles"), run, "uid long, n long, prefix array<long>, alike binary")
+    return map_batches(rows.select("uid", "n", "shingles"), run, "uid long, n long, prefix array<long>, alike binary, short boolean")
 
 
 def _bucket_pairs(posts: DataFrame, percent: int) -> DataFrame:
@@ -170,13 +201,12 @@ def _stars(posts: DataFrame, percent: int) -> DataFrame:
         f"p.gid <> gid and 100 * least(n, p.n) >= {percent} * greatest(n, p.n)").select(F.col("p.gid").alias("u1"), F.col("gid").alias("u2")).distinct()
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: _Sets, percent: int) -> DataFrame:
     """The pairs ``(u1, u2)`` that are similar, each compared in full; ``u1`` may be hot."""
-    ends = pairs.select(F.explode(F.array("u1", "u2")).alias("uid")).distinct()
-    own = stored(rows.select("uid", "n", "shingles").join(ends, "uid", "left_semi"), "compared")
-    times = pairs.groupBy(F.col("u1").alias("uid")).agg(F.count(F.lit(1)).alias("times"))
+    own = stored(sets.whole(pairs.select(F.explode(F.array("u1", "u2")).alias("uid")).distinct()), "compared")
+    times = stored(pairs.groupBy(F.col("u1").alias("uid")).agg(F.count(F.lit(1)).alias("times")), "times")
     left = own.join(times, "uid").select(F.col("uid").alias("u1"), F.col("n").alias("n1"), F.col("shingles").alias("s1"), "times")
-    held = join_hot(pairs, stored(left, "pivots"), "u1", "times", "u2")
+    held = join_hot(pairs, left, "u1", "times", "u2")
     both = held.join(own.select(F.col("uid").alias("u2"), F.col("n").alias("n2"), F.col("shingles").alias("s2")), "u2")
     common = both.select("u1", "u2", "n1", "n2", F.size(F.array_intersect("s1", "s2")).cast("long").alias("i"))
     return stored(common.where(f"100 * i >= {percent} * (n1 + n2 - i)").select(F.col("u1").alias("a"), F.col("u2").alias("b")), "links")
@@ -207,10 +237,13 @@ def _rooted(sets: DataFrame, edges: DataFrame) -> DataFrame:
     return sets.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
 
 
-def _links(rows: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """Edges ``(a, b)`` between different sets, with the components of all similar pairs."""
-    prefixes = _prefixes(rows, _frequent(rows, heads, percent), percent)
-    prefixes = stored(prefixes.join(heads, "uid", "left_semi"), "prefixes")
+def _links(sets: _Sets, firsts: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` between different sets, with the components of all similar pairs.
+    ``firsts`` has the rows of ``sets`` for one document of each set."""
+    percent, frequent = sets.percent, _frequent(firsts)
+    made = stored(_prefixes(firsts, frequent, percent), "prefixes")
+    more = _prefixes(sets.whole(made.where("short").select("uid")), frequent, percent)
+    prefixes = made.where("not short").union(stored(more.dropDuplicates(["uid"]), "prefixes")).drop("short")
     alike = stored(prefixes.groupBy("alike").agg(F.min("uid").alias("gid"), F.count(F.lit(1)).alias("members")).where("members > 1"), "alike")
     members = stored(join_hot(prefixes.select("alike", "uid"), alike, "alike", "members", "uid").select("uid", "gid"), "members")
     leaders = prefixes.join(members.where("uid <> gid"), "uid", "left_anti")
@@ -220,10 +253,10 @@ def _links(rows: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
 
     group_pairs = stored(_bucket_pairs(posts, percent), "pairs")
     stars = _stars(posts, percent).union(members.where("uid <> gid").select(F.col("gid").alias("u1"), F.col("uid").alias("u2")))
-    edges = _verified(stored(group_pairs.union(stars).distinct(), "candidates"), rows, percent)
+    edges = _verified(stored(group_pairs.union(stars).distinct(), "candidates"), sets, percent)
 
-    sets = prefixes.select("uid", "n").join(members, "uid", "left").withColumn("gid", F.coalesce("gid", "uid"))
-    placed = stored(_rooted(sets, edges), "placed")
+    grouped_sets = prefixes.select("uid", "n").join(members, "uid", "left").withColumn("gid", F.coalesce("gid", "uid"))
+    placed = stored(_rooted(grouped_sets, edges), "placed")
     several = members.select("gid").distinct()
     # Pairs of two single sets have been compared.
     unsure = group_pairs.join(several, group_pairs["u1"] == several["gid"], "left_semi").union(
@@ -235,7 +268,7 @@ def _links(rows: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
         .union(posts.where(F.col("k") > PAIRED).select("token", none - 1, "gid"))
     )
     more = stored(_open_pairs(lists, placed, percent), "candidates")
-    return edges.union(_verified(more, rows, percent)) if more.head(1) else edges
+    return edges.union(_verified(more, sets, percent)) if more.head(1) else edges
 
 
 def similar(
@@ -255,13 +288,16 @@ def similar(
     number. Nothing is left out: lists too long for pairs are linked by pivots, and every
     pair that could be similar and is not connected by then is compared.
     """
-    rows = sets_of(docs, shingle, id_col, text_col)
-    heads = stored(rows.where("n > 0").groupBy("digest").agg(
+    sets = sets_of(docs, shingle, percent, id_col, text_col)
+    rows = sets.rows.where("n > 0")
+    heads = stored(rows.groupBy("digest").agg(
         F.min("uid").alias("uid"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")), "heads")
-    edges = _links(rows, heads.select("uid"), percent)
+    repeated = heads.where("copies > 1").select("digest", "copies", F.col("uid").alias("head"))
+    copies = stored(join_hot(rows.select("digest", "uid"), repeated, "digest", "copies", "uid").where("uid <> head").select("uid"), "copies")
+    edges = _links(sets, rows.join(copies, "uid", "left_anti"))
     rooted = stored(_rooted(heads, edges), "rooted")
     named = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("sets")), "named")
     found = stored(join_hot(rooted, named, "root", "sets", "uid").select("digest", "component_id", "copies"), "components")
-    joined = join_hot(rows.where("n > 0").select("id", "n", "digest", "uid"), found, "digest", "copies", "uid").select("id", "n", "component_id")
-    alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
+    joined = join_hot(rows.select("id", "n", "digest", "uid"), found, "digest", "copies", "uid").select("id", "n", "component_id")
+    alone = sets.rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return joined.union(alone).toDF(id_col, "n_shingles", "component_id")
