@@ -24,6 +24,58 @@ def csv_roundtrip(spark, sf):
     return csv.read_csv(spark, csv.write_csv(df, scratch_path(spark, "customers")))
 
 
+@query(
+    "csv_mixed_headers",
+    """select c_custkey, case when c_custkey % 3 = 0 then null else c_name || ', "' || c_custkey || '"' || chr(10) || '5" x' end as note,
+      case when c_custkey % 2 = 0 then c_acctbal end as c_acctbal, case when c_custkey % 2 = 1 then c_nationkey::bigint end as c_nationkey
+      from customer""",
+)
+def csv_mixed_headers(spark, sf):
+    """Files of one folder with other columns in another order; cells with line ends."""
+    k = F.col("c_custkey")
+    note = F.when(k % 3 != 0, F.concat("c_name", F.lit(', "'), k.cast("string"), F.lit('"\n5" x'))).alias("note")
+    df = table(spark, sf, "customer")
+    even = csv.write_csv(df.where(k % 2 == 0).select("c_custkey", "c_acctbal", note), scratch_path(spark, "even"))
+    odd = csv.write_csv(df.where(k % 2 == 1).select(note, "c_nationkey", "c_custkey"), scratch_path(spark, "odd"))
+    return csv.read_csv(spark, [even, odd]).select("c_custkey", "note", "c_acctbal", "c_nationkey")
+
+
+@query(
+    "csv_encodings",
+    "select c_custkey, c_name || ' é' || case when c_custkey % 2 = 0 then ' €' else ' ß' end as c_name from customer",
+)
+def csv_encodings(spark, sf):
+    """Files in UTF-8 beside files in Latin-1."""
+    df = table(spark, sf, "customer").select("c_custkey", "c_name")
+    utf8, latin = scratch_path(spark, "utf8"), scratch_path(spark, "latin")
+    even = df.where("c_custkey % 2 = 0").withColumn("c_name", F.concat("c_name", F.lit(" é €")))
+    odd = df.where("c_custkey % 2 = 1").withColumn("c_name", F.concat("c_name", F.lit(" é ß")))
+    even.write.options(header=True).csv(utf8)
+    odd.write.options(header=True, encoding="ISO-8859-1").csv(latin)
+    return csv.read_csv(spark, [utf8, latin])
+
+
+@query(
+    "csv_errors",
+    """select c_custkey, case when c_custkey % 10 = 0 then c_name || ',' || c_custkey || ',extra' end as bad,
+      case when c_custkey % 10 <> 0 then c_name end as c_name from customer""",
+)
+def csv_errors(spark, sf):
+    """Rows with too many fields are set aside; the others stay."""
+    k = F.col("c_custkey")
+    line = F.concat("c_name", F.lit(","), k.cast("string"), F.when(k % 10 == 0, ",extra").otherwise(""))
+    path = scratch_path(spark, "errors")
+    head = F.lit("c_name,c_custkey").alias("value")
+    table(spark, sf, "customer").withColumn("part", F.col("c_custkey") % 4).select("part", line.alias("value")).unionByName(
+        spark.range(4).select(F.col("id").alias("part"), head)).repartition("part").sortWithinPartitions(
+        "part", F.col("value") != "c_name,c_custkey").select("part", "value").write.partitionBy("part").text(path)
+    parts = f"{path}/part=*"
+    good = csv.read_csv(spark, parts, on_bad_rows="drop").select("c_custkey", F.lit(None).cast("string").alias("bad"), "c_name")
+    bad = csv.read_bad_rows(spark, parts).select(
+        F.regexp_extract("_corrupt", ",([0-9]+),", 1).cast("long").alias("c_custkey"), F.col("_corrupt").alias("bad"), F.lit(None).cast("string").alias("c_name"))
+    return good.union(bad)
+
+
 @query(
     "name_outputs",
     """select s_suppkey, printf('clean_%03d.jpg', row_number() over (order by s_suppkey)) as filename,

@@ -1,5 +1,7 @@
+import io
 import json
 import os
+import random
 
 import pandas as pd
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from scrubline.functions import fixed_values as V
 from scrubline.plans import clean_text as plan
 from scrubline.plans.parallel import spread
-from scrubline.sources import csv, files, names
+from scrubline.sources import csv, csv_splits, files, names
 from scrubline.streaming.incremental import clean_text_stream, text_stream
 
 
@@ -156,3 +158,92 @@ def test_stream_cleans_new_files_once(spark, fresh_path):
         clean_text_stream(text_stream(spark, source), target, state).awaitTermination(120)
     rows = spark.read.parquet(target).orderBy("doc_id").collect()
     assert [r["cleaned_text"] for r in rows] == ["Doc 0", "Doc 1"]
+
+
+def odd_csv(seed, rows=200):
+    """Cells with line ends, quotes inside and outside of quoted cells, blanks, blank lines."""
+    r = random.Random(seed)
+    bits = ["a", "b,", "é", '""', "\n", "\r\n", ", ", "x y", "'", "1", ""]
+
+    def cell():
+        kind = r.random()
+        if kind < 0.4:
+            return '"' + "".join(r.choices(bits, k=r.randrange(6))) + '"'
+        if kind < 0.5:
+            return '5" pipe' + r.choice(["", '"', ' "q"'])
+        if kind < 0.55:
+            return '"x"tail'
+        return r.choice(["", "plain", "7", "2.5", "a b", "zoë"])
+
+    lines = [",".join(cell() for _ in range(3)) for _ in range(rows)]
+    for k in range(0, rows, 17):
+        lines[k] = r.choice(["", "  ", lines[k]])
+    return "k,l,m\n" + "\n".join(lines) + "\n"
+
+
+def as_pandas(text):
+    p = pd.read_csv(io.StringIO(text, newline=""), dtype=str, keep_default_na=False)
+    return [tuple(x) for x in p.itertuples(index=False)]
+
+
+@pytest.mark.parametrize("seed,split", [(1, 300), (2, 64), (3, 37), (4, 1 << 20)])
+def test_records_over_splits_equal_pandas(spark, fresh_path, seed, split):
+    text = odd_csv(seed)
+    folder = write(fresh_path(), a__csv=text.encode())
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        if split < 1000:
+            assert csv_splits.split_states(spark, folder).count() > 10
+        rows, names = csv_splits.read_records(spark, folder)
+        got = rows.orderBy("id").collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert names == ["k", "l", "m"] and len({r["id"] for r in got}) == len(got)
+    want = as_pandas(text)
+    assert [tuple(c or "" for c in r["cells"]) for r in got] == [tuple("" if pd.isna(c) else c for c in w) for w in want]
+    assert not any(r["extra"] for r in got)
+
+
+def test_states_of_lines():
+    for line, from_out, from_in in [
+        (b"a,b", False, True), (b'a,"b', True, False), (b'a","b"', False, False), (b'"a""', True, False), (b'"a"""', False, False),
+        (b'5" x', False, False), (b'x"y,"z', True, True), (b'",",', False, True), (b'a\r"b', True, False), (b"", False, True),
+    ]:
+        assert (csv_splits.ends_inside(line, False), csv_splits.ends_inside(line, True)) == (from_out, from_in), line
+
+
+def test_headers_are_matched_by_name(spark, fresh_path):
+    folder = write(
+        fresh_path(), a__csv=b'\xef\xbb\xbfa,b\n1,"x\ny"\n3,z\n', b__csv=b"b,c,a\nq,r,2\n", c__csv="b\nzoë\n".encode("latin-1"))
+    df = csv.read_csv(spark, folder)
+    assert df.columns == ["a", "b", "c"]
+    assert sorted([tuple(r) for r in df.collect()], key=repr) == sorted(
+        [(1, "x\ny", None), (3, "z", None), (2, "q", "r"), (None, "zoë", None)], key=repr)
+
+
+def test_repeated_and_empty_headers_equal_pandas(spark, fresh_path):
+    for head in ("a,a,b,a", "a,a.1,a", "x,,y,", "a,a,a.1,a.1"):
+        text = head + "\n" + ",".join("1234567"[: head.count(",") + 1]) + "\n"
+        folder = write(fresh_path(), a__csv=text.encode())
+        want = pd.read_csv(io.StringIO(text))
+        for multi_line in (None, True):
+            df = csv.read_csv(spark, folder, multi_line=multi_line)
+            assert df.columns == list(want.columns) and [tuple(r) for r in df.collect()] == [tuple(want.iloc[0])]
+
+
+def test_bad_rows_of_split_records(spark, fresh_path):
+    folder = write(fresh_path(), a__csv=b'a,b\n1,"x\n"\n3\n4,5,"6\n7"\n8,"never\nclosed,\n')
+    with pytest.raises(ValueError):
+        csv.read_csv(spark, folder)
+    df = csv.read_csv(spark, folder, on_bad_rows="drop", keep_row_id=True)
+    assert [(r["a"], r["b"]) for r in df.orderBy("_row_id").collect()] == [(1, "x\n"), (3, None)]
+    assert sorted(r["first_cell"] for r in csv.read_bad_rows(spark, folder).collect()) == ["4", "8"]
+
+
+def test_old_line_ends(spark, fresh_path):
+    folder = write(fresh_path(), a__csv=b'a,b\r1,"x\ry"\r2,z\r')
+    df = csv.read_csv(spark, folder, multi_line=True, keep_row_id=True).orderBy("_row_id")
+    assert [(r["a"], r["b"]) for r in df.collect()] == [(1, "x\ry"), (2, "z")]
