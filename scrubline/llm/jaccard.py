@@ -29,7 +29,7 @@ from scrubline.llm.components import connected_components
 #: decide work, not results.
 SHARED, PAIRED, FREQUENT, MAX_FREQUENT = 3, 32, 32, 500_000
 #: Remembered hashes of words of one worker; tasks for a long list of sets.
-MEMO, SALTS = 1_000_000, 8
+MEMO, SALTS = 150_000, 8
 _MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15)
 
 
