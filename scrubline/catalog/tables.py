@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from scrubline.catalog.registry import query, table
 from scrubline.catalog.texts import sql_strip
-from scrubline.operators import outliers, profile
+from scrubline.operators import dates, outliers, profile
 from scrubline.operators import table as T
 from scrubline.options import TableOptions
 from scrubline.plans.clean_table import clean_table as run_plan
@@ -61,13 +61,39 @@ def text_dates(spark, sf):
       ok::int + ok_iso::int as n_converted from t, v""",
 )
 def convert_dates(spark, sf):
-    df, found = T.convert_dates(text_dates(spark, sf), "o_orderkey", date_order="global")
+    df, found = dates.convert_dates(text_dates(spark, sf), "o_orderkey", date_order="global")
     return df.select(
         "o_orderkey", *[F.date_format(c, "yyyy-MM-dd").alias(c) if c in found else c for c in ("d", "iso")],
         F.lit(len(found)).alias("n_converted"),
     )
 
 
+DATE_FORMS = {
+    # layout of the text, and how DuckDB gives what must be read back
+    "zoned": ("yyyy-MM-dd'T'HH:mm:ss'+02:00'", "strftime(t - to_hours(2), '%Y-%m-%d %H:%M:%S')"),
+    "short_year": ("MM/dd/yy", "strftime(t, '%Y-%m-%d 00:00:00')"),
+    "clock": ("MM/dd/yyyy hh:mm a", "strftime(t, '%Y-%m-%d %H:%M:00')"),
+    "clock_seconds": ("d MMM yyyy h:mm:ss a", "strftime(t, '%Y-%m-%d %H:%M:%S')"),
+    "month_year": ("MMM yyyy", "strftime(t, '%Y-%m-01 00:00:00')"),
+    "dashed": ("MM-dd-yyyy HH:mm", "strftime(t, '%Y-%m-%d %H:%M:00')"),
+    "dotted": ("MM.dd.yyyy HH:mm:ss", "strftime(t, '%Y-%m-%d %H:%M:%S')"),
+    "weekday": ("EEEE, MMMM d, yyyy", "strftime(t, '%Y-%m-%d 00:00:00')"),
+}
+
+
+@query(
+    "convert_date_forms",
+    f"""select o_orderkey, {', '.join(f'{sql} as {c}' for c, (_, sql) in DATE_FORMS.items())}
+      from (select o_orderkey, o_orderdate + to_minutes(o_orderkey % 1440) + to_seconds(o_orderkey % 60) as t from orders)""",
+)
+def convert_date_forms(spark, sf):
+    """A column for each way of writing a date; every one is found and read."""
+    t = F.expr("o_orderdate + make_dt_interval(0, 0, o_orderkey % 1440, o_orderkey % 60)")
+    texts = table(spark, sf, "orders").select("o_orderkey", *[F.date_format(t, f).alias(c) for c, (f, _) in DATE_FORMS.items()])
+    df, found = dates.convert_dates(texts, "o_orderkey")
+    return df.select("o_orderkey", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c in found else c for c in DATE_FORMS])
+
+
 @query(
     "drop_duplicates",
     "select distinct text, lang, source from documents",

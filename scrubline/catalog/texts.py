@@ -267,6 +267,46 @@ def line_diff(spark, sf):
     return TT.line_diff(pairs, "doc_id", "o", "n")
 
 
+@query(
+    "line_script",
+    f"""with o as (select doc_id, unnest(range(1, len(l) + 1)) as i, len(l) as n, unnest(l) as line
+        from (select doc_id, string_split({OLD}, chr(10)) as l from documents)),
+      k as (select *, i || ' ' || line as x, (i % 4 <> 0 and (i > 1 or n < 8)) as kept from o),
+      n as (select doc_id, i, 1 as s, x, kept, true as old from k where kept
+        union all select doc_id, i, 2, 'new ' || i, true, false from k where i % 5 = 0
+        union all select doc_id, n + 1, 3, x, false, true from k where i = 1 and n >= 8),
+      p as (select *, row_number() over (partition by doc_id order by i, s) as j from n)
+    select doc_id, 'same' as status, x as line, i as before_at, j as after_at from p where s = 1
+    union all select doc_id, 'removed', x, i, null from k where not kept
+    union all select doc_id, 'added', x, null, j from p where s > 1""",
+)
+def line_script(spark, sf):
+    """Every fourth line goes, a new one comes after every fifth, the first moves to the end."""
+    lines = F.transform(F.split(F.expr(OLD), "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(" "), x))
+    df = table(spark, sf, "documents").select("doc_id", lines.alias("l"))
+    new = F.expr("""concat(
+        flatten(transform(l, (x, i) -> concat(
+          if((i + 1) % 4 <> 0 and (i > 0 or size(l) < 8), array(x), array()),
+          if((i + 1) % 5 = 0, array(concat('new ', i + 1)), array())))),
+        if(size(l) >= 8, array(l[0]), array()))""")
+    texts = df.select("doc_id", F.array_join("l", "\n").alias("o"), F.array_join(new, "\n").alias("n"))
+    return TT.line_script(texts, "doc_id", "o", "n").drop("at")
+
+
+@query(
+    "line_script_texts",
+    f"""select doc_id, side, md5(t) as digest from (
+      select doc_id, 'before' as side, {OLD} as t from documents union all select doc_id, 'after', {NEW} from documents)
+    where t <> ''""",
+)
+def line_script_texts(spark, sf):
+    """A script rebuilds both of its texts."""
+    pairs = table(spark, sf, "documents").select("doc_id", F.expr(OLD).alias("o"), F.expr(NEW).alias("n"))
+    script = TT.line_script(pairs, "doc_id", "o", "n")
+    sides = [TT.script_text(script, "doc_id", s).select("doc_id", F.lit(s).alias("side"), F.md5(F.col("text").cast("binary")).alias("digest")) for s in ("before", "after")]
+    return sides[0].union(sides[1])
+
+
 @query(
     "concat_documents",
     """select conv_id, string_agg(text, chr(10) || chr(10) order by turn) as text

@@ -59,24 +59,27 @@ HISTOGRAM_BINS = 30
 PREVIEW_ROWS = 10
 PREVIEW_CHARS = 1000
 
-# Date layouts, tried in the order plain, preferred day order, month names, other day
-# order; the other order is last because a first value such as 13/02/2024 can only be read one way.
-# Day first holds for year-first dates as well (2024-01-05 is then the first of May),
-# unless the column has mixed layouts.
-PLAIN_LAYOUTS = ("yyyyMMdd",)
-YEAR_FIRST_LAYOUTS = (
-    "yyyy-M-d", "yyyy-M-d H:m", "yyyy-M-d H:m:s", "yyyy-M-d H:m:s.SSSSSSSSS",
-    "yyyy-M-d'T'H:m", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m:s.SSSSSSSSS", "yyyy-MM",
+# Date layouts. Those of numbers are made from an order, a separator and a time; these are
+# the others. The preferred day order comes before month names, the other order after, because
+# a first value such as 13/02/2024 can only be read one way. Day first holds for year-first
+# dates as well (2024-01-05 is then the first of May), unless values are read one by one.
+MONTHS = (
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
 )
-YEAR_DAY_LAYOUTS = (
-    "yyyy-d-M", "yyyy-d-M H:m", "yyyy-d-M H:m:s", "yyyy-d-M H:m:s.SSSSSSSSS",
-    "yyyy-d-M'T'H:m", "yyyy-d-M'T'H:m:s", "yyyy-d-M'T'H:m:s.SSSSSSSSS",
-)
-MONTH_FIRST_LAYOUTS = ("yyyy/M/d", "M/d/yyyy", "M-d-yyyy", "M.d.yyyy", "M/d/yyyy H:m", "M/d/yyyy H:m:s")
-DAY_FIRST_LAYOUTS = ("yyyy/d/M", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d/M/yyyy H:m", "d/M/yyyy H:m:s")
+WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+PLAIN_LAYOUTS = ("yyyyMMdd", "yyyyMMdd'T'HHmmss", "yyyyMMdd HHmmss", "yyyy-MM", "yyyy")
 MONTH_NAME_LAYOUTS = (
     "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy",
-    "d-MMM-yyyy",
+    "d-MMM-yyyy", "ddMMMyyyy",
+)
+WEEKDAY_LAYOUTS = (
+    "EEEE, MMMM d, yyyy", "EEE MMM d yyyy", "EEE, d MMM yyyy", "EEE, d MMM yyyy H:m:s", "EEE, d MMM yyyy H:m:s 'GMT'",
+)
+# A column takes its layout from a clock time with hours and minutes; seconds are read one by one.
+CLOCK_TIMES = (" h:m a", " h:ma", " h a")
+CLOCK_SECONDS = (" h:m:s a", " h:m:sa")
+MONTH_YEAR_LAYOUTS = (
+    "MMM yyyy", "MMMM yyyy", "yyyy MMM", "yyyy MMMM", "MMM-yyyy", "yyyy-MMM", "M/yyyy", "M-yyyy", "yyyy/M",
 )
 
 # --- Pixels -----------------------------------------------------------------

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,93 +57,3 @@ def drop_duplicates(df: DataFrame, row_key: str | None = None) -> DataFrame:
         return df.dropDuplicates()
     others = [c for c in df.columns if c != row_key]
     return df.groupBy(*map(_q, others)).agg(F.min(_q(row_key)).alias(row_key)).select(*map(_q, df.columns))
-
-
-# --- date detection ---------------------------------------------------------
-
-
-def date_layouts(date_order: str = "auto", mixed: bool = False) -> tuple[str, ...]:
-    first = V.YEAR_FIRST_LAYOUTS + V.MONTH_FIRST_LAYOUTS
-    second = V.YEAR_DAY_LAYOUTS + V.DAY_FIRST_LAYOUTS
-    if date_order == "global":
-        first, second = second, first
-    ahead = V.YEAR_FIRST_LAYOUTS if mixed else ()
-    return tuple(dict.fromkeys(V.PLAIN_LAYOUTS + ahead + first + V.MONTH_NAME_LAYOUTS + second))
-
-
-_SHAPES = (  # longest letter run first
-    ("SSSSSSSSS", r"\d{1,9}"), ("yyyy", r"\d{4}"), ("MMMM", "[A-Za-z]{3,9}"), ("MMM", "[A-Za-z]{3}"),
-    ("MM", r"\d{2}"), ("dd", r"\d{2}"), ("'T'", "T"), (".", r"\."), *[(c, r"\d{1,2}") for c in "MdHms"],
-)
-
-
-def _shape(layout: str) -> str:
-    """A pattern for the texts a layout can read."""
-    out = ""
-    while layout:
-        token, pattern = next(((t, p) for t, p in _SHAPES if layout.startswith(t)), (layout[0], layout[0]))
-        out, layout = out + pattern, layout[len(token) :]
-    return rf"\s*{out}\s*"
-
-
-def _parse(c: Column, layout: str) -> Column:
-    # text of another shape is not handed to the parser, whose failures are slow
-    return F.when(c.rlike(f"^{_shape(layout)}$"), F.try_to_timestamp(F.trim(c), F.lit(layout)).cast("timestamp_ntz"))
-
-
-def detect_dates(
-    df: DataFrame, row_key: str, columns: Sequence[str] | None = None, date_order: str = "auto"
-) -> dict[str, tuple[str, ...]]:
-    """``{column: layouts}`` for the string columns that are dates.
-
-    The layout is the first candidate that reads the first non-null value by
-    ``row_key``; when none does, every value is read by whichever candidate fits.
-    A column is a date column if more than half of ALL rows parse. Two aggregates
-    over the string columns, whatever their number.
-    """
-    columns = list(columns) if columns is not None else string_columns(df)
-    if not columns:
-        return {}
-    layouts = date_layouts(date_order)
-    firsts = df.agg(
-        *[
-            F.min(F.when(F.col(_q(c)).isNotNull(), F.struct(F.col(_q(row_key)), F.col(_q(c)).alias("v")))).alias(f"f{i}")
-            for i, c in enumerate(columns)
-        ]
-    )
-    probe = firsts.select(
-        *[
-            F.array(*[_parse(F.col(f"f{i}.v"), f).isNotNull() for f in layouts]).alias(f"f{i}")
-            for i in range(len(columns))
-        ]
-    ).first()
-    chosen = {}
-    for i, c in enumerate(columns):
-        hits = [f for f, hit in zip(layouts, probe[f"f{i}"]) if hit]
-        chosen[c] = (hits[0],) if hits else date_layouts(date_order, mixed=True)
-    votes = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count(parse_date(F.col(_q(c)), chosen[c])).alias(f"v{i}") for i, c in enumerate(columns)],
-    ).first()
-    return {
-        c: chosen[c]
-        for i, c in enumerate(columns)
-        if votes["n"] and votes[f"v{i}"] / votes["n"] > V.DATE_SHARE
-    }
-
-
-def parse_date(c: Column, layouts: Sequence[str]) -> Column:
-    """Timestamp by the first layout that fits, null where none does."""
-    if len(layouts) == 1:
-        return _parse(c, layouts[0])
-    any_shape = "|".join(dict.fromkeys(_shape(f) for f in layouts))
-    return F.when(c.rlike(f"^(?:{any_shape})$"), F.coalesce(*[_parse(c, f) for f in layouts]))
-
-
-def convert_dates(
-    df: DataFrame, row_key: str, columns: Sequence[str] | None = None, date_order: str = "auto"
-) -> tuple[DataFrame, list[str]]:
-    """The frame with its date columns typed, and their names."""
-    found = detect_dates(df, row_key, columns, date_order)
-    new = {c: parse_date(F.col(_q(c)), layouts) for c, layouts in found.items()}
-    return _replace_columns(df, new), list(found)

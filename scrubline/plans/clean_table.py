@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.operators import outliers, table
+from scrubline.operators import dates, outliers, table
 from scrubline.operators.table import string_columns
 from scrubline.options import TableOptions
 from scrubline.plans.materialize import materialize
@@ -44,9 +44,9 @@ def clean_table(
         key, source = row_key, df
         if key is None:
             key, source = "_position", with_position(df)
-        found = table.detect_dates(source, key, texts, options.date_order)
+        found = dates.detect_dates(source, key, texts, options.date_order)
         if found:
-            df = table._replace_columns(df, {c: table.parse_date(F.col(table._q(c)), f) for c, f in found.items()})
+            df = table._replace_columns(df, {c: dates.parse_date(F.col(table._q(c)), f) for c, f in found.items()})
             first = options.date_order == "global"
             log.append(
                 (f"✓ Converted {len(found)} column(s) to datetime: {', '.join(found)} (DayFirst={first})", None)

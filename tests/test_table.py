@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from scrubline.operators import outliers, profile
+from scrubline.operators import dates, outliers, profile
 from scrubline.operators import table as T
 from scrubline.options import TableOptions
 from scrubline.plans.clean_table import clean_table
@@ -29,6 +29,15 @@ DATES = [
     ["2024/01/02", "2024/01/05"], ["13.02.2024", "03.02.2024"], ["2024-01-01", None, None], ["2024-01-01", None],
     ["hello", "2024-01-01", "2024-01-02"], ["x", "y", "2024-01-01"], ["2024-01-15", "2024-01-16"],
     ["2024-01-05 10:00:00.123", "2024-01-06 10:00:01.5"], ["2024/01/15", "2024/01/05"], ["2024-01", "2024-02"],
+    ["01/05/24", "13/05/24", "31/12/68"], ["01-05-24", "1-6-75"], ["01.05.24 10:20"], ["24/01/05"], ["45/01/05"], ["05-Jan-24", "6 Feb 99"],
+    ["01/05/2024 10:20 AM", "03/04/2024 01:05 PM"], ["01/05/2024 10:20:30 PM", "1/5/2024 1:20 pm"], ["2024-01-05 10:20 AM"],
+    ["Jan 5, 2024 10:20 PM"], ["01/05/2024 10 AM"], ["01/05/2024 10:20AM"], ["01-05-2024 10:20 PM"], ["05.01.2024 12:20 AM"],
+    ["Jan 2024", "March 2023"], ["January 2024"], ["01/2024", "12-2023"], ["2024/01"], ["Jan-2024"], ["2024 Jan"], ["2024-Jan"],
+    ["05-01-2024 10:20", "06-01-2024 11:20"], ["05-01-2024 10:20:30"], ["05.01.2024 10:20"], ["05.01.2024 10:20:30"], ["5.1.2024 1:02"],
+    ["05/01/2024 10:20:30.123"], ["2024.01.05"], ["2024.01.15 10:20"], ["2024/01/05 10:20:30"], ["5 Jan 2024 10:20"],
+    ["Jan 5, 2024 10:20:30"], ["5-Jan-2024 10:20:30"], ["Friday, January 5, 2024"], ["Fri Jan 5 2024"],
+    ["Fri, 05 Jan 2024 10:20:30 GMT"], ["20240105T102030"], ["20240105 102030"], ["05Jan2024"], ["May 2024", "may 5, 2024", "5 May 2024"],
+    ["Jan 2024", "01/05/24", "2024-02-03", "3 Apr 2024", "05.06.2024 10:11", "word"], ["AB-123", "CD-456"], ["1704450000"], ["2024-005"],
 ]
 
 
@@ -38,7 +47,7 @@ def test_date_vote_equals_pandas(spark, order):
     p = pd.DataFrame({f"c{i}": (v * 6)[:6] for i, v in enumerate(DATES)}, dtype=object)
     df = spark.createDataFrame([(k, *row) for k, row in enumerate(p.values.tolist())],
                                "k int, " + ", ".join(f"{c} string" for c in p.columns))
-    out, found = T.convert_dates(df, "k", date_order=order)
+    out, found = dates.convert_dates(df, "k", date_order=order)
     got = out.orderBy("k").collect()
     for c in p.columns:
         # a year and a month alone are read by the fallback parser where the order is day first
@@ -49,6 +58,40 @@ def test_date_vote_equals_pandas(spark, order):
         assert [r[c] for r in got] == want, c
 
 
+ZONED = [
+    ["2024-01-05T10:20:30Z", "2024-01-06T00:00:00Z"], ["2024-01-05 10:20:30+02:00", "2024-01-05 11:20:30+02:00"],
+    ["2024-01-05T10:20:30.123+0200"], ["2024-01-05T10:20+05:30"], ["2024-01-05 10:20:30 +02:00"], ["2024-01-05 10:20:30 UTC"],
+]
+
+
+@pytest.mark.filterwarnings("ignore")
+@pytest.mark.parametrize("order", ["auto", "global"])
+def test_dates_with_zones_equal_pandas(spark, order):
+    p = pd.DataFrame({f"c{i}": (v * 2)[:2] for i, v in enumerate(ZONED)}, dtype=object)
+    df = spark.createDataFrame([(k, *row) for k, row in enumerate(p.values.tolist())], "k int, " + ", ".join(f"{c} string" for c in p.columns))
+    out, found = dates.convert_dates(df, "k", date_order=order)
+    assert found == list(p.columns) and {t for c, t in out.dtypes if c != "k"} == {"timestamp"}
+    got = out.orderBy("k").select(*[F.unix_micros(c).alias(c) for c in p.columns]).collect()
+    for c in p.columns:
+        want = pd.to_datetime(p[c], errors="coerce", dayfirst=order == "global")
+        assert [r[c] for r in got] == [x.value // 1000 for x in want], c
+
+
+def test_text_columns_are_not_parsed_for_dates(spark):
+    """Only columns that look like dates cost more than the first aggregate."""
+    rows = [(k, f"name {k}", f"{k % 28 + 1}/02/2024", None if k else "x") for k in range(50)]
+    df = spark.createDataFrame(rows, "k int, s string, d string, n string")
+    assert list(dates.detect_dates(df, "k", date_order="global")) == ["d"]
+    assert dates.detect_dates(df.select("k", "s"), "k") == {}
+
+
+def test_signatures_join_what_the_same_layouts_read(spark):
+    texts = ["5 Jan 2024", "7 dec 1999", "12 December 2024", "Friday, May 3, 2024", "a 5 Jan 2024", "1:02 pm", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(dates.signature(F.col("t"))).collect()]
+    assert got == ["9 jan 9999", "9 jan 9999", "99 january 9999", "friday, jan 9, 9999", None, "9:99 am", None]
+
+
 def test_duplicates(spark):
     df = spark.createDataFrame([(3, "a", None), (1, "a", None), (2, "b", 1.0), (2, "b", 1.0)], "k int, s string, v double")
     assert T.drop_duplicates(df).count() == 3

@@ -1,6 +1,8 @@
 """Text functions against their definition in plain Python."""
 
+import difflib
 import html
+import random
 import re
 
 import pytest
@@ -8,6 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from scrubline.functions import line_diff
 from scrubline.functions import text as X
 from scrubline.functions.json_text import json_text
 from scrubline.operators import text_tables as TT
@@ -208,3 +211,54 @@ def test_stats_compare(spark):
     got = {r["metric"]: (r["original"], r["cleaned"], r["delta"]) for r in TT.stats_compare(df, "k", "o", "n").collect()}
     assert got == {"Characters": (8, 6, -2), "Words": (3, 3, 0), "Lines": (3, 1, -2), "Sentences": (1, 1, 0)}
     assert TT.unpivot_stats(df, "k", "o", "n").count() == 8
+
+
+def lines(r, n):
+    return [r.choice("abcdefgh") * r.choice([1, 1, 2]) for _ in range(n)]
+
+
+def test_line_scripts_rebuild_both_texts():
+    r = random.Random(4)
+    for _ in range(400):
+        a = lines(r, r.randrange(14))
+        b = list(a)
+        for _ in range(r.randrange(5)):
+            kind = r.random()
+            if b and kind < 0.4:
+                del b[r.randrange(len(b))]
+            elif b and kind < 0.6:
+                b.append(b.pop(r.randrange(len(b))))
+            else:
+                b.insert(r.randrange(len(b) + 1), r.choice("abcxyz"))
+        script = list(line_diff.line_diff_script(a, b))
+        assert [x[1] for x in script if x[2]] == a and [x[1] for x in script if x[3]] == b
+        assert [x[2] for x in script if x[2]] == list(range(1, len(a) + 1)) and [x[3] for x in script if x[3]] == list(range(1, len(b) + 1))
+        assert all((s == "same") == (i is not None and j is not None) for s, _, i, j in script)
+        if len(set(a)) == len(a) and len(set(b)) == len(b):
+            # with lines that do not repeat the kept ones are a longest common part
+            blocks = difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+            assert sum(s == "same" for s, *_ in script) >= sum(x.size for x in blocks)
+
+
+def test_long_texts_align_quickly():
+    a = [f"line {k}" for k in range(60_000)]
+    b = a[30_000:] + ["x"] * 1000 + a[:30_000]
+    assert len(line_diff.aligned(a, b)) == 30_000
+    assert len(line_diff.aligned(["a"] * 40_000, ["b"] + ["a"] * 30_000)) == 30_000
+
+
+def test_line_script_rows(spark):
+    df = spark.createDataFrame(
+        [(1, "a\nb\r\nc", "b\nc\na"), (2, None, "x"), (3, "", None), (4, "x\n", "x")], "`the.key` int, `o.t` string, `n.t` string")
+    got = [tuple(r) for r in TT.line_script(df, "the.key", "o.t", "n.t").orderBy("`the.key`", "at").collect()]
+    assert got == [
+        (1, 1, "removed", "a", 1, None), (1, 2, "same", "b", 2, 1), (1, 3, "same", "c", 3, 2), (1, 4, "added", "a", None, 3),
+        (2, 1, "added", "x", None, 1), (4, 1, "same", "x", 1, 1)]
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(1, "a\nb", "b", '{"x": ["y"]}')], "`k.k` int, `o.t` string, `n.t` string, `j.j` string")
+    assert TT.line_diff(df, "k.k", "o.t", "n.t").count() == 2
+    assert TT.unpivot_stats(df, "k.k", "o.t", "n.t").count() == 8
+    assert [r["value"] for r in TT.json_leaves(df, "k.k", "j.j").collect()] == ["y"]
+    assert TT.concat_documents(df, "k.k", "k.k", "o.t").first()["text"] == "a\nb"
