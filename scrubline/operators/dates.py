@@ -1,7 +1,6 @@
 """Finding and reading date columns.
 
-A text's signature is the text with every digit as 9 and every month, weekday and half of
-the day under one name. Whether a layout can read a text depends on its signature alone, so
+A text's signature is the text with every digit as 9 and words cut to three letters. Whether a layout can read a text depends on its signature alone, so
 signatures are counted once and layouts resolved for each of them, not for each row.
 """
 
@@ -73,13 +72,17 @@ _SHAPES = (  # longest letter run first
 )
 
 
+_RANGES = {"M": "(?:1[0-2]|0?[1-9])", "d": r"(?:[12]\d|3[01]|0?[1-9])", "MM": r"(?:0[1-9]|1[0-2])", "dd": r"(?:0[1-9]|[12]\d|3[01])"}
+
+
 @cache
-def _shape(layout: str) -> str:
-    """A pattern, whatever the case, for the texts a layout can read."""
+def _shape(layout: str, exact: bool = False) -> str:
+    """A pattern, whatever the case, for the texts a layout can read; the ``exact`` one
+    leaves out impossible months and days."""
     out = ""
     while layout:
         token, pattern = next(((t, p) for t, p in _SHAPES if layout.startswith(t)), (layout[0], layout[0]))
-        out, layout = out + pattern, layout[len(token) :]
+        out, layout = out + (_RANGES.get(token, pattern) if exact else pattern), layout[len(token) :]
     return rf"\s*{out}\s*"
 
 
@@ -106,19 +109,23 @@ def _read(c: Column, layout: str) -> Column:
 
 def _parse(c: Column, layout: str) -> Column:
     # text of another shape is not handed to the parser, whose failures are slow
-    return F.when(c.rlike(f"(?i)^{_shape(layout)}$"), _read(c, layout))
+    return F.when(c.rlike(f"(?i)^{_shape(layout, exact=True)}$"), _read(c, layout))
 
 
 def signature(c: Column) -> Column:
-    """Equal for texts that the same layouts can read; null for a text with other words
-    than names of dates."""
-    s = F.lower(F.trim(c))
-    s = F.regexp_replace(s, "(?:%s)" % "|".join(m for m in V.MONTHS if len(m) > 3), "january")
-    s = F.regexp_replace(s, r"\b(?:%s)\b" % "|".join(m[:3] for m in V.MONTHS), "jan")
-    s = F.regexp_replace(s, "(?:%s)" % "|".join(V.WEEKDAYS), "friday")
-    s = F.regexp_replace(s, r"\b(?:%s)\b" % "|".join(d[:3] for d in V.WEEKDAYS), "fri")
-    s = F.regexp_replace(F.regexp_replace(s, "[ap]m", "am"), "[0-9]", "9")
-    return F.when(c.rlike(_PLAUSIBLE) & s.rlike(r"^(?:[9:./,+\- ]|january|jan|friday|fri|am|t|gmt|utc|z)+$"), s)
+    """Equal for texts that the same layouts can read: digits are 9, of a word its first
+    three letters stay. Null for a text with other words than names of dates."""
+    s = F.translate(F.lower(F.trim(c)), "0123456789", "9" * 10)
+    words = F.regexp_replace(s, "([a-z]{3})[a-z]+", "$1~")
+    names = "|".join([m[:3] for m in V.MONTHS] + [d[:3] for d in V.WEEKDAYS] + ["utc", "gmt", "[ap]m"])
+    dated = words.rlike(rf"^(?:[9:./,+\- ]++|(?:{names})(?![a-z])~?|[tz](?![a-z]))++$")
+    return F.when(c.rlike(_PLAUSIBLE), F.when(~s.rlike("[a-z]"), s).when(dated, words))
+
+
+def _example(sign: str) -> str:
+    """A text with a signature: its long words as full names."""
+    full = {x[:3] + "~": x for x in (*V.MONTHS, *V.WEEKDAYS)}
+    return re.sub("[a-z]{3}~", lambda m: full.get(m[0], m[0]), sign)
 
 
 #: What any layout can read looks like this.
@@ -141,7 +148,7 @@ def parse_date(c: Column, how: Sequence[str] | Signatures) -> Column:
         by.setdefault(layouts, []).append(text)
     out = None
     for layouts, texts in by.items():
-        value = F.coalesce(*[_read(c, x) for x in layouts])
+        value = _read(c, layouts[0]) if len(layouts) == 1 else F.coalesce(*[_parse(c, x) for x in layouts])
         out = F.when(sign.isin(texts), value) if out is None else out.when(sign.isin(texts), value)
     return F.lit(None).cast("timestamp_ntz") if out is None else out
 
@@ -195,7 +202,7 @@ def _by_signature(df: DataFrame, columns: list[str], date_order: str) -> dict[st
     rows = df.select(signs.alias("x")).select("x.*").where("s is not null").groupBy("i", "s").count().collect()
     out: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["i"], r["s"])):
-        layouts = tuple(x for x in loose_layouts(date_order) if _fits(x, r["s"]))
+        layouts = tuple(x for x in loose_layouts(date_order) if _fits(x, _example(r["s"])))
         if layouts:
             out.setdefault(columns[r["i"]], []).append((r["s"], layouts))
     return {c: Signatures(tuple(x)) for c, x in out.items()}
