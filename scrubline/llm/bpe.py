@@ -98,8 +98,8 @@ class Vocabulary:
         """Ids of texts. A worker keeps it, and the remembered pieces, from task to task."""
         matches = regex.compile(self.pattern).findall
 
-        def encode(pieces: Sequence[str]) -> list[bytes]:
-            return [array("I", [i for m in matches(p) for i in self.ids(m.encode())]).tobytes() for p in pieces]
+        def encode(piece: str) -> bytes:
+            return array("I", [i for m in matches(piece) for i in self.ids(m.encode())]).tobytes()
 
         return Remembering(encode)
 

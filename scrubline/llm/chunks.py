@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Remembered pieces of one worker (twice as many at most), and the longest of them; both
-#: bound memory, not results.
-MEMO, MEMO_CHARS = 500_000, 40
+#: Bytes of remembered pieces of one worker (twice as many at most), what a piece costs
+#: beside its characters, and the longest of them; they bound memory, not results.
+MEMO_BYTES, ENTRY_BYTES, MEMO_CHARS = 64 << 20, 200, 40
 MARKS = ".,;:!?"
 _RUN = re.compile(r"\s\s")
 _SINGLE = re.compile(r" (?=\S)(?<=\S )")
@@ -30,44 +30,51 @@ def pieces(text: str) -> list[str]:
     return text.split(" ")
 
 
+class _Memo(dict):
+    """Ids by piece, made when a piece is first asked for. Pieces are kept in two
+    generations; the older one is dropped when the younger is full."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self._make, self._limit, self._old, self._room = make, limit, {}, limit
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self._old.get(piece)
+        if ids is None:
+            ids = self._make(piece)
+        if len(piece) <= MEMO_CHARS:
+            self[piece] = ids
+            self._room -= ENTRY_BYTES
+        return ids
+
+    def trim(self) -> None:
+        if self._room < 0:
+            self._old, self._room = dict(self), self._limit
+            self.clear()
+
+
 class Remembering:
-    """Ids of texts as bytes (32 bits each) by an encoder of pieces. Pieces are remembered
-    in two generations; the older one is dropped when the younger is full."""
+    """Ids of texts as bytes (32 bits each) by an encoder of one piece."""
 
-    def __init__(self, encode: Callable[[Sequence[str]], Sequence[bytes]]):
-        self._encode, self._young, self._old = encode, {}, {}
+    def __init__(self, encode: Callable[[str], bytes], memo_bytes: int = MEMO_BYTES):
+        self._encode = encode
+        self._memo = _Memo(self._fresh, memo_bytes)
+        self._marks = {m: encode(m) for m in MARKS}
 
-    def _fresh(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of pieces met for the first time. Between a letter and a mark after it every
-        match ends, so ``word,`` is ``word`` and ``,``."""
-        stems = [w[:-1] if w[-1:] in MARKS and w[:-1].isalpha() else w for w in words]
-        whole = list(dict.fromkeys(stems))
-        coded = dict(zip(whole, self._encode([" " + w for w in whole])))
-        tails = dict(zip(MARKS, self._encode(list(MARKS))))
-        return ((w, coded[s] if s is w else coded[s] + tails[w[-1]]) for w, s in zip(words, stems))
+    def _fresh(self, piece: str) -> bytes:
+        """Between a letter and a mark after it every match ends, so ``word,`` is ``word``
+        and ``,``."""
+        if piece[-1:] in self._marks and piece[:-1].isalpha():
+            return self._memo[piece[:-1]] + self._marks[piece[-1]]
+        return self._encode(" " + piece)
 
     def __call__(self, texts: Sequence[str]) -> list[bytes]:
-        if len(self._young) > MEMO:
-            self._young, self._old = {}, self._young
-        young, old = self._young, self._old
-        cut = [pieces(t) for t in texts]
-        firsts = self._encode([c[0] for c in cut])
-        missing = set()
-        found = []
-        for words in cut:
-            del words[0]
-            own = list(map(young.get, words))
-            if None in own:
-                missing.update(w for w, f in zip(words, own) if f is None)
-            found.append(own)
-        known = {w: old[w] for w in missing if w in old}
-        known.update(self._fresh(list(missing.difference(known)) if known else list(missing)))
-        young.update((w, f) for w, f in known.items() if len(w) <= MEMO_CHARS)
-        out = []
-        for first, own, words in zip(firsts, found, cut):
-            if None in own:
-                own = [known[w] if f is None else f for f, w in zip(own, words)]
-            out.append(first + b"".join(own))
+        known, out = self._memo.__getitem__, []
+        for text in texts:
+            cut = pieces(text)
+            first = cut.pop(0)
+            out.append(self._encode(first) + b"".join(map(known, cut)))
+            self._memo.trim()
         return out
 
 

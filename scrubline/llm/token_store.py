@@ -16,6 +16,7 @@ or double segment.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -23,7 +24,9 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -118,21 +121,67 @@ class Codes:
         return value
 
 
+#: The characters the library's byte-level models have for the 256 bytes.
+#: Visible Latin-1 characters stand for themselves, the other bytes for those from U+0100 on.
+_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_CHARS = {b: chr(b) for b in _VISIBLE} | {b: chr(0x100 + k) for k, b in enumerate(sorted(set(range(256)) - _VISIBLE))}
+#: Pre-tokens of visible characters below this, spaces and line feeds are cut here; what
+#: else there is the library cuts itself.
+_PLAIN = re.compile("[\n\x20-\x7e\xa1-\xac\xae-\u024f]*")
+#: Bytes of remembered pieces of one worker.
+MEMO_BYTES, MEMO_CUTS = 96 << 20, 50_000
+
+
 @lru_cache(maxsize=1)
-def library_encoder(path: str, literal: bool = True) -> Remembering:
-    """Ids by the tokenizers library from a tokenizer file, no special tokens added. Where a
-    text itself has the string of a special token, that is plain text if ``literal``, else the
-    token, as by the library's default. (Such a token must have no space and strip none, or
-    cutting at single spaces would change ids.) A worker keeps its encoder, and with it the remembered pieces, from task to task. The library
-    runs on the task's own core: its threads would compete with the other tasks."""
+def library_encoder(path: str, literal: bool = True, pattern: str = public_tokenizers.PATTERN) -> Remembering:
+    """Ids by the tokenizers library from a byte-level tokenizer file, no special tokens
+    added. Where a text itself has the string of a special token, that is plain text if
+    ``literal``, else the token, as by the library's default. (Such a token must have no
+    space and strip none, or cutting at single spaces would change ids.)
+
+    A piece of plain characters is cut by the file's own ``pattern`` and goes to the
+    library's model at once; all others, and those with a special token, take the library's
+    whole way. A worker keeps its encoder, and with it the remembered pieces, from task to
+    task. The library runs on the task's own core: its threads would compete with the other
+    tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = literal
-    return Remembering(lambda pieces: [
-        array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(list(pieces), add_special_tokens=False)
-    ])
+    specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    special = re.compile("|".join(map(re.escape, specials)) or "(?!)").search
+    # What is remembered here is remembered before the library's own small store is asked.
+    model = tokenizer.model
+    model._resize_cache(0)
+    tokenize, matches, plain = model.tokenize, regex.compile(pattern).findall, _PLAIN.fullmatch
+    cuts: dict[str, bytes] = {}
+
+    space, words = BYTE_CHARS[ord(" ")], not any(t.isalpha() for t in specials)
+
+    def one(cut: str) -> bytes:
+        chars = cut.encode().decode("latin-1").translate(BYTE_CHARS)
+        return array("I", [t.id for t in tokenize(chars)]).tobytes()
+
+    def encode(piece: str) -> bytes:
+        if words and piece[:1] == " " and piece[1:].isalpha():
+            if piece.isascii():
+                return array("I", [t.id for t in tokenize(space + piece[1:])]).tobytes()
+            if plain(piece):
+                return one(piece)
+        if not plain(piece) or special(piece):
+            return array("I", tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        out = []
+        for cut in matches(piece):
+            ids = cuts.get(cut)
+            if ids is None:
+                ids = one(cut)
+                if len(cuts) < MEMO_CUTS:
+                    cuts[cut] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    return Remembering(encode, MEMO_BYTES)
 
 
 def _spec(spark_type: str) -> str:
