@@ -187,18 +187,36 @@ def _bucket_pairs(posts: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _stars(posts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a pivot ``u1`` and another group, for shingles of more than ``PAIRED`` groups.
-    One pivot has the most widely shared prefix, as the text others were copied from has;
-    another is any."""
+def _wide(posts: DataFrame, percent: int) -> DataFrame:
+    """Postings of shingles of more than ``PAIRED`` groups, with ``most``, what two sets can
+    have in common if they share no other shingle of their prefixes (then their pair is in
+    no shorter list). A group that needs more is similar to none in this way and is left out."""
     wide = posts.where(F.col("k") > PAIRED)
-    typical = wide.groupBy("gid").agg((F.sum("k") / F.expr(f"max({_prefix_size(percent)})")).alias("typical"))
-    pivots = stored(wide.join(typical, "gid").groupBy("token").agg(
-        F.array_distinct(F.array(F.max_by(F.struct("gid", "n"), F.struct("typical", "gid")), F.max_by(F.struct("gid", "n"), F.xxhash64("gid")))).alias("pivots"),
+    own = wide.groupBy("gid", "n").agg(F.count(F.lit(1)).alias("w"), F.sum("k").alias("spread"))
+    able = own.select(
+        "gid", (F.col("n") - F.expr(_prefix_size(percent)) + F.col("w")).alias("most"),
+        (F.col("spread") / F.expr(_prefix_size(percent))).alias("typical"), F.expr(f"(n * {percent} + 99) div 100").alias("least"))
+    return stored(wide.join(able.where("most >= least").drop("least"), "gid").select("token", "gid", "n", "most", "typical"), "wide")
+
+
+def _alike(percent: int, a: str, b: str) -> str:
+    """SQL: two sets of a wide list may be similar, by size and by what they can share."""
+    return (
+        f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
+        f" and least({a}.most, {b}.most) >= {_least_shared(percent, a + '.n', b + '.n')}"
+    )
+
+
+def _stars(wide: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a pivot ``u1`` and another group of a wide list. One pivot has the most
+    widely shared prefix, as the text others were copied from has; another is any."""
+    one = F.struct("gid", "n", "most")
+    pivots = stored(wide.groupBy("token").agg(
+        F.array_distinct(F.array(F.max_by(one, F.struct("typical", "gid")), F.max_by(one, F.xxhash64("gid")))).alias("pivots"),
         F.count(F.lit(1)).alias("rows")), "pivots")
-    pairs = join_hot(wide.select("token", "gid", "n"), pivots, "token", "rows", "gid").select("gid", "n", F.explode("pivots").alias("p"))
-    return pairs.where(
-        f"p.gid <> gid and 100 * least(n, p.n) >= {percent} * greatest(n, p.n)").select(F.col("p.gid").alias("u1"), F.col("gid").alias("u2")).distinct()
+    pairs = join_hot(wide.select("token", one.alias("x")), pivots, "token", "rows", "x").select("x", F.explode("pivots").alias("p"))
+    return pairs.where("p.gid <> x.gid and " + _alike(percent, "p", "x")).select(
+        F.col("p.gid").alias("u1"), F.col("x.gid").alias("u2")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: _Sets, percent: int) -> DataFrame:
@@ -213,22 +231,22 @@ def _verified(pairs: DataFrame, sets: _Sets, percent: int) -> DataFrame:
 
 
 def _open_pairs(lists: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(u1, u2)`` of similar size inside a list that lie in different components.
+    """Pairs ``(u1, u2)`` inside a list that may be similar and lie in different components.
 
-    ``lists`` has ``(x, y, gid)``: all sets of the groups under one ``(x, y)`` are to be
+    ``lists`` has ``(x, y, gid, most)``: all sets of the groups under one ``(x, y)`` are to be
     compared; ``placed`` has ``(uid, gid, n, root)``. A list within one component is dropped
     before its groups are expanded."""
     spans = placed.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     still = stored(
         lists.join(spans, "gid").groupBy("x", "y").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         .where("lo <> hi").select("x", "y"), "open")
-    rows = stored(lists.join(still, ["x", "y"]).join(placed, "gid").select("x", "y", "uid", "n", "root").distinct(), "open-rows")
-    salted = rows.withColumn("salt", F.expr(f"cast(pmod(xxhash64(uid), {SALTS}) as int)"))
-    spread = rows.select("x", "y", *[F.col(c).alias(c + "2") for c in ("uid", "n", "root")]).withColumn(
-        "salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+    rows = stored(lists.join(still, ["x", "y"]).join(placed, "gid").select(
+        "x", "y", F.struct("uid", "n", "root", F.coalesce("most", "n").alias("most")).alias("a")).distinct(), "open-rows")
+    salted = rows.withColumn("salt", F.expr(f"cast(pmod(xxhash64(a.uid), {SALTS}) as int)"))
+    spread = rows.withColumnRenamed("a", "b").withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
     return salted.join(spread, ["x", "y", "salt"]).where(
-        f"uid < uid2 and root <> root2 and 100 * least(n, n2) >= {percent} * greatest(n, n2)"
-    ).select(F.col("uid").alias("u1"), F.col("uid2").alias("u2")).distinct()
+        "a.uid < b.uid and a.root <> b.root and " + _alike(percent, "a", "b")
+    ).select(F.col("a.uid").alias("u1"), F.col("b.uid").alias("u2")).distinct()
 
 
 def _rooted(sets: DataFrame, edges: DataFrame) -> DataFrame:
@@ -252,7 +270,8 @@ def _links(sets: _Sets, firsts: DataFrame) -> DataFrame:
     posts = stored(join_hot(index, shared, "token", "k", "gid"), "posts")
 
     group_pairs = stored(_bucket_pairs(posts, percent), "pairs")
-    stars = _stars(posts, percent).union(members.where("uid <> gid").select(F.col("gid").alias("u1"), F.col("uid").alias("u2")))
+    wide = _wide(posts, percent)
+    stars = _stars(wide, percent).union(members.where("uid <> gid").select(F.col("gid").alias("u1"), F.col("uid").alias("u2")))
     edges = _verified(stored(group_pairs.union(stars).distinct(), "candidates"), sets, percent)
 
     grouped_sets = prefixes.select("uid", "n").join(members, "uid", "left").withColumn("gid", F.coalesce("gid", "uid"))
@@ -261,11 +280,11 @@ def _links(sets: _Sets, firsts: DataFrame) -> DataFrame:
     # Pairs of two single sets have been compared.
     unsure = group_pairs.join(several, group_pairs["u1"] == several["gid"], "left_semi").union(
         group_pairs.join(several, group_pairs["u2"] == several["gid"], "left_semi"))
-    none = F.lit(-1).cast("long")
+    none = F.lit(None).cast("long")
     lists = (
-        several.select(F.col("gid").alias("x"), none.alias("y"), "gid")
-        .union(unsure.select(F.col("u1").alias("x"), F.col("u2").alias("y"), F.explode(F.array("u1", "u2"))))
-        .union(posts.where(F.col("k") > PAIRED).select("token", none - 1, "gid"))
+        several.select(F.col("gid").alias("x"), F.lit(-1).cast("long").alias("y"), "gid", none.alias("most"))
+        .union(unsure.select(F.col("u1").alias("x"), F.col("u2").alias("y"), F.explode(F.array("u1", "u2")), none))
+        .union(wide.select("token", F.lit(-2).cast("long"), "gid", "most"))
     )
     more = stored(_open_pairs(lists, placed, percent), "candidates")
     return edges.union(_verified(more, sets, percent)) if more.head(1) else edges
