@@ -26,6 +26,8 @@ from scrubline.llm.common import batch_of, map_batches, stored, utf8
 MAGIC = b"\x1f\x8b\x08"
 #: A file is closed by the record that takes it over this size; a task reads ranges of SPLIT bytes, CHUNK at a time.
 FILE_BYTES, SPLIT_BYTES, CHUNK_BYTES = 64 << 20, 8 << 20, 1 << 20
+#: Ranges a task reads; compressed bytes first tried as a member.
+RANGES_PER_TASK, STEP_BYTES = 2, 1 << 12
 SALTS = 32
 VERSION = b"WARC/1.1\r\n"
 
@@ -36,7 +38,7 @@ def sha1_base32(payload: bytes) -> str:
 
 def _clean(value: str) -> str:
     """A header value: control characters would end the line."""
-    return "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" else c for c in value)
+    return "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" else c for c in str(value))
 
 
 def record(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bool = False) -> bytes:
@@ -45,7 +47,7 @@ def record(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bo
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     headers = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
+        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else _clean(page_id)}>"),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("Content-Type", "application/http; msgtype=response"),
         ("WARC-Payload-Digest", "sha1:" + sha1_base32(payload)),
@@ -54,7 +56,7 @@ def record(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bo
         headers.append(("WARC-Target-URI", _clean(url)))
     if revisit:
         headers.append(("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
-        headers.append(("WARC-Refers-To", f"<urn:page:{'' if refers_to is None else refers_to}>"))
+        headers.append(("WARC-Refers-To", f"<urn:page:{'' if refers_to is None else _clean(refers_to)}>"))
     else:
         block += payload
     headers.append(("Content-Length", str(len(block))))
@@ -88,10 +90,10 @@ def parsed(data: bytes) -> Record | None:
 
 
 class _Bytes:
-    """A file read forward in chunks; what lies before ``keep`` may be dropped."""
+    """A file read forward in chunks; what lies before a place may be dropped."""
 
     def __init__(self, file, start: int, size: int):
-        self.file, self.at, self.size, self.data = file, start, size, b""
+        self.file, self.at, self.size, self.data = file, start, size, bytearray()
         file.seek(start)
 
     def more(self) -> bool:
@@ -100,22 +102,28 @@ class _Bytes:
         return bool(chunk)
 
     def drop(self, place: int) -> None:
-        self.data, self.at = self.data[place - self.at :], place
+        del self.data[: place - self.at]
+        self.at = place
 
 
 def _member(source: _Bytes, place: int) -> tuple[Record, int] | None:
     """The record of the member at ``place`` and where the member ends. Headers may have any
     length: what begins as a record is inflated to the member's end."""
     unpack, out, at = zlib.decompressobj(31), [], place - source.at
-    start, checked = b"", False
+    start, checked, step = b"", False, STEP_BYTES
     while True:
         if at >= len(source.data) and not source.more():
             return None
         try:
-            out.append(unpack.decompress(source.data[at:]))
+            with memoryview(source.data) as held:
+                part = held[at : at + step]
+                at += len(part)
+                out.append(unpack.decompress(part))
+                part.release()
         except zlib.error:
             return None
-        at = len(source.data) - len(unpack.unused_data)
+        # In growing steps: what follows a member is copied, and should be little.
+        at, step = at - len(unpack.unused_data), min(2 * step, CHUNK_BYTES)
         if not checked:
             start += out[-1][:5]
             if not b"WARC/".startswith(start[:5]):
@@ -228,7 +236,10 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
     """
     ranges = manifest.select("file", "bytes", F.explode(
         F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {split_bytes}L)")).alias("start"))
-    ranges = ranges.repartition(F.col("file"), F.col("start"))
+    # A fixed number of partitions, which the engine does not merge however few bytes the
+    # ranges themselves take: a task reads RANGES_PER_TASK of them.
+    total = manifest.agg(F.sum(F.ceil(F.greatest(F.col("bytes"), F.lit(1)) / split_bytes))).first()[0] or 1
+    ranges = ranges.repartition(max(1, -(-int(total) // RANGES_PER_TASK)), F.col("file"), F.col("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

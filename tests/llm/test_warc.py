@@ -4,6 +4,8 @@ import hashlib
 import io
 import random
 
+from pyspark.sql import functions as F
+
 from scrubline.llm import warc
 
 
@@ -59,6 +61,28 @@ def test_long_urls_come_back(spark, fresh_path):
         assert sorted((int(g["page_id"]), g["url"]) for g in got) == [(i, u) for i, u, _ in rows]
 
 
+def test_ranges_are_read_by_many_tasks(spark, fresh_path):
+    rows = [(k, "u", random.Random(k).randbytes(300).hex()) for k in range(200)]
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), fresh_path(), file_bytes=10_000)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    got = warc.read_archives(manifest, 5_000).withColumn("task", F.spark_partition_id())
+    assert got.count() == 200 and got.select("task").distinct().count() > 4
+
+
+def test_text_ids_with_line_ends(spark, fresh_path):
+    rows = [("a\r\nX: y", "u", "one"), ("b", "u", "two"), ("c\n", "u", "two")]
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id string, url string, html string"), fresh_path())
+    got = sorted((r["page_id"], r["refers_to"]) for r in warc.read_archives(manifest).collect())
+    assert got == [("a%0D%0AX: y", None), ("b", None), ("c%0A", "b")]
+
+
+def test_one_large_record():
+    body = random.Random(1).randbytes(6_000_000)
+    data = warc.record(1, "u", body) + warc.record(2, "u", b"next")
+    found = list(warc.records_in(io.BytesIO(data), 0, len(data), len(data)))
+    assert [len(x.block.partition(b"\r\n\r\n")[2]) for x in found] == [6_000_000, 4]
+
+
 def test_no_pages(spark, fresh_path):
     assert roundtrip(spark, fresh_path(), [], 0, 100) == []
 
