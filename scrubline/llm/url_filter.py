@@ -13,10 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrubline.llm.common import HOT_ROWS, HOT_SHARE, stored
+
 #: Blocks of four 64-bit words; the filter sent to the tasks has at most this many (4 MB).
 MAX_BLOCKS, WORDS, BITS_PER_WORD, RULES_PER_BLOCK = 1 << 17, 4, 2, 16
-#: Path prefixes of at most this many different lengths; a list with more is an error.
-MAX_LENGTHS = 1024
+#: Lengths of paths, and of hosts in labels, tried in one pass; a list with more takes more passes.
+LENGTHS, LABELS = 1024, 128
 SALTS = 32
 
 
@@ -65,26 +67,27 @@ def judged(
     repeat count once. Null URLs and those without ``://`` have empty parts. Repeated rows
     get equal results. Columns of ``urls`` named like a new one are replaced by it.
 
-    Different (host, path) pairs are judged once, so copies of a URL cost nothing; a rule
-    that very many pairs may fit is split over ``SALTS`` tasks in the exact join.
+    Different (host, path) pairs are judged once, and only prefixes and suffixes of lengths
+    that occur in the list are looked up, however long a host or path is. A rule that very
+    many pairs may fit is split over ``SALTS`` tasks in the exact join, and so are the rows
+    of a pair that holds very many of them.
     """
     listed = _listed(rules)
-    size = listed.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.length("r_path")).alias("lengths")).first()
-    if len(size["lengths"]) > MAX_LENGTHS:
-        raise ValueError(f"path prefixes of more than {MAX_LENGTHS} lengths")
+    size = listed.agg(
+        F.count(F.lit(1)).alias("n"), F.collect_set(F.length("r_path")).alias("lengths"),
+        F.collect_set(_labels(F.col("r_host"))).alias("labels")).first()
     blocks = max(1, min(MAX_BLOCKS, size["n"] // RULES_PER_BLOCK + 1))
     words = [F.bit_or(f"m{w}").alias(f"f{w}") for w in range(WORDS)]
     bloom = listed.select(_filter_key(F.col("r_host"), F.col("r_path"), blocks)).groupBy("block").agg(*words)
 
     host, path = split_url(F.col("__u"))
     parted = urls.withColumn("__u", F.col(url_col)).withColumns({"host": host, "path": path}).drop("__u")
-    pairs = parted.where("host <> ''").select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    lengths = F.array(*[F.lit(n) for n in sorted(size["lengths"])]).cast("array<int>")
-    prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    keys = pairs.withColumn("r_host", F.explode(suffixes)).withColumn("r_path", F.explode(prefixes))
-    probes = keys.select("*", *_filter_key(F.col("r_host"), F.col("r_path"), blocks))
+    pairs = stored(parted.groupBy("host", "path").agg(F.count(F.lit(1)).alias("copies")), "urls")
+    tried = [
+        _keys(pairs.where("host <> ''"), labels, lengths)
+        for labels in _parts(sorted(size["labels"]), LABELS) for lengths in _parts(sorted(size["lengths"]), LENGTHS)
+    ]
+    probes = reduce(DataFrame.union, tried).select("*", *_filter_key(F.col("r_host"), F.col("r_path"), blocks))
     # The filter has at most MAX_BLOCKS rows, whatever the list holds.
     hits = probes.join(F.broadcast(bloom), "block").where(
         reduce(lambda a, b: a & b, [F.col(f"f{w}").bitwiseAND(F.col(f"m{w}")) == F.col(f"m{w}") for w in range(WORDS)]))
@@ -94,6 +97,30 @@ def judged(
     rank = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"))
     best = found.groupBy("host", "path").agg(
         F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), "verdict"), rank).alias("won"))
-    return parted.drop("rule", "verdict").join(best, ["host", "path"], "left").select(
+    # Pairs with a large share of the rows, few by definition.
+    total = pairs.agg(F.sum("copies")).first()[0] or 0
+    hot = pairs.where(F.col("copies") > max(int(total * HOT_SHARE), HOT_ROWS)).select("host", "path").collect()
+    is_hot = F.struct("host", "path").isin([F.struct(F.lit(r["host"]), F.lit(r["path"])) for r in hot]) if hot else F.lit(False)
+    salted = parted.drop("rule", "verdict").withColumn("_salt", F.when(is_hot, F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(best.withColumn("_salt", F.explode(copies)), ["host", "path", "_salt"], "left").select(
         *[c for c in parted.columns if c not in ("rule", "verdict", "host", "path")], "host", "path",
         F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
+
+
+def _labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def _parts(numbers: list[int], size: int) -> list[list[int]]:
+    return [numbers[at : at + size] for at in range(0, len(numbers), size)] or [[]]
+
+
+def _keys(pairs: DataFrame, labels: list[int], lengths: list[int]) -> DataFrame:
+    """Rule keys a pair could match: its host's last labels with its path's first characters."""
+    numbers = lambda values: F.array(*map(F.lit, values)).cast("array<int>")
+    suffixes = F.transform(
+        F.filter(numbers(labels), lambda k: k <= F.col("n_labels")), lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k))
+    prefixes = F.transform(F.filter(numbers(lengths), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    return pairs.select("host", "path", _labels(F.col("host")).alias("n_labels")).select(
+        "host", "path", F.explode(suffixes).alias("r_host")).withColumn("r_path", F.explode(prefixes))

@@ -93,6 +93,21 @@ def test_verdicts_of_urls_equal_brute_force(spark):
         assert sorted([tuple(x[c] for c in ("page_id", "host", "path", "rule", "verdict")) for x in got.collect()], key=repr) == sorted(want, key=repr)
 
 
+def test_long_hosts_long_lists_and_many_copies(spark, monkeypatch):
+    long_host = "x." * 50_000 + "example.com"
+    urls = [f"http://{long_host}/en/a", "http://a.b.c.d.e/" + "p" * 100_000, "http://www.example.com/en/y"]
+    rows = list(enumerate(urls)) + [(10 + k, "http://hot.example.com/en/z") for k in range(900)] + [(2000 + k, "http://no.rule/") for k in range(900)]
+    rules = RULES + [(f"r.org/{'p' * k}", "block") for k in range(2000)] + [(f"{'l.' * k}z", "block") for k in range(300)] + [("d.e/" + "p" * 1500, "block")]
+    df = spark.createDataFrame(rows, "page_id long, url string").repartition(6)
+    got = url_filter.judged(df, url_filter.rules_of(spark, rules))
+    want = {i: verdict(u, rules) for i, u in rows[:3] + rows[3:4] + rows[-1:]}
+    found = got.collect()
+    assert len(found) == len(rows)
+    for r in found:
+        key = r["page_id"] if r["page_id"] < 10 else 10 if r["page_id"] < 2000 else rows[-1][0]
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == want[key]
+
+
 def test_filter_passes_every_listed_key(spark):
     keys = spark.range(3000).select(F.concat(F.lit("h"), "id", F.lit(".org")).alias("h"), F.lit("/").alias("p"))
     masks = keys.select(url_filter._filter_key(F.col("h"), F.col("p"), 64))
