@@ -8,12 +8,12 @@ hold. Trained in numpy on a bounded sample; applied to batches of windows in the
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +21,16 @@ from scrubline.llm.common import map_batches
 
 #: Bytes of a window; embedding size; filter widths; filters of each width.
 WINDOW, EMBEDDED, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 16
-#: Documents taken for each language at most; languages at most; windows of each document; passes.
+#: Documents taken for each language at most; languages taught, those with the most
+#: documents; windows of each document; passes. The sample of the fit is bounded by them.
 PER_LANGUAGE, MAX_LANGUAGES, WINDOWS_EACH, EPOCHS = 400, 500, 3, 6
 #: Windows scored at a time.
 BATCH = 128
 UNKNOWN = "und"
 _WIDEST = max(WIDTHS)
-_LETTER = re.compile(r"[^\W\d_]")
+#: A window with the bytes after it that filters at its end can see.
+_ROW = WINDOW + _WIDEST - 1
+_LETTER = regex.compile(r"\p{L}")
 
 
 class Network(NamedTuple):
@@ -44,10 +47,12 @@ class Network(NamedTuple):
         return np.lib.stride_tricks.as_strided(
             flat, (len(data) - _WIDEST + 1, _WIDEST * EMBEDDED), flat.strides[:1] + flat.strides[1:], writeable=False)
 
-    def maxima(self, data: np.ndarray) -> np.ndarray:
-        """Of each whole window of ``data``, which has ``_WIDEST - 1`` bytes more."""
-        seen = np.ascontiguousarray(self._sliding(data)) @ self.kernel
-        return np.maximum(seen.reshape(-1, WINDOW, seen.shape[1]).max(axis=1) + self.bias, 0)
+    def maxima(self, rows: np.ndarray) -> np.ndarray:
+        """Of each row: a window and the ``_WIDEST - 1`` bytes after it. What a filter sees
+        from the start of one row to the next is left out."""
+        data = np.append(rows.ravel(), np.zeros(_WIDEST - 1, np.uint8))
+        seen = (np.ascontiguousarray(self._sliding(data)) @ self.kernel).reshape(len(rows), _ROW, -1)
+        return np.maximum(seen[:, :WINDOW].max(axis=1) + self.bias, 0)
 
     def chances(self, maxima: np.ndarray) -> np.ndarray:
         z = maxima @ self.dense + self.offset
@@ -62,11 +67,10 @@ class Network(NamedTuple):
         sums = np.zeros((len(texts), len(self.languages)))
         owners: list[int] = []
         weights: list[int] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
 
         def flush() -> None:
-            data = np.frombuffer(b"".join(held) + b" " * (_WIDEST - 1), np.uint8)
-            chances = self.chances(self.maxima(data)) * np.array(weights)[:, None]
+            chances = self.chances(self.maxima(np.concatenate(held))) * np.array(weights)[:, None]
             np.add.at(sums, owners, chances)
             owners.clear(), weights.clear(), held.clear()
 
@@ -74,14 +78,14 @@ class Network(NamedTuple):
         for k, text in enumerate(texts):
             if lettered[k]:
                 raw = text.lower().encode()
-                # The padding keeps filters from seeing the next text.
-                padded = raw.ljust(-(-(len(raw) + _WIDEST - 1) // WINDOW) * WINDOW)
-                for at in range(0, len(padded), WINDOW * BATCH):
-                    part = padded[at : at + WINDOW * BATCH]
-                    held.append(part)
-                    n = len(part) // WINDOW
+                total = -(-len(raw) // WINDOW)
+                padded = np.frombuffer(raw.ljust(total * WINDOW + _WIDEST - 1), np.uint8)
+                rows = np.lib.stride_tricks.as_strided(padded, (total, _ROW), (WINDOW, 1), writeable=False)
+                for at in range(0, total, BATCH):
+                    held.append(rows[at : at + BATCH])
+                    n = len(held[-1])
                     owners += [k] * n
-                    weights += [max(0, min(WINDOW, len(raw) - at - i * WINDOW)) for i in range(n)]
+                    weights += [min(WINDOW, len(raw) - i * WINDOW) for i in range(at, at + n)]
                     if len(owners) >= BATCH:
                         flush()
         if owners:
@@ -108,8 +112,7 @@ def fit(windows: list[bytes], languages: list[str], seed: int = 7, epochs: int =
     net = Network(names, *params)
     if len(names) < 1:
         return net
-    length = WINDOW + _WIDEST - 1
-    data = np.frombuffer(b"".join(w[:WINDOW].ljust(length) for w in windows), np.uint8).reshape(-1, length)
+    data = np.frombuffer(b"".join(w[:WINDOW].ljust(_ROW) for w in windows), np.uint8).reshape(-1, _ROW)
     y = np.array([names.index(x) for x in languages])
     mass = (len(y) / (np.bincount(y) * len(names)))[y].astype(np.float32)
     means, squares = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -154,25 +157,25 @@ def _windows(text: str, each: int = WINDOWS_EACH) -> list[bytes]:
 
 def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    per_language: int = PER_LANGUAGE,
+    per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES,
 ) -> Network:
     """Learn from at most ``per_language`` rows of each language, those with the lowest hash
     of id and text. Rows without language, text or letters teach nothing.
 
     The languages are counted first; a hash below a language's share thins its rows before
-    anything is shuffled. More than ``MAX_LANGUAGES`` languages are an error.
+    anything is shuffled. Of more than ``max_languages`` languages those with the most rows
+    are taught (ties: the first by name), and no other is ever predicted.
     """
     taught = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
-    counts = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count()
+    counts = counts.orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     if not counts:
         return fit([], [])
     parts, scale = 1_000_000, 8
     share = F.create_map(*[F.lit(x) for r in counts for x in (
         r["lang"], min(parts, scale * per_language * parts // r["count"] + 1))])
-    few = taught.where(F.pmod("h", F.lit(parts)) < share[F.col("lang")])
+    few = taught.where(F.pmod("h", F.lit(parts)) < share[F.col("lang")])  # null for other languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -175,6 +175,47 @@ def test_languages_of_odd_texts(spark):
     assert lang_cnn.predicted(df.limit(0), net).count() == 0
 
 
+def plain_predict(net, text):
+    """Every window by itself, every filter as a sum over its bytes."""
+    raw, window, widest = text.lower().encode(), lang_cnn.WINDOW, max(lang_cnn.WIDTHS)
+    total, mass = np.zeros(len(net.languages)), 0
+    for at in range(0, len(raw), window):
+        padded = raw.ljust(at + window + widest, b" ")
+        best = np.full(net.kernel.shape[1], -np.inf)
+        for start in range(at, at + window):
+            seen = np.concatenate([net.embedding[b] for b in padded[start : start + widest]])
+            best = np.maximum(best, seen @ net.kernel)
+        z = np.maximum(best + net.bias, 0) @ net.dense + net.offset
+        chance = np.exp(z - z.max())
+        held = min(window, len(raw) - at)
+        total, mass = total + chance / chance.sum() * held, mass + held
+    return net.languages[int(total.argmax())], total.max() / mass
+
+
+def test_predictions_equal_a_plain_convolution(spark, sf):
+    docs = table(spark, sf, "documents")
+    net = lang_cnn.train(docs)
+    texts = [r["text"][:1500] for r in docs.limit(30).collect()] + ["a", "é" * 100, "x" * 127, "x y" * 43, "The " * 400]
+    for text, (lang, score) in zip(texts, net.predict(texts)):
+        want, chance = plain_predict(net, text)
+        assert lang == want and abs(score - chance) < 1e-3, text[:40]
+
+
+def test_letters_are_letters_only(spark):
+    rows = [(k, t, "en") for k, t in enumerate(["½", "²", "Ⅷ", "一", "ª", "1 ½ ² !", "\u0301", "word"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in lang_cnn.predicted(df, lang_cnn.train(df)).collect()}
+    assert got == {0: "und", 1: "und", 2: "und", 3: "en", 4: "en", 5: "und", 6: "und", 7: "en"}
+
+
+def test_the_most_frequent_languages_are_taught(spark):
+    rows = [(k, f"some words {k}", f"l{k % 600:03d}") for k in range(700)] + [(1000 + k, "der die das", "de") for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = lang_cnn.train(df, max_languages=3)
+    assert net.languages == ["de", "l000", "l001"]
+    assert lang_cnn.predicted(df, net).where("lang_pred not in ('de', 'l000', 'l001')").count() == 0
+
+
 def test_network_gradient_learns():
     r = random.Random(1)
     make = lambda c: bytes(r.choice(c) for _ in range(40))
