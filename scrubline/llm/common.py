@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.plans.materialize import scratch_path
@@ -42,17 +42,32 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
 HOT_SHARE, HOT_ROWS, HOT_SPLITS = 1 / 256, 200, 64
 
 
+def hot_keys(counted: DataFrame, keys: list[str], count: str) -> list[tuple]:
+    """The keys with a large share of all rows, of a table that counts the rows of each."""
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    limit = max(int(total * HOT_SHARE), HOT_ROWS)
+    return [tuple(r) for r in counted.where(F.col(count) > limit).select(*keys).collect()]
+
+
+def join_split(
+    rows: DataFrame, per_key: DataFrame, keys: list[str], hot: list[tuple], spread: Column, splits: int = HOT_SPLITS,
+    how: str = "inner",
+) -> DataFrame:
+    """``rows`` joined with a table of one row per key; ``hot`` keys, few by definition, are
+    split over tasks by ``spread``, a whole number that differs among the rows of a key."""
+    if not hot:
+        return rows.join(per_key, keys, how)
+    one = F.struct(*keys) if len(keys) > 1 else F.col(keys[0])
+    listed = [F.struct(*map(F.lit, k)) if len(keys) > 1 else F.lit(k[0]) for k in hot]
+    is_hot = F.coalesce(one.isin(listed), F.lit(False))
+    salted = rows.withColumn("_salt", F.when(is_hot, F.pmod(spread, F.lit(splits)).cast("int")).otherwise(0))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(splits - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(per_key.withColumn("_salt", F.explode(copies)), [*keys, "_salt"], how).drop("_salt")
+
+
 def join_hot(rows: DataFrame, per_key: DataFrame, key: str, count: str, spread: str) -> DataFrame:
     """Inner join of ``rows`` with a table of one row per ``key``, safe against hot keys.
 
     ``count`` is the column of ``per_key`` with the rows a key has; it stays in the result.
-    Hot keys, few by definition, are split over tasks by a hash of ``spread``."""
-    total = per_key.agg(F.sum(count)).first()[0] or 0
-    limit = max(int(total * HOT_SHARE), HOT_ROWS)
-    hot = [r[0] for r in per_key.where(F.col(count) > limit).select(key).collect()]
-    if not hot:
-        return rows.join(per_key, key)
-    split = F.pmod(F.xxhash64(spread), F.lit(HOT_SPLITS)).cast("int")
-    salted = rows.withColumn("_salt", F.when(F.col(key).isin(hot), split).otherwise(0))
-    copies = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(HOT_SPLITS - 1))).otherwise(F.array(F.lit(0)))
-    return salted.join(per_key.withColumn("_salt", F.explode(copies)), [key, "_salt"]).drop("_salt")
+    Hot keys are split over tasks by a hash of ``spread``."""
+    return join_split(rows, per_key, [key], hot_keys(per_key, [key], count), F.xxhash64(spread))

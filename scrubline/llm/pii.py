@@ -4,8 +4,9 @@ Seeds are the spans of the base patterns and long hexadecimal secrets. Identifie
 mentions of the whole corpus are linked to the lexical patterns around them (the words on
 the left, the words on the right, both). Iteratively, a pattern is as good as the share
 of its mentions that are believed identifiers, and a mention's value is believed if good
-patterns hold it. Patterns that end above a threshold yield their mentions as spans, also
-where no base pattern fits. All of it is joins, groupings and built-in functions.
+patterns hold it, until the good patterns no longer change. Secrets and all values believed
+at the end are spans wherever they stand. All of it is joins, groupings and built-in
+functions.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import stored
+from scrubline.llm.common import hot_keys, join_hot, join_split, stored
 
-#: Rounds of scoring; patterns need this confidence, and this many different believed values.
-ROUNDS, CONFIDENCE, SUPPORT = 3, 0.8, 3
+#: Patterns need this confidence, and this many different believed values.
+CONFIDENCE, SUPPORT = 0.8, 3
 #: Added to the mentions of a pattern that are not believed, so that rare patterns stay low.
 DOUBT = 0.5
 SALTS = 16
@@ -39,9 +40,9 @@ MENTION = (
     rf"(?:[{_MARKS}]*+[^{_RUN}{_MARKS}]++)++"
 )
 SECRET = r"^[0-9a-fA-F]{32,}$"
-#: Characters of context on each side, and how the words in it are read.
-CONTEXT = 48
-_WORD = r"[^\s\"']{1,24}"
+#: Words of the context, taken whole; a pattern longer than this is named by its digest.
+_WORD, LONG = r"[^\s\"']++", 200
+_FIRST = r"(?<![^\s\"'])"
 REDACTED = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "id": "[ID]"}
 
 
@@ -115,9 +116,9 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # ``known``: the mention overlaps a base span, or looks like a secret.
     mentions = F.when(F.col("t").rlike("[0-9@]"), F.transform(found(F.col("t"), MENTION), lambda m: F.struct(
         m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"), F.lower(m["value"]).alias("value"),
-        F.regexp_extract(F.right(m["before"], F.lit(CONTEXT)), rf"({_WORD})?([\s\"']*)$", 0).alias("l1"),
-        F.regexp_extract(F.right(m["before"], F.lit(CONTEXT)), rf"({_WORD}\s+)({_WORD}[\s\"']*)$", 0).alias("l2"),
-        F.regexp_extract(F.left(m["after"], F.lit(CONTEXT)), rf"^([\"']?[.:!?#*$%&|,;]*\s*)({_WORD})?", 0).alias("r1"),
+        F.regexp_extract(m["before"], rf"(?:{_FIRST}{_WORD})?(?<!\s|[\"'])[\s\"']*+\z", 0).alias("l1"),
+        F.regexp_extract(m["before"], rf"{_FIRST}{_WORD}\s++{_WORD}[\s\"']*+\z", 0).alias("l2"),
+        F.regexp_extract(m["after"], rf"\A[\"']?[.:!?#*$%&|,;]*+\s*+(?:{_WORD})?", 0).alias("r1"),
         (F.exists("base", lambda s: inside(s, m))).alias("base"), m["value"].rlike(SECRET).alias("secret"),
     ))).otherwise(F.array())
     return rows.withColumn("base", base_spans(F.col("t"))).select("id", F.xxhash64("t").alias("h"), "base", mentions.alias("mentions"))
@@ -127,38 +128,45 @@ def _patterns(m: str = "m") -> Column:
     """The patterns a mention stands in. One with an empty side says nothing and is left out."""
     side = lambda c: F.regexp_replace(F.lower(F.col(f"{m}.{c}")), r"\s+", " ")
     left, more, right = side("l1"), side("l2"), side("r1")
+    named = lambda p: F.when(F.length(p) > LONG, F.sha2(p.cast("binary"), 256)).otherwise(p)
     return F.array_compact(F.array(
-        F.when(F.trim(more) != "", F.concat(more, F.lit("_"))),
-        F.when((F.trim(left) != "") & (F.trim(right) != ""), F.concat(left, F.lit("_"), right)),
+        F.when(F.trim(more) != "", named(F.concat(more, F.lit("_")))),
+        F.when((F.trim(left) != "") & (F.trim(right) != ""), named(F.concat(left, F.lit("_"), right))),
     ))
 
 
-def _scored(edges: DataFrame, believed: DataFrame) -> DataFrame:
+def _scored(edges: DataFrame, believed: DataFrame, hot: list[tuple]) -> DataFrame:
     """Confidence of every pattern, given the belief in values. Partial sums come first, so
-    a pattern in very many texts is small before the shuffle."""
-    held = edges.join(believed, "value", "left").withColumn("b", F.coalesce("belief", F.lit(0.0)))
+    a pattern in very many texts is small before the shuffle; a value in very many patterns
+    is split."""
+    held = join_split(edges, believed, ["value"], hot, F.xxhash64("pattern"), how="left").withColumn("b", F.coalesce("belief", F.lit(0.0)))
     return held.groupBy("pattern").agg(
         (F.sum("b") / (F.count(F.lit(1)) + DOUBT)).alias("confidence"), F.sum((F.col("b") >= 0.5).cast("int")).alias("support")
     ).where(F.col("support") >= SUPPORT)
 
 
-def confident_patterns(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE) -> DataFrame:
-    """``(pattern, confidence)`` of the patterns above the threshold after ``rounds`` rounds.
+def believed_values(edges: DataFrame, seeds: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
+    """``(value, belief)`` when the patterns above the threshold no longer change.
 
     ``edges (pattern, value)`` are distinct pairs, ``seeds (value)`` believed fully and for
     good. Another value is believed by the chance that not all of its patterns that are
-    above the threshold err. Belief spreads over one pattern and its values each round.
+    above the threshold err. Belief spreads over one pattern and its values each round;
+    it only grows, so the good patterns do too, and there is a last round.
     """
+    hot = hot_keys(edges.groupBy("value").agg(F.count(F.lit(1)).alias("n")), ["value"], "n")
     sure = seeds.select("value", F.lit(1.0).alias("belief"))
-    believed, good = sure, None
-    for _ in range(rounds):
-        good = stored(_scored(edges, believed).where(F.col("confidence") >= confidence), "patterns")
+    believed, before = sure, None
+    while True:
+        good = stored(_scored(edges, believed, hot).where(F.col("confidence") >= confidence), "patterns")
+        state = good.agg(F.count(F.lit(1)), F.sum(F.xxhash64("pattern").cast("decimal(38,0)"))).first()
         spread = good.select("pattern", "confidence", F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("salt"))
         salted = edges.withColumn("salt", F.expr(f"cast(pmod(xxhash64(value), {SALTS}) as int)"))
         learned = salted.join(spread, ["pattern", "salt"]).groupBy("value").agg(
             (1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("belief"))
         believed = sure.unionByName(learned).groupBy("value").agg(F.max("belief").alias("belief"))
-    return good.select("pattern", "confidence")
+        if state == before:
+            return believed
+        before = state
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,22 +174,26 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     kinds, ``spans`` those and the ones of kind ``id`` that the method adds, each a
     ``struct<start, rank, end, kind>`` in order of start, then kind.
 
-    Null and empty texts have none. A mention that overlaps a base span adds nothing.
-    Repeated rows get equal results; null ids are kept; an empty table gives an empty
-    result; further columns are not read. ``h`` is ``xxhash64`` of the text (null: empty).
+    Added are the mentions, wherever they stand, that look like a secret or whose value
+    (lower-cased) is believed at the end. Null and empty texts have none. A mention that
+    overlaps a base span adds nothing. Repeated rows get equal results; null ids are kept;
+    an empty table gives an empty result; further columns are not read. ``h`` is
+    ``xxhash64`` of the text (null: empty).
     """
     rows = stored(_scanned(docs, id_col, text_col), "scanned")
-    mentions = rows.select("id", "h", F.explode("mentions").alias("m")).select(
+    mentions = stored(rows.select("id", "h", F.explode("mentions").alias("m")).select(
         "id", "h", "m.start", "m.end", "m.value", (F.col("m.base") | F.col("m.secret")).alias("seed"),
-        F.col("m.base").alias("inside"), F.explode(_patterns()).alias("pattern"))
-    mentions = stored(mentions, "mentions")
-    edges = stored(mentions.select("pattern", "value").distinct(), "graph")
-    good = confident_patterns(edges, mentions.where("seed").select("value").distinct())
-
-    fresh = mentions.where("not inside").withColumn("salt", F.expr(f"cast(pmod(xxhash64(id, h), {SALTS}) as int)"))
-    spread = good.select("pattern", F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("salt"))
-    added = fresh.join(spread, ["pattern", "salt"]).groupBy("id", "h").agg(F.collect_set(F.struct(
-        "start", F.lit(4).alias("rank"), "end", F.lit("id").alias("kind"))).alias("added"))
+        F.col("m.base").alias("inside"), "m.secret", _patterns().alias("patterns")), "mentions")
+    edges = stored(mentions.select(F.explode("patterns").alias("pattern"), "value").distinct(), "graph")
+    believed = believed_values(edges, mentions.where("seed").select("value").distinct())
+
+    span = F.struct("start", F.lit(4).alias("rank"), "end", F.lit("id").alias("kind")).alias("span")
+    fresh = mentions.where("not inside and not secret").select("id", "h", "value", span)
+    counts = stored(fresh.groupBy("value").agg(F.count(F.lit(1)).alias("n")), "values")
+    known = stored(believed.where(F.col("belief") >= CONFIDENCE).join(counts, "value"), "believed")
+    told = join_hot(fresh, known, "value", "n", "h").select("id", "h", "span")
+    secrets = mentions.where("secret and not inside").select("id", "h", span)
+    added = told.union(secrets).groupBy("id", "h").agg(F.collect_set("span").alias("added"))
     keyed = added.select(F.col("id").alias("a_id"), F.col("h").alias("a_h"), "added")
     return rows.select("id", "h", "base").join(keyed, F.col("id").eqNullSafe(F.col("a_id")) & (F.col("h") == F.col("a_h")), "left").select(
         F.col("id").alias(id_col), "h", "base",

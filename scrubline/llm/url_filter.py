@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import HOT_ROWS, HOT_SHARE, stored
+from scrubline.llm.common import hot_keys, join_split, stored
 
 #: Blocks of four 64-bit words; the filter sent to the tasks has at most this many (4 MB).
 MAX_BLOCKS, WORDS, BITS_PER_WORD, RULES_PER_BLOCK = 1 << 17, 4, 2, 16
@@ -97,13 +97,8 @@ def judged(
     rank = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"))
     best = found.groupBy("host", "path").agg(
         F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), "verdict"), rank).alias("won"))
-    # Pairs with a large share of the rows, few by definition.
-    total = pairs.agg(F.sum("copies")).first()[0] or 0
-    hot = pairs.where(F.col("copies") > max(int(total * HOT_SHARE), HOT_ROWS)).select("host", "path").collect()
-    is_hot = F.struct("host", "path").isin([F.struct(F.lit(r["host"]), F.lit(r["path"])) for r in hot]) if hot else F.lit(False)
-    salted = parted.drop("rule", "verdict").withColumn("_salt", F.when(is_hot, F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return salted.join(best.withColumn("_salt", F.explode(copies)), ["host", "path", "_salt"], "left").select(
+    hot = hot_keys(pairs, ["host", "path"], "copies")
+    return join_split(parted.drop("rule", "verdict"), best, ["host", "path"], hot, F.spark_partition_id(), SALTS, "left").select(
         *[c for c in parted.columns if c not in ("rule", "verdict", "host", "path")], "host", "path",
         F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,86 @@ def test_contexts_find_unseen_identifiers_and_leave_clean_text(spark):
     assert all(not v for k, v in added.items() if k != 100)
 
 
+MENTION = re.compile(
+    r"(?<![^\s\"'<>()\[\]{},;=])(?=[^\s\"'<>()\[\]{},;=@0-9]*[@0-9])[^\s\"'<>()\[\]{},;=]{5,}[^\s\"'<>()\[\]{},;=.:!?#*$%&|]", re.A)
+
+
+def plain_mentions(text):
+    """(start, end, value, patterns) of every mention."""
+    ms, out = list(MENTION.finditer(text)), []
+    for k, m in enumerate(ms):
+        before = text[ms[k - 1].end() if k else 0 : m.start()]
+        after = text[m.end() : ms[k + 1].start() if k + 1 < len(ms) else len(text)]
+        fold = lambda s: re.sub(r"\s+", " ", s.lower(), flags=re.A)
+        one = fold(re.search(r"(?:[^\s\"']+)?[\s\"']*\Z", before, re.A)[0])
+        two = re.search(r"[^\s\"']+\s+[^\s\"']+[\s\"']*\Z", before, re.A)
+        right = fold(re.match(r"[\"']?[.:!?#*$%&|,;]*\s*(?:[^\s\"']+)?", after, re.A)[0])
+        patterns = {fold(two[0]) + "_"} if two else set()
+        if one.strip() and right.strip():
+            patterns.add(one + "_" + right)
+        name = lambda p: hashlib.sha256(p.encode()).hexdigest() if len(p) > 200 else p
+        out.append((m.start(), m.end(), m[0].lower(), {name(p) for p in patterns}))
+    return out
+
+
+def bootstrapped(docs):
+    """The spans added to each text, by rounds over plain dictionaries until nothing changes."""
+    seen = [(i, brute(t), plain_mentions(t or "")) for i, t in docs]
+    inside = lambda base, m: any(s < m[1] and m[0] < e for s, _, e, _ in base)
+    secret = lambda v: re.fullmatch("[0-9a-f]{32,}", v) is not None
+    holds, sure = {}, set()
+    for _, base, ms in seen:
+        for m in ms:
+            for p in m[3]:
+                holds.setdefault(p, set()).add(m[2])
+            if inside(base, m) or secret(m[2]):
+                sure.add(m[2])
+    belief, good = {v: 1.0 for v in sure}, None
+    while True:
+        now = {}
+        for p, values in holds.items():
+            b = [belief.get(v, 0) for v in values]
+            if sum(x >= 0.5 for x in b) >= 3 and sum(b) / (len(b) + 0.5) >= 0.8:
+                now[p] = sum(b) / (len(b) + 0.5)
+        belief = {v: 1.0 for v in sure}
+        for v in set().union(*(holds[p] for p in now)):
+            err = np.prod([1 - min(now[p], 0.999) for p in now if v in holds[p]])
+            belief[v] = max(belief.get(v, 0), 1 - err)
+        if good == set(now):
+            break
+        good = set(now)
+    return [(i, sorted((m[0], m[1]) for m in ms if not inside(base, m) and (secret(m[2]) or belief.get(m[2], 0) >= 0.8))) for i, base, ms in seen]
+
+
+def test_bootstrapping_equals_brute_force(spark):
+    r = random.Random(11)
+    # A chain: a context is believed only once the new values of the one before it are.
+    stand = lambda c, value: f"text step{c} holder key{c}: {value} then"
+    first = [f"first{k}zz" for k in range(24)]
+    docs = [stand(0, f"u{k}@mail.org") for k in range(120)] + [stand(0, v) for v in first]
+    new = [[f"val{c}x{k}zz" for k in range(5)] for c in range(7)]
+    for c in range(1, 7):
+        docs += [stand(c, v) for v in [*first, *(new[c - 1] if c > 1 else []), *new[c]]]
+    docs += [f"alone {v}" for values in new[1:] for v in values]
+    docs += [hashlib.sha1(str(k).encode()).hexdigest() for k in range(3)] + ["line\n" + "ab12" * 10 + "\nline", "ab12" * 10 + " starts"]
+    docs += ["w" * 300 + f" holder: first{k}zz after" for k in range(8)] + ["W" * 300 + " holder: new1234 after", "w" * 299 + " holder: new5678 after"]
+    docs += [" ".join(r.choices(["mail:", "the", "id1234", "x@y.org", "holder", '"tok99en"', "then", "1.2.3.4"], k=12)) for _ in range(60)]
+    rows = [(k, t) for k, t in enumerate(docs)] + [(None, docs[3]), (1, docs[1]), (900, None)]
+    got = pii.spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    added = sorted([(x["doc_id"], [(s["start"], s["end"]) for s in x["spans"] if s["kind"] == "id"]) for x in got], key=repr)
+    want = bootstrapped(rows)
+    assert added == sorted(want, key=repr)
+    # The chain is followed to its end, and what it teaches is found without a context.
+    assert all(v for i, v in want if i is not None and docs[i : i + 1] and docs[i].startswith("alone"))
+
+
+def test_a_secret_by_itself_is_redacted(spark):
+    key = hashlib.sha1(b"x").hexdigest()
+    docs = spark.createDataFrame([(1, key), (2, f"line\n{key}\nline"), (3, f"{key} at the start"), (4, "none")], "doc_id long, text string")
+    got = {x["doc_id"]: x["text"] for x in pii.redacted(docs).collect()}
+    assert got == {1: "[ID]", 2: "line\n[ID]\nline", 3: "[ID] at the start", 4: "none"}
+
+
 def test_secrets_share_a_context(spark):
     rows = [(k, f'words token = "{hashlib.sha1(str(k).encode()).hexdigest()}" more') for k in range(8)]
     rows.append((50, 'text token = "sk-live-77Qx" end'))
