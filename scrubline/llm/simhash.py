@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import batch_of, map_batches, stored, utf8
+from scrubline.llm.common import batch_of, join_hot, map_batches, stored, utf8
 from scrubline.llm.components import connected_components
 
 #: Buckets of at most this many fingerprints are compared pair by pair, larger ones by midpoints.
@@ -51,18 +51,26 @@ def fingerprint(text: bytes | None, shingle: int, seed: int = 42) -> int:
     return int.from_bytes(np.packbits((2 * ones > n).astype(np.uint8)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
-    """``(id_col, fp)``; ``fp`` holds the 64 bits as a signed long."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def _marked(rows: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """``(id, h, fp)`` for rows ``(id, h, text)``; ``fp`` holds the 64 bits as a signed long."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            out = pa.schema([("id", ids.type), ("fp", pa.int64())])
-            bits = np.array([fingerprint(t, shingle, seed) for t in utf8(batch.column(1))], np.uint64)
-            yield batch_of(out, ids, pa.array(bits.view(np.int64)))
+            out = pa.schema([("id", batch.schema.field(0).type), ("h", pa.int64()), ("fp", pa.int64())])
+            bits = np.array([fingerprint(t, shingle, seed) for t in utf8(batch.column(2))], np.uint64)
+            yield batch_of(out, batch.column(0), batch.column(1), pa.array(bits.view(np.int64)))
+
+    return map_batches(rows, run, f"id {kind}, h long, fp long")
+
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+
 
-    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
+    """``(id_col, fp)``; ``fp`` holds the 64 bits as a signed long."""
+    return _marked(_hashed(docs, id_col, text_col), shingle, seed).select(F.col("id").alias(id_col), "fp")
 
 
 def _signed(x: int) -> int:
@@ -122,6 +130,16 @@ def links(fps: DataFrame, radius: int, paired: int = PAIRED) -> DataFrame:
     return reduce(DataFrame.union, edges).distinct()
 
 
+def _classes(rows: DataFrame, radius: int, paired: int) -> DataFrame:
+    """``(fp, copies, root, component_id)``, a written table of the different fingerprints
+    of ``rows (id, fp)``; ``root`` names the component."""
+    nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")), "nodes")
+    roots = stored(connected_components(links(nodes, radius, paired)), "roots")
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
+    named = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps")), "named")
+    return stored(join_hot(rooted, named, "root", "fps", "fp").select("fp", "copies", "root", "component_id"), "classes")
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text",
     seed: int = 42, paired: int = PAIRED,
@@ -133,22 +151,25 @@ def near_duplicates(
     A null or empty text has fingerprint zero and is linked like any other. Repeated rows
     share a component. A null id never is the smallest one; a component without other ids
     has a null ``component_id``. An empty table gives an empty result. Further columns of
-    ``docs`` are not read.
+    ``docs`` are not read. A fingerprint or component that holds a large share of the rows
+    is split over tasks.
     """
-    rows = stored(fingerprints(docs, shingle, id_col, text_col, seed), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    roots = stored(connected_components(links(nodes, radius, paired)), "roots")
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.join(named, "root").select("fp", "component_id")
-    return rows.join(found, "fp").select(id_col, "fp", "component_id")
+    rows = stored(_marked(_hashed(docs, id_col, text_col), shingle, seed), "fingerprints")
+    found = join_hot(rows, _classes(rows, radius, paired), "fp", "copies", "id")
+    return found.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row for each component: that with its smallest id (one of them, if
-    the row is repeated). Rows with a null id cannot be named and all stay."""
-    found = near_duplicates(docs, shingle, radius, id_col, text_col)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """``docs`` with one row for each component: that with its smallest id and, where rows
+    of several texts share that id, the lowest hash of its text. A null id comes after all
+    others. A row that is repeated in id and text is kept once."""
+    rows = stored(_marked(_hashed(docs, id_col, text_col), shingle, 42), "fingerprints")
+    found = join_hot(rows, _classes(rows, radius, PAIRED), "fp", "copies", "id")
+    each = found.groupBy("root", "id", "h").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "n")).alias("x")
+    chosen = stored(each.groupBy("root").agg(first).select(F.col("x.id").alias("_k_id"), F.col("x.h").alias("_k_h"), F.col("x.n").alias("_k_n")), "chosen")
+    kept = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("_k_id")) & (F.xxhash64(text_col) == F.col("_k_h")))
+    single = kept.where("_k_n = 1").select(docs.columns)
+    if not chosen.where("_k_n > 1").head(1):
+        return single
+    return single.unionByName(kept.where("_k_n > 1").dropDuplicates(["_k_id", "_k_h"]).select(docs.columns))
