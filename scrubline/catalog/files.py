@@ -118,3 +118,77 @@ def split_errors(spark, sf):
     return good.select(F.lit("good").alias("side"), "id", F.lit(None).cast("string").alias("error")).union(
         bad.select(F.lit("bad").alias("side"), "id", "error")
     )
+
+
+def _files_by(df, column: str, path: str, **options) -> str:
+    """One text file for each value of ``column``, in folders named after it."""
+    df.repartition(column).sortWithinPartitions(column, "doc_id").select(column, F.col("t").alias("value")).write.options(
+        **options).partitionBy(column).text(path)
+    return f"{path}/{column}=*"
+
+
+def _folder(column: str):
+    return F.regexp_extract("path", rf"/{column}=([^/]*)/", 1).alias(column)
+
+
+@query(
+    "text_files",
+    """select lang, md5(string_agg(text || ' é', chr(10) order by doc_id) || chr(10)) as digest, 'text' as file_type
+      from documents group by lang""",
+)
+def text_files(spark, sf):
+    """Whole files, one in Latin-1 beside others in UTF-8."""
+    df = table(spark, sf, "documents").select("doc_id", "lang", F.concat("text", F.lit(" é")).alias("t"))
+    path = _files_by(df, "lang", scratch_path(spark, "texts"))
+    found = files.read_text_files(spark, path)
+    return found.select(_folder("lang"), F.md5(F.col("text").cast("binary")).alias("digest"), "file_type")
+
+
+@query(
+    "text_lines",
+    """select lang, line, count(*) as n from (
+        select lang, unnest(string_split(text || case when lang < 'es' then ' é' else ' €' end, chr(10))) as line from documents)
+      group by lang, line""",
+)
+def text_lines(spark, sf):
+    """Lines of large files in two charsets."""
+    df = table(spark, sf, "documents").select(
+        "doc_id", "lang", F.concat("text", F.when(F.col("lang") < "es", " é").otherwise(" €")).alias("t"))
+    latin = F.col("t").rlike(r"^[\x00-\xff]*$")
+    paths = [
+        _files_by(df.where(latin), "lang", scratch_path(spark, "latin"), encoding="ISO-8859-1"),
+        _files_by(df.where(~latin), "lang", scratch_path(spark, "utf8")),
+    ]
+    lines = files.read_text_lines(spark, paths)
+    return lines.groupBy(_folder("lang"), "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "bad_lines",
+    """select doc_id, substr(text, 1, 200) as repaired from (select doc_id, replace(text, chr(10), ' ') as text from documents) where doc_id % 3 = 0""",
+)
+def bad_lines(spark, sf):
+    """Lines with bytes that are not UTF-8 are set aside and repaired."""
+    text = F.substring(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), 1, 200)
+    mark = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+    line = F.concat(F.col("doc_id").cast("string").cast("binary"), F.unhex(F.lit("09")), mark, text.cast("binary")).cast("string")
+    path = scratch_path(spark, "bad")
+    table(spark, sf, "documents").select(line.alias("value")).write.text(path)
+    bad = files.read_bad_lines(spark, path)
+    parts = F.split("repaired", "\t", 2)
+    return bad.select(F.get(parts, F.lit(0)).cast("long").alias("doc_id"), F.get(parts, F.lit(1)).alias("repaired"))
+
+
+@query(
+    "json_files",
+    """select n_nationkey::varchar as n_nationkey, 'nation ' || n_name || chr(10) || n_name as text, 'json' as file_type from nation""",
+)
+def json_files(spark, sf):
+    """A JSON file gives its string leaves in order."""
+    path = scratch_path(spark, "json")
+    df = table(spark, sf, "nation").select(
+        "n_nationkey", F.concat(F.lit("nation "), "n_name").alias("title"), F.struct(F.array("n_name").alias("names"), F.lit("").alias("none")).alias("more"),
+        "n_regionkey")
+    df.repartition("n_nationkey").write.partitionBy("n_nationkey").json(path)
+    found = files.read_text_files(spark, f"{path}/n_nationkey=*")
+    return found.select(_folder("n_nationkey"), "text", "file_type")

@@ -7,7 +7,9 @@ from scrubline.functions import text as X
 from scrubline.operators import text_tables as TT
 from scrubline.options import TextOptions
 from scrubline.plans import clean_text as plan
+from scrubline.plans.materialize import scratch_path
 from scrubline.plans.parallel import spread
+from scrubline.streaming.incremental import clean_text_stream, text_stream
 
 # whitespace class and cased letters, spelled for RE2
 W = r"\t\n\v\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -188,6 +190,20 @@ def clean_text_all_steps(spark, sf):
     return plan.clean_text(docs(spark, sf, MESSY), "t", ALL_ON).select("doc_id", "cleaned_text")
 
 
+@query(
+    "clean_text_stream",
+    f"select doc_id, {sql_clean_all('t')} as cleaned_text from (select doc_id, {MESSY} as t from documents)",
+)
+def clean_arriving_text(spark, sf):
+    """The same steps on files as they arrive: two batches, each cleaned once."""
+    source, target, state = (scratch_path(spark, n) for n in ("arriving", "cleaned", "offsets"))
+    texts = docs(spark, sf, MESSY).withColumnRenamed("t", "text")
+    for part in (0, 1):
+        texts.where(F.col("doc_id") % 2 == part).write.mode("append").parquet(source)
+        clean_text_stream(text_stream(spark, source), target, state, ALL_ON).awaitTermination()
+    return spark.read.parquet(target).select("doc_id", "cleaned_text")
+
+
 def _report_sql() -> str:
     steps = [
         sub(sql_unescape("@"), "<[^>]+>"), sub("@", BASIC), "@", sql_spec_spaces("@"), sql_escapes("@"),
@@ -307,6 +323,17 @@ def line_script_texts(spark, sf):
     return sides[0].union(sides[1])
 
 
+@query(
+    "drop_invalid_bytes",
+    "select doc_id, text || ' é' as text from documents",
+)
+def drop_invalid_bytes(spark, sf):
+    """Bytes that are no UTF-8, here at both ends of every second text, are dropped."""
+    text = F.concat("text", F.lit(" é")).cast("binary")
+    raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("FF")), text, F.unhex(F.lit("C3")))).otherwise(text)
+    return table(spark, sf, "documents").select("doc_id", X.decode_dropping_invalid(raw).alias("text"))
+
+
 @query(
     "concat_documents",
     """select conv_id, string_agg(text, chr(10) || chr(10) order by turn) as text

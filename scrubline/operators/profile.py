@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from math import ceil, floor, log10
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -221,23 +223,42 @@ def histogram(df: DataFrame, column: str, max_bins: int = V.HISTOGRAM_BINS) -> D
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson matrix in long form ``(var1, var2, correlation)``, over complete pairs.
 
-    Upper triangle in one aggregate, then mirrored. Null where a side is constant.
+    Null where a side is constant. Every batch of rows is one matrix product with itself and
+    with the mask of its values, so the plan has one column whatever the number of columns,
+    and a task sends six sums for each pair.
     """
     columns = list(columns) if columns is not None else numeric_columns(df)
     if len(columns) < 2:
         raise ValueError("correlation needs at least two number columns")
-    value = {c: F.nanvl(F.col(_q(c)).cast("double"), F.lit(None)) for c in columns}
-    aggs, cells = [], []
-    for i, a in enumerate(columns):
-        aggs.append((F.stddev_pop(value[a]) > 0).alias(f"v{i}"))
-        cells.append((a, {"var2": F.lit(a), "correlation": F.when(F.col(f"v{i}"), F.lit(1.0))}))
-        for j in range(i + 1, len(columns)):
-            b = columns[j]
-            both = value[a].isNotNull() & value[b].isNotNull()
-            spread = F.stddev_pop(F.when(both, value[a])) * F.stddev_pop(F.when(both, value[b]))
-            # the built-in corr raises on a constant side in ANSI mode
-            aggs.append(F.try_divide(F.covar_pop(value[a], value[b]), spread).alias(f"r{i}_{j}"))
-            for x, y in ((a, b), (b, a)):
-                cells.append((x, {"var2": F.lit(y), "correlation": F.col(f"r{i}_{j}")}))
-    long = df.agg(*aggs).select(_rows(cells).alias("r")).select("r.*")
-    return long.withColumnRenamed("column", "var1")
+    values = [F.nanvl(F.col(_q(c)).cast("double"), F.lit(None)) for c in columns]
+    # Sums of what lies above a column's least value stay small beside their differences.
+    least = df.agg(F.array(*[F.min(v) for v in values]).alias("m")).first()["m"]
+    shifts = [x if x is not None and abs(x) < float("inf") else 0.0 for x in least]
+    rows = df.select(F.array(*[v - F.lit(s) for v, s in zip(values, shifts)]).alias("x"))
+    d = len(columns)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, d, d))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            held = ~np.isnan(x)
+            x, m = np.where(held, x, 0.0), held.astype(np.float64)
+            squares = x * x
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, squares.T @ m, m.T @ squares, x.T @ x])
+        i, j = np.triu_indices(d)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(t[i, j]) for t in total]],
+            names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    parts = rows.mapInArrow(sums, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    whole = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    # A spread this small beside its sums is rounding.
+    spread = lambda s, ss: F.when(F.expr(f"n * {ss} - {s} * {s} > 1e-13 * n * {ss}"), F.expr(f"sqrt(n * {ss} - {s} * {s})"))
+    r = F.when(F.col("i") == F.col("j"), F.when(spread("sx", "sxx").isNotNull(), F.lit(1.0))).otherwise(
+        F.expr("n * sxy - sx * sy") / (spread("sx", "sxx") * spread("sy", "syy")))
+    r = F.nanvl(r, F.lit(None))
+    r = F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    names = F.array(*map(F.lit, columns))
+    cells = F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b")))
+    long = whole.select(F.explode(F.array_distinct(cells)).alias("c"), r.alias("correlation"))
+    return long.select(F.get(names, F.col("c.a")).alias("var1"), F.get(names, F.col("c.b")).alias("var2"), "correlation")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scrubline.operators import dates, outliers, table
 from scrubline.operators.table import string_columns
 from scrubline.options import TableOptions
-from scrubline.plans.materialize import materialize
+from scrubline.plans.materialize import stored
 
 
 def clean_table(
@@ -61,7 +61,7 @@ def clean_table(
     if options.remove_duplicates:
         df = table.drop_duplicates(df, row_key)
         if options.remove_outliers or with_counts:
-            df = materialize(df)  # shuffled once, read by every later statistic
+            df = stored(df, "table")  # shuffled once; every later statistic reads its own columns
         if with_counts:
             left = df.count()
             text = f"✓ Removed {rows - left} duplicate row(s)" if rows > left else "✓ No duplicate rows found"

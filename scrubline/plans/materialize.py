@@ -32,3 +32,11 @@ def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared folder; survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: computed once, survives
+    the loss of executors, and later scans read only the columns they use."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -42,6 +42,48 @@ def read_text_files(spark: SparkSession, path) -> DataFrame:
     )
 
 
+def _raw_lines(spark: SparkSession, path) -> DataFrame:
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select(
+        F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"),
+        F.col("value").cast("binary").alias("raw"), F.is_valid_utf8("value").alias("utf8"))
+
+
+def charsets(spark: SparkSession, path) -> DataFrame:
+    """``(path, lines, bad_lines)`` per text file, read by ranges of bytes. A file with lines
+    that are not UTF-8 is taken for Latin-1."""
+    return _raw_lines(spark, path).groupBy("path").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(~F.col("utf8")).alias("bad_lines"))
+
+
+def read_text_lines(spark: SparkSession, path, keep: str = "latin1") -> DataFrame:
+    """``(path, at, line)`` for every line of text files of any size.
+
+    A file is read by many tasks; ``at`` grows with the lines of a file and differs for all
+    rows. Lines end at line feeds, a carriage return before one goes too. With ``keep``
+    ``latin1`` a file that is not UTF-8 throughout is decoded as Latin-1; with ``utf8`` files
+    are UTF-8 and lines with other bytes are left to ``read_bad_lines``.
+    """
+    if keep not in ("latin1", "utf8"):
+        raise ValueError("keep must be 'latin1' or 'utf8'")
+    rows = _raw_lines(spark, path)
+    plain = F.col("raw").cast("string")
+    if keep == "utf8":
+        text, rows = plain, rows.where("utf8")
+    else:
+        # Names of files only, which the driver lists for any scan.
+        other = [r["path"] for r in charsets(spark, path).where("bad_lines > 0").select("path").collect()]
+        text = F.when(F.col("path").isin(other), F.decode("raw", "ISO-8859-1")).otherwise(plain) if other else plain
+    return rows.select("path", "at", F.regexp_replace(text, "\r\\z", "").alias("line"))
+
+
+def read_bad_lines(spark: SparkSession, path) -> DataFrame:
+    """``(path, at, raw, repaired)`` of the lines that are not UTF-8: their bytes, and their
+    text without those that do not fit."""
+    bad = _raw_lines(spark, path).where("not utf8")
+    return bad.select("path", "at", "raw", decode_dropping_invalid(F.col("raw")).alias("repaired"))
+
+
 def text_frame(spark: SparkSession, *texts: str) -> DataFrame:
     """Pasted texts as ``(doc_id, text)``."""
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

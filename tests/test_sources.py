@@ -247,3 +247,31 @@ def test_old_line_ends(spark, fresh_path):
     folder = write(fresh_path(), a__csv=b'a,b\r1,"x\ry"\r2,z\r')
     df = csv.read_csv(spark, folder, multi_line=True, keep_row_id=True).orderBy("_row_id")
     assert [(r["a"], r["b"]) for r in df.collect()] == [(1, "x\ry"), (2, "z")]
+
+
+def test_lines_of_large_files_are_read_by_many_tasks(spark, fresh_path):
+    lines = [f"line {k} é" for k in range(3000)]
+    folder = write(fresh_path(), u__txt="\r\n".join(lines).encode(), l__txt=("\n".join(lines) + "\n").encode("latin-1"), e__txt=b"")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 5000)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        df = files.read_text_lines(spark, folder)
+        assert df.rdd.getNumPartitions() > 8
+        got = df.orderBy("at").collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    for name in ("u.txt", "l.txt"):
+        assert [r["line"] for r in got if r["path"].endswith(name)] == lines
+    seen = {os.path.basename(r["path"]): (r["lines"], r["bad_lines"]) for r in files.charsets(spark, folder).collect()}
+    assert seen == {"u.txt": (3000, 0), "l.txt": (3000, 3000)}
+
+
+def test_lines_with_bad_bytes_are_set_aside(spark, fresh_path):
+    folder = write(fresh_path(), a__txt=b"one\n\xfftwo\xc3\nthr\xc3\xa9e\n")
+    assert [r["line"] for r in files.read_text_lines(spark, folder, keep="utf8").orderBy("at").collect()] == ["one", "thrée"]
+    bad = files.read_bad_lines(spark, folder).collect()
+    assert [(bytes(r["raw"]), r["repaired"]) for r in bad] == [(b"\xfftwo\xc3", "two")]
+    with pytest.raises(ValueError):
+        files.read_text_lines(spark, folder, keep="other")

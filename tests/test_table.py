@@ -210,3 +210,29 @@ def test_histogram_counts_every_value(spark):
     df = spark.createDataFrame([(float(i),) for i in range(101)] + [(None,)], "v double")
     bins = profile.histogram(df, "v").collect()
     assert sum(b["n"] for b in bins) == 101 and len(bins) == 20
+
+
+def test_correlation_of_many_columns_is_one_small_plan(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (500, 100)) @ rng.normal(0, 1, (100, 100)) + rng.normal(0, 1e6, 100)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7] = 3.5
+    x[:250, 8], x[250:, 9] = np.nan, np.nan
+    p = pd.DataFrame(x, columns=[f"c{k}" for k in range(100)])
+    df = spark.createDataFrame(p).repartition(4)
+    got = profile.correlation(df)
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    want = p.corr()
+    for r in got.collect():
+        w = want.loc[r["var1"], r["var2"]]
+        assert (r["correlation"] is None) == bool(np.isnan(w)) and (np.isnan(w) or abs(r["correlation"] - w) < 1e-6), r
+
+
+def test_clean_table_reads_the_columns_it_filters(spark, tmp_path):
+    rows = [(k, f"n{k}", float(k % 9), float(k % 5), "x") for k in range(300)] + [(0, "n0", 0.0, 0.0, "x")] * 3
+    df = spark.createDataFrame(rows, "k int, s string, v double, w double, t string")
+    cleaned, _ = clean_table(df, TableOptions(convert_dates=False, remove_outliers=True), with_counts=False)
+    plan = cleaned.select("v")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "Scan ExistingRDD" not in plan
+    read = plan[plan.rindex("ReadSchema:"):]
+    assert "s:string" not in read and "t:string" not in read
