@@ -25,8 +25,8 @@ from scrubline.llm.common import join_hot, map_batches, stored
 from scrubline.llm.components import connected_components
 
 #: Shingles two prefixes must share; groups of a shingle compared pair by pair; documents
-#: that make a shingle frequent; frequent shingles known to the tasks (4 MB at most). They
-#: decide work, not results.
+#: that make a shingle frequent; frequent shingles known to the tasks from each of two counts
+#: (4 MB at most). They decide work, not results.
 SHARED, PAIRED, FREQUENT, MAX_FREQUENT = 3, 32, 32, 500_000
 #: Remembered hashes of words of one worker; tasks for a long list of sets.
 MEMO, SALTS = 150_000, 8
@@ -61,8 +61,8 @@ def shingle_set(words: list[bytes], shingle: int, hashes: dict[bytes, int]) -> n
 
 
 def _first_shingles(n: int, percent: int) -> int:
-    """How many shingles of a set of ``n``, lowest hashes first, are kept: two prefixes' worth."""
-    return min(n, 2 * (n - -(-n * percent // 100) + SHARED) + 8)
+    """How many shingles of a set of ``n``, lowest hashes first, are kept: a prefix and a half."""
+    return min(n, 3 * (n - -(-n * percent // 100) + SHARED) // 2 + 8)
 
 
 def _hashed(docs: DataFrame, shingle: int, percent: int | None) -> DataFrame:
@@ -122,8 +122,7 @@ def _prefix_size(percent: int) -> str:
 
 
 def _frequent(rows: DataFrame) -> np.ndarray:
-    """Hashes of frequent shingles, counted over the first shingles of all different sets,
-    where all of a prefix comes from unless most of a set is frequent."""
+    """Hashes of the frequent ones among all ``shingles`` of ``rows``."""
     counts = rows.select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k"))
     many = stored(counts.where(F.col("k") > FREQUENT), "frequent")
     if many.count() > MAX_FREQUENT:
@@ -259,9 +258,15 @@ def _links(sets: _Sets, firsts: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` between different sets, with the components of all similar pairs.
     ``firsts`` has the rows of ``sets`` for one document of each set."""
     percent, frequent = sets.percent, _frequent(firsts)
+    # First shingles hold a whole prefix unless many of them are frequent. Of sets where they
+    # are, all shingles are counted as well, so that what is their own comes first.
+    short = stored(_prefixes(firsts, frequent, percent).where("short").select("uid"), "short")
+    whole = stored(sets.whole(short), "whole")
+    frequent = np.union1d(frequent, _frequent(whole))
     made = stored(_prefixes(firsts, frequent, percent), "prefixes")
-    more = _prefixes(sets.whole(made.where("short").select("uid")), frequent, percent)
-    prefixes = made.where("not short").union(stored(more.dropDuplicates(["uid"]), "prefixes")).drop("short")
+    late = made.where("short").select("uid").join(short, "uid", "left_anti")
+    more = _prefixes(whole.union(sets.whole(late)), frequent, percent).dropDuplicates(["uid"])
+    prefixes = made.where("not short").union(stored(more, "prefixes")).drop("short")
     alike = stored(prefixes.groupBy("alike").agg(F.min("uid").alias("gid"), F.count(F.lit(1)).alias("members")).where("members > 1"), "alike")
     members = stored(join_hot(prefixes.select("alike", "uid"), alike, "alike", "members", "uid").select("uid", "gid"), "members")
     leaders = prefixes.join(members.where("uid <> gid"), "uid", "left_anti")
