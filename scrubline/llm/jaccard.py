@@ -17,7 +17,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrubline.llm.chunks import grouped
@@ -187,29 +187,29 @@ def _bucket_pairs(posts: DataFrame, percent: int) -> DataFrame:
 
 
 def _wide(posts: DataFrame, percent: int) -> DataFrame:
-    """Postings of shingles of more than ``PAIRED`` groups, with ``most``, what two sets can
-    have in common if they share no other shingle of their prefixes (then their pair is in
-    no shorter list). A group that needs more is similar to none in this way and is left out."""
+    """Postings of shingles of more than ``PAIRED`` groups; ``r`` counts them within their
+    group up to each. Sets that meet at such a shingle and share none of a shorter list have
+    at most ``r`` shingles in common up to it, and after it no more than either has left. A
+    posting by which its group can be similar to none is left out."""
     wide = posts.where(F.col("k") > PAIRED)
-    own = wide.groupBy("gid", "n").agg(F.count(F.lit(1)).alias("w"), F.sum("k").alias("spread"))
-    able = own.select(
-        "gid", (F.col("n") - F.expr(_prefix_size(percent)) + F.col("w")).alias("most"),
-        (F.col("spread") / F.expr(_prefix_size(percent))).alias("typical"), F.expr(f"(n * {percent} + 99) div 100").alias("least"))
-    return stored(wide.join(able.where("most >= least").drop("least"), "gid").select("token", "gid", "n", "most", "typical"), "wide")
+    own = Window.partitionBy("gid")
+    ranked = wide.withColumn("r", F.row_number().over(own.orderBy("pos"))).withColumn(
+        "typical", F.sum("k").over(own) / F.expr(_prefix_size(percent)))
+    return stored(ranked.where(f"r + n - pos - 1 >= (n * {percent} + 99) div 100").select("token", "gid", "n", "pos", "r", "typical"), "wide")
 
 
 def _alike(percent: int, a: str, b: str) -> str:
     """SQL: two sets of a wide list may be similar, by size and by what they can share."""
     return (
-        f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
-        f" and least({a}.most, {b}.most) >= {_least_shared(percent, a + '.n', b + '.n')}"
+        f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and least({a}.r, {b}.r)"
+        f" + least({a}.n - {a}.pos - 1, {b}.n - {b}.pos - 1) >= {_least_shared(percent, a + '.n', b + '.n')}"
     )
 
 
 def _stars(wide: DataFrame, percent: int) -> DataFrame:
     """Pairs of a pivot ``u1`` and another group of a wide list. One pivot has the most
     widely shared prefix, as the text others were copied from has; another is any."""
-    one = F.struct("gid", "n", "most")
+    one = F.struct("gid", "n", "pos", "r")
     pivots = stored(wide.groupBy("token").agg(
         F.array_distinct(F.array(F.max_by(one, F.struct("typical", "gid")), F.max_by(one, F.xxhash64("gid")))).alias("pivots"),
         F.count(F.lit(1)).alias("rows")), "pivots")
@@ -232,15 +232,15 @@ def _verified(pairs: DataFrame, sets: _Sets, percent: int) -> DataFrame:
 def _open_pairs(lists: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(u1, u2)`` inside a list that may be similar and lie in different components.
 
-    ``lists`` has ``(x, y, gid, most)``: all sets of the groups under one ``(x, y)`` are to be
-    compared; ``placed`` has ``(uid, gid, n, root)``. A list within one component is dropped
+    ``lists`` has ``(x, y, gid, pos, r)``: all sets of the groups under one ``(x, y)`` are to
+    be compared; ``placed`` has ``(uid, gid, n, root)``. A list within one component is dropped
     before its groups are expanded."""
     spans = placed.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     still = stored(
         lists.join(spans, "gid").groupBy("x", "y").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         .where("lo <> hi").select("x", "y"), "open")
     rows = stored(lists.join(still, ["x", "y"]).join(placed, "gid").select(
-        "x", "y", F.struct("uid", "n", "root", F.coalesce("most", "n").alias("most")).alias("a")).distinct(), "open-rows")
+        "x", "y", F.struct("uid", "n", "root", F.coalesce("pos", F.lit(-1)).alias("pos"), F.coalesce("r", "n").alias("r")).alias("a")).distinct(), "open-rows")
     salted = rows.withColumn("salt", F.expr(f"cast(pmod(xxhash64(a.uid), {SALTS}) as int)"))
     spread = rows.withColumnRenamed("a", "b").withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
     return salted.join(spread, ["x", "y", "salt"]).where(
@@ -285,11 +285,11 @@ def _links(sets: _Sets, firsts: DataFrame) -> DataFrame:
     # Pairs of two single sets have been compared.
     unsure = group_pairs.join(several, group_pairs["u1"] == several["gid"], "left_semi").union(
         group_pairs.join(several, group_pairs["u2"] == several["gid"], "left_semi"))
-    none = F.lit(None).cast("long")
+    none = F.lit(None).cast("int")
     lists = (
-        several.select(F.col("gid").alias("x"), F.lit(-1).cast("long").alias("y"), "gid", none.alias("most"))
-        .union(unsure.select(F.col("u1").alias("x"), F.col("u2").alias("y"), F.explode(F.array("u1", "u2")), none))
-        .union(wide.select("token", F.lit(-2).cast("long"), "gid", "most"))
+        several.select(F.col("gid").alias("x"), F.lit(-1).cast("long").alias("y"), "gid", none.alias("pos"), none.alias("r"))
+        .union(unsure.select(F.col("u1").alias("x"), F.col("u2").alias("y"), F.explode(F.array("u1", "u2")), none, none))
+        .union(wide.select("token", F.lit(-2).cast("long"), "gid", "pos", "r"))
     )
     more = stored(_open_pairs(lists, placed, percent), "candidates")
     return edges.union(_verified(more, sets, percent)) if more.head(1) else edges
