@@ -134,7 +134,7 @@ def test_ordinal_fit_orders_grades_and_thresholds(spark):
     assert quality_ordinal.judged(docs.limit(0), model, 1).count() == 0
 
 
-def test_quality_on_held_out_labels(spark):
+def test_quality_of_labels_it_was_taught(spark):
     folder = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r["selected"] for r in op5_quality_classifier(spark, folder).collect()}
     labels = table(spark, folder, "labels").collect()
