@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from scrubline.catalog.registry import query, table
+from scrubline.functions import fixed_values as V
 from scrubline.plans.materialize import scratch_path
 from scrubline.sources import csv, files, names
 
@@ -192,3 +193,24 @@ def json_files(spark, sf):
     df.repartition("n_nationkey").write.partitionBy("n_nationkey").json(path)
     found = files.read_text_files(spark, f"{path}/n_nationkey=*")
     return found.select(_folder("n_nationkey"), "text", "file_type")
+
+
+@query(
+    "media_scan",
+    """select s_suppkey, suffix, octet_length(c)::bigint as length, sha256(c) as sha256,
+      case when octet_length(c) = 0 then 'empty file' when s_suppkey % 4 = 1 then 'content does not match the suffix' end as error
+    from (select s_suppkey, case s_suppkey % 4 when 0 then '.png' when 1 then '.png' when 2 then '.wav' else '.jpg' end as suffix,
+      case s_suppkey % 4 when 0 then '\\x89\\x50\\x4E\\x47\\x0D\\x0A\\x1A\\x0A'::blob || s_name::blob when 1 then s_name::blob
+        when 2 then 'RIFF0000WAVE'::blob || s_name::blob else ''::blob end as c from supplier)""",
+)
+def media_scan(spark, sf):
+    """Files by suffix and leading bytes; wrong and empty ones stay, with an error."""
+    k, name = F.col("s_suppkey") % 4, F.col("s_name").cast("binary")
+    suffix = F.when(k <= 1, ".png").when(k == 2, ".wav").otherwise(".jpg")
+    png, wav = F.unhex(F.lit("89504E470D0A1A0A")), F.lit("RIFF0000WAVE").cast("binary")
+    content = F.when(k == 0, F.concat(png, name)).when(k == 1, name).when(k == 2, F.concat(wav, name))
+    path = scratch_path(spark, "media")
+    files.write_files(table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey", suffix).alias("name"), content.alias("content")), path)
+    found = files.read_media(spark, path, V.IMAGE_SUFFIXES + V.AUDIO_SUFFIXES)
+    key = F.regexp_extract("path", r"/s([0-9]+)\.[a-z]+$", 1).cast(table(spark, sf, "supplier").schema["s_suppkey"].dataType)
+    return found.select(key.alias("s_suppkey"), "suffix", "length", "sha256", "error")

@@ -44,6 +44,19 @@ TEXT_STEP_LABELS = {
     "remove_linebreaks": "✓ Removed excessive line breaks",
 }
 
+TABLE_STEP_LABELS = {
+    "headers": "✓ Stripped whitespace from column headers",
+    "cells": "✓ Stripped whitespace from {n} string column(s)",
+    "dates": "✓ Converted {n} column(s) to datetime: {columns} (DayFirst={day_first})",
+    "lowercase": "✓ Converted text to lowercase in {n} column(s)",
+    "duplicates": "✓ Removed {n} duplicate row(s)",
+    "no_duplicates": "✓ No duplicate rows found",
+    "duplicates_uncounted": "✓ Removed duplicate rows",
+    "outliers": "✓ Removed {n} outlier(s) using {method}",
+    "no_outliers": "✓ No outliers found using {method}",
+    "outliers_uncounted": "✓ Removed outliers using {method}",
+}
+
 # --- Tables -----------------------------------------------------------------
 # Cells read as null (the default list of pandas.read_csv).
 NA_TOKENS = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scrubline.functions.fixed_values import TABLE_STEP_LABELS as LABELS
 from scrubline.operators import dates, outliers, table
 from scrubline.operators.table import string_columns
 from scrubline.options import TableOptions
@@ -34,12 +35,12 @@ def clean_table(
         row_key = row_key.strip() if row_key else None
         data = [c for c in df.columns if c != row_key]
         if df.columns != before:
-            log.append(("✓ Stripped whitespace from column headers", None))
+            log.append((LABELS["headers"], None))
     texts = [c for c in string_columns(df) if c != row_key]
     if options.strip_strings:
         df = table.strip_strings(df)
         if texts:
-            log.append((f"✓ Stripped whitespace from {len(texts)} string column(s)", None))
+            log.append((LABELS["cells"].format(n=len(texts)), None))
     if options.convert_dates and texts:
         key, source = row_key, df
         if key is None:
@@ -48,14 +49,12 @@ def clean_table(
         if found:
             df = table._replace_columns(df, {c: dates.parse_date(F.col(table._q(c)), f) for c, f in found.items()})
             first = options.date_order == "global"
-            log.append(
-                (f"✓ Converted {len(found)} column(s) to datetime: {', '.join(found)} (DayFirst={first})", None)
-            )
+            log.append((LABELS["dates"].format(n=len(found), columns=", ".join(found), day_first=first), None))
         texts = [c for c in texts if c not in found]
     if options.lowercase_text:
         df = table.lowercase_text(df)
         if texts:
-            log.append((f"✓ Converted text to lowercase in {len(texts)} column(s)", None))
+            log.append((LABELS["lowercase"].format(n=len(texts)), None))
 
     rows = df.count() if with_counts and (options.remove_duplicates or options.remove_outliers) else None
     if options.remove_duplicates:
@@ -64,11 +63,11 @@ def clean_table(
             df = stored(df, "table")  # shuffled once; every later statistic reads its own columns
         if with_counts:
             left = df.count()
-            text = f"✓ Removed {rows - left} duplicate row(s)" if rows > left else "✓ No duplicate rows found"
+            text = LABELS["duplicates"].format(n=rows - left) if rows > left else LABELS["no_duplicates"]
             log.append((text, rows - left))
             rows = left
         else:
-            log.append(("✓ Removed duplicate rows", None))
+            log.append((LABELS["duplicates_uncounted"], None))
     if options.remove_outliers:
         numbers = [c for c in table.numeric_columns(df) if c in data]
         method = options.outlier_method
@@ -79,9 +78,9 @@ def clean_table(
         if with_counts:
             gone = rows - df.count()
             name = method.upper()
-            log.append((f"✓ Removed {gone} outlier(s) using {name}" if gone else f"✓ No outliers found using {name}", gone))
+            log.append((LABELS["outliers" if gone else "no_outliers"].format(n=gone, method=name), gone))
         else:
-            log.append((f"✓ Removed outliers using {method.upper()}", None))
+            log.append((LABELS["outliers_uncounted"].format(method=method.upper()), None))
 
     report = spark.createDataFrame(
         [(i + 1, s, n) for i, (s, n) in enumerate(log)], "step_no int, step string, rows_affected long"

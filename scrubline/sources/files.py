@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from scrubline.functions import fixed_values as V
 from scrubline.functions.json_text import json_text
 from scrubline.functions.text import decode_dropping_invalid
 from scrubline.plans.clean_text import result_json
+from scrubline.plans.materialize import stored
+from scrubline.plans.names import quoted as _q
 
 
 def suffix(path: Column) -> Column:
@@ -139,3 +145,27 @@ def write_text(df: DataFrame, path: str, column: str = "cleaned_text") -> None:
 def write_result_json(cleaned: DataFrame, path: str, output: str = "cleaned_text") -> None:
     """One JSON object ``{cleaned_text, stats, steps}`` per line."""
     cleaned.select(result_json(cleaned, output).alias("value")).write.text(path)
+
+
+def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
+    """One file for each row below ``folder``; gives ``(path, length)``. Names must differ; a
+    null content is an empty file. Tasks write through Arrow's file systems, each file at
+    once, so a repeated task leaves the same files."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().replace("file:/", "file:///").replace("file://///", "file:///")
+    system, root = pafs.FileSystem.from_uri(uri)
+    system.create_dir(root, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = pafs.FileSystem.from_uri(uri)
+        for batch in batches:
+            names, data = batch.column(0).to_pylist(), [x or b"" for x in batch.column(1).to_pylist()]
+            for n, raw in zip(names, data):
+                with system.open_output_stream(f"{root}/{n}", compression=None) as out:
+                    out.write(raw)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f"{uri}/{n}" for n in names]), pa.array([len(x) for x in data], pa.int64())], names=["path", "length"])
+
+    rows = df.select(F.col(_q(name)).alias("name"), F.col(_q(content)).alias("content"))
+    return stored(rows.mapInArrow(run, "path string, length long"), "files")
