@@ -262,3 +262,17 @@ def test_names_with_dots(spark):
     assert TT.unpivot_stats(df, "k.k", "o.t", "n.t").count() == 8
     assert [r["value"] for r in TT.json_leaves(df, "k.k", "j.j").collect()] == ["y"]
     assert TT.concat_documents(df, "k.k", "k.k", "o.t").first()["text"] == "a\nb"
+
+
+def test_concat_glues_ranges_of_many_tasks(spark):
+    r = random.Random(6)
+    rows = [(r.choice(["a", "b", None]), k, r.choice(["", None, f"x{k}", f"é{k}\n"])) for k in range(3000)]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "g string, o long, t string").repartition(7)
+    out = TT.concat_documents(df, "g", "o", "t", "--")
+    want = {}
+    for g, _, t in rows:
+        if t:
+            want.setdefault(g, []).append(t)
+    assert {x["g"]: x["text"] for x in out.collect()} == {g: "--".join(t) for g, t in want.items()}
+    assert out.columns == ["g", "text"]
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
