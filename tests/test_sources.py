@@ -1,3 +1,4 @@
+import gzip
 import io
 import json
 import os
@@ -275,3 +276,38 @@ def test_lines_with_bad_bytes_are_set_aside(spark, fresh_path):
     assert [(bytes(r["raw"]), r["repaired"]) for r in bad] == [(b"\xfftwo\xc3", "two")]
     with pytest.raises(ValueError):
         files.read_text_lines(spark, folder, keep="other")
+
+
+def test_large_text_files_are_glued_from_ranges(spark, fresh_path):
+    lines = "".join(f"line {k} é\r\n" for k in range(2000))
+    packed = gzip.compress(b"x")
+    want = {
+        "u.txt": (lines + "end").encode(), "n.txt": (lines + "\n\n").encode(), "l.txt": lines.encode("latin-1"), "o.txt": b"\n",
+        "b.txt": b"\xef\xbb\xbfmark\n", "c.txt": b"\xef\xbb\xbf\xe9", "a+b %41 é.txt": b"x\0y", "p.gz": packed, "e.txt": b""}
+    folder = fresh_path()
+    os.makedirs(folder)
+    for name, raw in want.items():
+        with open(os.path.join(folder, name), "wb") as f:
+            f.write(raw)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in held:
+            spark.conf.set(k, "2000")
+        df = files.read_text_files(spark, folder)
+        assert df.columns == ["path", "text", "file_type"]
+        got = {r["path"]: (r["text"], r["file_type"]) for r in df.collect()}
+        names = {r["path"] for r in spark.read.format("binaryFile").load(folder).select("path").collect()}
+        pieces = files.glued_pieces(spark.read.text(folder).select(F.col("_metadata.file_name").alias("g"), F.col("value").alias("t")), "\n")
+        assert pieces.where("g = 'u.txt'").count() > 8
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+    def text(raw):
+        try:
+            return raw.decode()
+        except UnicodeDecodeError:
+            return raw.decode("latin-1")
+
+    assert {os.path.basename(p): t for p, t in got.items()} == {n: (text(raw), "text") for n, raw in want.items() if raw}
+    assert set(got) == names
