@@ -311,3 +311,29 @@ def test_large_text_files_are_glued_from_ranges(spark, fresh_path):
 
     assert {os.path.basename(p): t for p, t in got.items()} == {n: (text(raw), "text") for n, raw in want.items() if raw}
     assert set(got) == names
+
+
+def test_text_lines_writes_a_language_by_many_tasks(spark, fresh_path, monkeypatch):
+    from scrubline.catalog import QUERIES
+    from scrubline.catalog import files as catalog
+
+    root, made = fresh_path(), fresh_path()
+    rows = [(k, ["en", "fr", None][k % 3], None if k % 10 == 9 else f"a{k % 4}\nb") for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4).write.parquet(f"{root}/documents.parquet")
+    monkeypatch.setattr(catalog, "scratch_path", lambda spark, name: f"{made}/{name}")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in held:
+            spark.conf.set(k, "2000")
+        got = {(r["lang"], r["line"]): r["n"] for r in QUERIES["text_lines"](spark, root).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    want = {}
+    for k, lang, t in rows:
+        if t:
+            for line in (t + (" é" if lang == "en" else " €")).split("\n"):
+                key = (lang or "__HIVE_DEFAULT_PARTITION__", line)
+                want[key] = want.get(key, 0) + 1
+    assert got == want
+    assert len([x for x in os.listdir(f"{made}/latin/lang=en") if x.startswith("part-")]) > 1
