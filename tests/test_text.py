@@ -264,6 +264,19 @@ def test_names_with_dots(spark):
     assert TT.concat_documents(df, "k.k", "k.k", "o.t").first()["text"] == "a\nb"
 
 
+def test_entities_alone_travel_to_python(spark):
+    """Every form of entity decodes as in Python, and the texts around them stay in the engine."""
+    import pyarrow as pa
+
+    r = random.Random(4)
+    parts = ["&amp;", "&amp", "&notit;", "&#65;", "&#x41", "&#0;", "&#xD800;", "&#1;", "&#128;", "&", "&&lt;", "&NewLine;", "& a", "&😀;", "x", " ", "\n", "&" + "a" * 40, "&copyé;", "&;", "&#;", "&#x;", "\u0661", "&#\u0661;"]
+    texts = ["".join(r.choices(parts, k=r.randrange(12))) for _ in range(300)]
+    df = spark.createDataFrame([*enumerate(texts), (300, None)], "i int, t string")
+    out = df.select("i", X.html_unescape(F.col("t")).alias("u"))
+    assert [x["u"] for x in out.orderBy("i").collect()] == [*map(html.unescape, texts), None]
+    assert X._unescape.func(pa.array([["&lt;"], [], ["&gt", "&lt;"]])).to_pylist() == [["<"], [], [">", "<"]]
+
+
 def test_concat_glues_ranges_of_many_tasks(spark):
     r = random.Random(6)
     rows = [(r.choice(["a", "b", None]), k, r.choice(["", None, f"x{k}", f"é{k}\n"])) for k in range(3000)]
