@@ -28,8 +28,9 @@ from scrubline.llm.components import connected_components
 #: that make a shingle frequent; frequent shingles known to the tasks from each of two counts
 #: (4 MB at most). They decide work, not results.
 SHARED, PAIRED, FREQUENT, MAX_FREQUENT = 3, 32, 32, 500_000
-#: Remembered hashes of words of one worker; tasks for a long list of sets.
-MEMO, SALTS = 150_000, 8
+#: Remembered hashes of words of one worker; tasks for a long list of sets; first wide shingles
+#: of a prefix that a place in a list knows, so that pairs are found in the first list they share.
+MEMO, SALTS, KNOWN = 150_000, 8, 64
 _MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15)
 
 
@@ -190,18 +191,23 @@ def _wide(posts: DataFrame, percent: int) -> DataFrame:
     """Postings of shingles of more than ``PAIRED`` groups; ``r`` counts them within their
     group up to each. Sets that meet at such a shingle and share none of a shorter list have
     at most ``r`` shingles in common up to it, and after it no more than either has left. A
-    posting by which its group can be similar to none is left out."""
+    posting by which its group can be similar to none is left out. ``before`` has what comes
+    before a posting of the group's first ``KNOWN`` wide shingles."""
     wide = posts.where(F.col("k") > PAIRED)
     own = Window.partitionBy("gid")
     ranked = wide.withColumn("r", F.row_number().over(own.orderBy("pos"))).withColumn(
         "typical", F.sum("k").over(own) / F.expr(_prefix_size(percent)))
-    return stored(ranked.where(f"r + n - pos - 1 >= (n * {percent} + 99) div 100").select("token", "gid", "n", "pos", "r", "typical"), "wide")
+    first = F.sort_array(F.collect_list(F.when(F.col("r") <= KNOWN, F.struct("pos", "token"))).over(own))["token"]
+    placed = ranked.withColumn("before", F.slice(first, F.lit(1), F.least(F.col("r") - 1, F.lit(KNOWN))))
+    return stored(placed.where(f"r + n - pos - 1 >= (n * {percent} + 99) div 100").select(
+        "token", "gid", "n", "pos", "r", "typical", "before"), "wide")
 
 
-def _alike(percent: int, a: str, b: str) -> str:
-    """SQL: two sets of a wide list may be similar, by size and by what they can share."""
+def _alike(percent: int, a: str, b: str, shared: str = "least({a}.r, {b}.r)") -> str:
+    """SQL: two sets of a wide list may be similar, by size and by what they can share;
+    ``shared`` bounds what they have in common up to this list."""
     return (
-        f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and least({a}.r, {b}.r)"
+        f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {shared.format(a=a, b=b)}"
         f" + least({a}.n - {a}.pos - 1, {b}.n - {b}.pos - 1) >= {_least_shared(percent, a + '.n', b + '.n')}"
     )
 
@@ -232,19 +238,21 @@ def _verified(pairs: DataFrame, sets: _Sets, percent: int) -> DataFrame:
 def _open_pairs(lists: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(u1, u2)`` inside a list that may be similar and lie in different components.
 
-    ``lists`` has ``(x, y, gid, pos, r)``: all sets of the groups under one ``(x, y)`` are to
-    be compared; ``placed`` has ``(uid, gid, n, root)``. A list within one component is dropped
-    before its groups are expanded."""
+    ``lists`` has ``(x, y, gid, pos, r, before)``: all sets of the groups under one ``(x, y)``
+    are to be compared; ``placed`` has ``(uid, gid, n, root)``. A list within one component is
+    dropped before its groups are expanded. Sets that have met in a list known from ``before``
+    are not paired again; of others, only shingles not known can be shared up to this one."""
     spans = placed.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     still = stored(
         lists.join(spans, "gid").groupBy("x", "y").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         .where("lo <> hi").select("x", "y"), "open")
     rows = stored(lists.join(still, ["x", "y"]).join(placed, "gid").select(
-        "x", "y", F.struct("uid", "n", "root", F.coalesce("pos", F.lit(-1)).alias("pos"), F.coalesce("r", "n").alias("r")).alias("a")).distinct(), "open-rows")
+        "x", "y", F.struct("uid", "n", "root", F.coalesce("pos", F.lit(-1)).alias("pos"), F.coalesce("r", "n").alias("r"), "before").alias("a")).distinct(), "open-rows")
+    shared = f"least({{a}}.r, {{b}}.r, 1 + greatest({{a}}.r - {KNOWN + 1}, 0) + greatest({{b}}.r - {KNOWN + 1}, 0))"
     salted = rows.withColumn("salt", F.expr(f"cast(pmod(xxhash64(a.uid), {SALTS}) as int)"))
     spread = rows.withColumnRenamed("a", "b").withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
     return salted.join(spread, ["x", "y", "salt"]).where(
-        "a.uid < b.uid and a.root <> b.root and " + _alike(percent, "a", "b")
+        "a.uid < b.uid and a.root <> b.root and " + _alike(percent, "a", "b", shared) + " and not arrays_overlap(a.before, b.before)"
     ).select(F.col("a.uid").alias("u1"), F.col("b.uid").alias("u2")).distinct()
 
 
@@ -285,11 +293,11 @@ def _links(sets: _Sets, firsts: DataFrame) -> DataFrame:
     # Pairs of two single sets have been compared.
     unsure = group_pairs.join(several, group_pairs["u1"] == several["gid"], "left_semi").union(
         group_pairs.join(several, group_pairs["u2"] == several["gid"], "left_semi"))
-    none = F.lit(None).cast("int")
+    none, nothing = F.lit(None).cast("int"), F.array().cast("array<bigint>").alias("before")
     lists = (
-        several.select(F.col("gid").alias("x"), F.lit(-1).cast("long").alias("y"), "gid", none.alias("pos"), none.alias("r"))
-        .union(unsure.select(F.col("u1").alias("x"), F.col("u2").alias("y"), F.explode(F.array("u1", "u2")), none, none))
-        .union(wide.select("token", F.lit(-2).cast("long"), "gid", "pos", "r"))
+        several.select(F.col("gid").alias("x"), F.lit(-1).cast("long").alias("y"), "gid", none.alias("pos"), none.alias("r"), nothing)
+        .union(unsure.select(F.col("u1").alias("x"), F.col("u2").alias("y"), F.explode(F.array("u1", "u2")), none, none, nothing))
+        .union(wide.select("token", F.lit(-2).cast("long"), "gid", "pos", "r", "before"))
     )
     more = stored(_open_pairs(lists, placed, percent), "candidates")
     return edges.union(_verified(more, sets, percent)) if more.head(1) else edges

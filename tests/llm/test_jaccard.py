@@ -98,3 +98,28 @@ def test_long_text_and_order_of_words():
     many = [str(k).encode() for k in range(100_000)]
     assert len(jaccard.shingle_set(many + many, 3, hashes)) == 100_000
     assert np.all(np.diff(jaccard.shingle_set(many, 3, hashes)) > 0)
+
+
+@pytest.mark.parametrize("known", [0, 1, 64])
+def test_a_pair_is_found_in_the_first_wide_list_it_shares(spark, known, monkeypatch):
+    """Near copies that pivots do not connect meet in one list, not in each that they share."""
+    monkeypatch.setattr(jaccard, "PAIRED", 2)
+    monkeypatch.setattr(jaccard, "FREQUENT", 2)
+    monkeypatch.setattr(jaccard, "KNOWN", known)
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    docs = []
+    for k in range(40):
+        own = list(base)
+        for _ in range(r.choice([1, 2, 3, 4])):
+            own[r.randrange(len(own))] = f"x{r.randrange(6)}"
+        docs.append((k, " ".join(own)))
+    tables, stored = {}, jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, name="stored": tables.setdefault(name, stored(df, name)) if name == "open-rows" else stored(df, name))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.similar(d).collect()), key=repr) == brute(docs)
+    lists = {}
+    for x in tables["open-rows"].collect():
+        lists.setdefault((x["x"], x["y"]), []).append(x["a"])
+    met = [(a["uid"], b["uid"]) for rows in lists.values() for a in rows for b in rows if a["uid"] < b["uid"] and not set(a["before"]) & set(b["before"])]
+    assert met and (known < 64 or len(met) == len(set(met)))
