@@ -115,7 +115,8 @@ def links(fps: DataFrame, radius: int, paired: int = PAIRED) -> DataFrame:
         F.transform(_longs(covering_masks(radius)), lambda m: m.bitwiseAND(F.col("fp"))).alias("k"),
     ))).select("fp", "key.t", "key.k")
     shared = keys.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stored(keys.join(shared, ["t", "k"]), "buckets")
+    # Spark takes either side for as small as ``fps`` itself, and would broadcast all keys of all tables.
+    shared = stored(keys.hint("merge").join(shared, ["t", "k"]), "buckets")
     small = shared.where(f"n <= {paired}").groupBy("t", "k").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     edges = [_pairs_in(small, radius)]
 

@@ -95,6 +95,23 @@ def test_links_of_crowded_fingerprints(spark, radius):
     assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == len(groups)
 
 
+def test_keys_of_all_tables_are_not_broadcast(spark, fresh_path, monkeypatch, capsys):
+    kept = simhash.stored
+
+    def shown(df, name):
+        if name == "buckets":
+            df.explain()
+        return kept(df, name)
+
+    monkeypatch.setattr(simhash, "stored", shown)
+    path = fresh_path()
+    spark.range(500).selectExpr("xxhash64(id div 2) ^ (id % 2 * 5) as fp").write.parquet(path)
+    found = simhash.links(spark.read.parquet(path), 4)
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {(r["a"] ^ r["b"]) for r in found.collect()} == {5} and found.count() == 250
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(30)] + [(7, None), (5, 5)]
