@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from scrubline.plans.materialize import scratch_path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: computed once, with
-    no lineage, and still there when executors are lost."""
+    no lineage, and still there when executors are lost. A task holds a row group when it
+    writes and when it reads; ``group_rows`` bounds its rows, where these are large."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.row.count.limit", group_rows) if group_rows else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

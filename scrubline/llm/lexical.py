@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from scrubline.llm.common import map_batches, stored, utf8
 from scrubline.llm.decontam import words_of
 
-#: Bytes of text of a shard, terms of a block of queries, strata of the first wave; they
-#: bound memory and order work, not results.
-SHARD_BYTES, BLOCK_TERMS, FIRST_WAVE = 4 << 20, 200_000, 8
+#: Bytes of text of a shard and of a row group of shards, terms of a block of queries, strata
+#: of the first wave; they bound memory and order work, not results.
+SHARD_BYTES, GROUP_BYTES, BLOCK_TERMS, FIRST_WAVE = 4 << 20, 16 << 20, 200_000, 8
 #: Fixed values of the score.
 SCALE, UNIT, LENGTH_SHARE, SATURATION = 1_000_000_000, 1000, 75, 8
 
@@ -124,7 +124,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     table = map_batches(rows, run, (
         f"doc_ids array<{kind}>, m array<bigint>, terms array<string>, dfs array<bigint>, docs binary, term_groups binary,"
         " group_stratum binary, group_tf binary, group_start binary"))
-    return Index(stored(table, "lexical"), n_docs, n_terms)
+    # The writer looks at the size of a row group after a hundred rows only, and a row is a shard.
+    return Index(stored(table, "lexical", max(1, GROUP_BYTES // shard_bytes)), n_docs, n_terms)
 
 
 _COLUMNS = ("doc_ids", "m", "terms", "dfs", "docs", "term_groups", "group_stratum", "group_tf", "group_start")

@@ -80,3 +80,15 @@ def test_no_documents_no_queries_and_other_ids(spark):
         tuple(x) for x in sorted(brute([("a", "x y"), ("b", "y z z"), (None, "z")], [("q", "z x")]), key=lambda x: x[1])]
     assert lexical.search(index, q.limit(0)).count() == 0
     assert lexical.search(lexical.build(d.limit(0)), q).count() == 0
+
+
+def test_a_row_group_holds_few_shards(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(lexical, "GROUP_BYTES", 3, raising=False)
+    docs, _ = fixture(4)
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    paths = [p.removeprefix("file://") for p in lexical.build(d, shard_bytes=1).table.inputFiles()]
+    footers = [pq.ParquetFile(p).metadata for p in paths]
+    assert sum(m.num_rows for m in footers) > 100
+    assert {m.row_group(i).num_rows for m in footers for i in range(m.num_row_groups)} <= {1, 2, 3}
