@@ -337,3 +337,37 @@ def test_text_lines_writes_a_language_by_many_tasks(spark, fresh_path, monkeypat
                 want[key] = want.get(key, 0) + 1
     assert got == want
     assert len([x for x in os.listdir(f"{made}/latin/lang=en") if x.startswith("part-")]) > 1
+
+
+def test_text_files_in_parts_give_the_same_texts(spark, fresh_path, monkeypatch):
+    import hashlib
+
+    from scrubline.plans import glue
+
+    monkeypatch.setattr(glue, "PIECE_BYTES", 500)
+    lines = "".join(f"line {k} é\r\n" for k in range(1000))
+    folder = write(
+        fresh_path(), u__txt=(lines + "end").encode(), n__txt=(lines + "\n\n").encode(), l__txt=lines.encode("latin-1"), o__txt=b"\n",
+        b__txt=b"\xef\xbb\xbfmark\n" + lines.encode(), c__txt=b"\xef\xbb\xbf\xe9", e__txt=b"", p__gz=gzip.compress(b"x"),
+        j__json=b'{"a":"x","l":["y",1]}', k__json=b"{bad \xff text", m__json=b"1")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in held:
+            spark.conf.set(k, "2000")
+        whole = {r["path"]: (r["text"], r["file_type"]) for r in files.read_text_files(spark, folder).collect()}
+        parts = files.read_text_files(spark, folder, parts=True)
+        assert parts.columns == ["path", "at", "text", "file_type"]
+        rows = parts.orderBy("path", "at").collect()
+        digests = [tuple(r) for r in files.md5_of_parts(parts).collect()]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    got = {}
+    for r in rows:
+        text, _ = got.get(r["path"], ("", None))
+        got[r["path"]] = (None if r["text"] is None else text + r["text"], r["file_type"])
+    assert got == whole and len(whole) == 10
+    most = max(len(r["text"].encode()) for r in rows if r["text"])
+    assert most < 800 and len([r for r in rows if r["path"].endswith("/u.txt")]) > 20
+    md5 = lambda t: None if t is None else hashlib.md5(t.encode()).hexdigest()
+    assert sorted(digests) == sorted((p, md5(t), kind) for p, (t, kind) in whole.items())
